@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dockyard.llm import url_filter
+from dockyard.llm import html_text, url_filter
 
 QUERIES = {
     "op9_url_filters": url_filter.op9_url_filters,
+    "op10_html_extraction": html_text.op10_html_extraction,
 }
 SQL = {
     "op9_url_filters": url_filter.OP9_SQL,
