@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from dockyard.llm import html_text, url_filter
+from dockyard.llm import html_text, licences, pii, url_filter
 
 QUERIES = {
+    "op1_license_scans": licences.op1_license_scans,
+    "op8_pii_pseudonyms": pii.op8_pii_pseudonyms,
     "op9_url_filters": url_filter.op9_url_filters,
     "op10_html_extraction": html_text.op10_html_extraction,
 }
 SQL = {
+    "op1_license_scans": licences.OP1_SQL,
     "op9_url_filters": url_filter.OP9_SQL,
 }
