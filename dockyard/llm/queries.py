@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dockyard.llm import html_text, licences, pii, toxicity, url_filter
+from dockyard.llm import html_text, licences, packing, pii, toxicity, url_filter
 
 QUERIES = {
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op1_license_scans": licences.op1_license_scans,
     "op8_pii_pseudonyms": pii.op8_pii_pseudonyms,
