@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dockyard.llm import embedding_dedup, html_text, licences, minhash, packing, pii, toxicity, url_filter
+from dockyard.llm import embedding_dedup, html_text, licences, minhash, packing, pii, topk, toxicity, url_filter
 
 QUERIES = {
+    "op6_exact_top_k": topk.op6_exact_top_k,
     "op3_embedding_near_dedup": embedding_dedup.op3_embedding_near_dedup,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_html_extraction": html_text.op10_html_extraction,
 }
 SQL = {
+    "op6_exact_top_k": topk.OP6_SQL,
     "op3_embedding_near_dedup": embedding_dedup.OP3_SQL,
     "op5_minhash_near_dedup": minhash.OP5_SQL,
     "op1_license_scans": licences.OP1_SQL,
