@@ -1,8 +1,72 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: toxicity, near-dedup, PII, mixing to target weights, packing.
 
-STAGES = []
+Each stage takes the session, the documents its predecessor kept and the folder of the tables, works on all of
+them and returns documents in the same columns; the last one returns the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dockyard.llm import minhash, mixing, packing, pii, toxicity
+from dockyard.llm.shared import cut, table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models reject (a score of at least 0.5) go."""
+    scorer = toxicity.scorer(toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return docs.where(scorer(F.col("text")) < 0.5)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays (five words, 0.8), and one of equal rows.
+
+    Rows without an id are compared with nothing and stay.
+    """
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return one.unionByName(docs.where("doc_id is null"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal numbers, dates and addresses become pseudonyms; the count of characters follows the text."""
+    others = [c for c in docs.columns if c != "text"]
+    named = pii.pseudonymise(docs, keep=others)
+    if "n_chars" in others:
+        changed = F.when(F.col("n_replaced") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        named = named.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
+    return named.select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as their rates say: at least once each, with a fifth more tokens in all."""
+    labelled = mixing.labelled_domains(docs, table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(docs, labelled, mixing.TARGETS, budget=1.2, least=1.0)
+    copies = cut(mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")))
+    met = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]), "left")
+    times = F.explode(F.array_repeat(F.lit(1), F.coalesce("_copies", F.lit(1))))
+    return met.select(*docs.columns, times.alias("_time")).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens in as few sequences as can be."""
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("pii_pseudonyms", pii_stage),
+    ("source_mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
+#: SQL can't express the language models, the tokenizer or the packing; tests compare with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dockyard.llm import embedding_dedup, html_text, licences, minhash, packing, pii, topk, toxicity, url_filter
+from dockyard.llm import embedding_dedup, html_text, licences, minhash, mixing, packing, pii, topk, toxicity, url_filter
 
 QUERIES = {
+    "op4_source_mixing": mixing.op4_source_mixing,
     "op6_exact_top_k": topk.op6_exact_top_k,
     "op3_embedding_near_dedup": embedding_dedup.op3_embedding_near_dedup,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
