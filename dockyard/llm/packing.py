@@ -32,7 +32,10 @@ Pattern = tuple[tuple[int, ...], int]
 class Encoder(dict):
     """Token ids of the pre-tokens of a byte-level BPE tokenizer, each encoded once while it is remembered."""
 
-    MOST = 300_000
+    MOST = 500_000
+    #: How byte-level BPE writes bytes as characters: those that print stand for themselves, the others follow 255.
+    PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    SIGNS = {b: b for b in PRINT} | {b: 256 + i for i, b in enumerate(b for b in range(256) if not 33 <= b < 127 and not 161 <= b < 173 and b < 174)}
 
     def __init__(self, path: str):
         import regex
@@ -40,10 +43,11 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merge = self.tokenizer.model.tokenize
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        ids = tuple([t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.SIGNS))])
         if len(piece) < 40:
             if len(self) >= self.MOST:
                 self.clear()
