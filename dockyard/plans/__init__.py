@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""The queries of the engine, by group. Importing a module registers its queries."""
