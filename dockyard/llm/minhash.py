@@ -7,10 +7,14 @@ the Jaccard similarity, with the concentration of independent samples. Bands of
 buckets; with 32 bands of 5, two sets at a similarity of 0.8 share no bucket once in about 300,000 times.
 
 Equal sets are one class from the start. In each bucket every class is paired with the bucket's first class,
-which is linear in the bucket's size; the pairs are verified on the full sets and connected. Only in buckets that
-then still hold several components are the pairs between different components looked at too. What is between
+which is linear in the bucket's size; the pairs are verified on the full sets and connected. In buckets that then
+still hold several components, classes are paired with a few more leaders from other components, twice. Only what
+is still apart after that is compared in full: all pairs of a bucket between different components. What is between
 classes of one component need not be: it can't change the result. So no candidate is dropped and a group of near
 copies, however large, doesn't make all its pairs.
+
+Before the full sets are fetched, a pair must agree in as many coordinates of the sketches (of which a byte each is
+kept) as a similarity of 0.8 gives but once in 10 ** 9 times, by the concentration of the sketch.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dockyard.llm.shared import components, cut, table
 
@@ -76,7 +81,8 @@ def sketch(hashes: np.ndarray, t: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """From ``id`` and ``text``: ``id``, ``n`` (set size), ``f`` and ``g`` (128 bits that tell sets apart), ``bands``."""
+    """From ``id`` and ``text``: ``id``, ``n`` (set size), ``f`` and ``g`` (128 bits that tell sets apart), ``bands`` and ``w``,
+    a byte of each coordinate."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s1, s2 = seeds(2, 5)
@@ -86,17 +92,18 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
             for k, t in zip(batch["id"], batch["text"]):
                 h = shingles(t, width)
                 if not len(h):
-                    out.append((k, 0, 0, 0, None))
+                    out.append((k, 0, 0, 0, None, None))
                     continue
-                parts = sketch(h, bands * rows).reshape(bands, rows)
+                coordinates = sketch(h, bands * rows)
+                parts = coordinates.reshape(bands, rows)
                 b = tell
                 for j in range(rows):
                     b = _mix(b * np.uint64(0x9E3779B97F4A7C15) + parts[:, j])
                 f, g = _mix(h ^ s1).sum(dtype=np.uint64), _mix(h ^ s2).sum(dtype=np.uint64)
-                out.append((k, len(h), int(f.astype(np.int64)), int(g.astype(np.int64)), b.astype(np.int64)))
-            yield pd.DataFrame(out, columns=["id", "n", "f", "g", "bands"]).astype({"id": "Int64"})
+                out.append((k, len(h), int(f.astype(np.int64)), int(g.astype(np.int64)), b.astype(np.int64), _mix(coordinates).astype(np.uint8).tobytes()))
+            yield pd.DataFrame(out, columns=["id", "n", "f", "g", "bands", "w"]).astype({"id": "Int64"})
 
-    return docs.mapInPandas(made, "id long, n long, f long, g long, bands array<long>")
+    return docs.mapInPandas(made, "id long, n long, f long, g long, bands array<long>, w binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -116,16 +123,38 @@ def _alike(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+@F.pandas_udf(T.IntegerType())
+def _agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
+    """In how many bytes two sketches agree."""
+    if not len(x):
+        return pd.Series([], dtype="int32")
+    a, b = (np.frombuffer(b"".join(v), dtype=np.uint8).reshape(len(v), -1) for v in (x, y))
+    return pd.Series((a == b).sum(1, dtype=np.int32))
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int, t: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose full sets have 100 * intersection >= percent * union."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    p = percent / 100
+    fewest = int(t * p - 6 * np.sqrt(t * p * (1 - p)))
+    x, y = (sketches.select(F.col("id").alias(k), F.col("w").alias("w" + k)) for k in "ab")
+    likely = cut(pairs.join(x, "a").join(y, "b").where(_agreeing("wa", "wb") >= fewest).select("a", "b"))
+    needed = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
     sets = cut(_sets(docs.join(needed, "id", "left_semi"), width))
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
+    left = likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _led(members: DataFrame, leaders: list[Column], percent: int) -> DataFrame:
+    """Pairs of each member of a bucket with the bucket's leaders (smallest by the given columns) of other components."""
+    first = [F.min(F.struct(order.alias("o"), "m", "n", "c")) for order in leaders]
+    heads = members.groupBy("bucket").agg(F.array(*first).alias("heads"))
+    met = members.join(heads, "bucket").select("m", "n", "c", F.explode("heads").alias("l"))
+    apart = met.where((F.col("c") != F.col("l.c")) & _alike(F.col("n"), F.col("l.n"), percent))
+    return apart.select(F.least("m", F.col("l.m")).alias("a"), F.greatest("m", F.col("l.m")).alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -143,40 +172,37 @@ def near_duplicates(
     # One class for each set; its id is the smallest of its documents'.
     classes = usable.groupBy("n", "f", "g").agg(F.min("id").alias("c"))
     first = cut(usable.join(classes.withColumnRenamed("c", "id"), ["n", "f", "g", "id"]).dropDuplicates(["n", "f", "g"]))
+    sketches = first.select("id", "w")
     spread = first.select(F.col("id").alias("m"), "n", F.posexplode("bands").alias("k", "h")).select(
         "m", "n", F.xxhash64("k", "h").alias("bucket")
     )
-    leaders = spread.groupBy("bucket").agg(F.min(F.struct("m", "n")).alias("l"), F.count("*").alias("size")).where("size > 1")
-    led = (
-        spread.join(leaders, "bucket")
-        .where((F.col("m") != F.col("l.m")) & _alike(F.col("n"), F.col("l.n"), percent))
-        .select(F.col("l.m").alias("a"), F.col("m").alias("b"))
-        .distinct()
-    )
-    led = cut(led)
-    linked = _verified(led, own, width, percent)
+    several = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    members = cut(spread.join(several, "bucket").withColumn("c", F.col("m")))
+
     # Rows of one document with different texts tie their classes together.
-    member = usable.join(classes, ["n", "f", "g"]).select("id", "c")
-    tied = member.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z")
-    linked = cut(linked.union(member.join(tied, "id").where("c <> a").select("a", F.col("c").alias("b"))))
-    roots = components(linked)
-    # Buckets that still hold several components: the pairs between them that haven't been compared.
-    placed = spread.join(roots.withColumnRenamed("node", "m"), "m", "left").select(
-        "bucket", "m", "n", F.coalesce("component", "m").alias("c")
-    )
-    split = placed.groupBy("bucket").agg(F.min("c").alias("u"), F.max("c").alias("v")).where("u <> v").select("bucket")
-    left = cut(placed.join(split, "bucket"))
-    other = left.select("bucket", F.col("m").alias("b"), F.col("n").alias("o"), F.col("c").alias("d"))
-    across = (
-        left.withColumnRenamed("m", "a")
-        .join(other, "bucket")
-        .where((F.col("c") < F.col("d")) & _alike(F.col("n"), F.col("o"), percent))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(led, ["a", "b"], "left_anti")
-    )
-    more = cut(_verified(cut(across), own, width, percent))
-    roots = components(linked.union(more).union(roots.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+    own_class = usable.join(classes, ["n", "f", "g"]).select("id", "c")
+    tied = own_class.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z")
+    linked = own_class.join(tied, "id").where("c <> a").select("a", F.col("c").alias("b"))
+    roots = None
+    draws = [[F.col("m")], *[[F.xxhash64("m", F.lit(3 * k + j)) for j in range(3)] for k in range(2)], None]
+    for leaders in draws:
+        if leaders:
+            pairs = _led(members, leaders, percent)
+        else:
+            other = members.select("bucket", F.col("m").alias("m2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+            met = members.join(other, "bucket").where((F.col("c") < F.col("c2")) & _alike(F.col("n"), F.col("n2"), percent))
+            pairs = met.select(F.least("m", "m2").alias("a"), F.greatest("m", "m2").alias("b")).distinct()
+        found = _verified(pairs, sketches, own, width, percent, bands * rows)
+        edges = found if roots is None else found.union(roots.select(F.col("component").alias("a"), F.col("node").alias("b")))
+        roots = components(edges if roots is not None else edges.union(linked))
+        # Go on with the buckets that hold several components.
+        placed = members.drop("c").join(roots.withColumnRenamed("node", "m"), "m", "left")
+        placed = placed.select("bucket", "m", "n", F.coalesce("component", "m").alias("c"))
+        split = placed.groupBy("bucket").agg(F.min("c").alias("u"), F.max("c").alias("v")).where("u <> v").select("bucket")
+        if leaders:
+            members = cut(placed.join(split, "bucket"))
+            if members.isEmpty():
+                break
     rooted = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select(
         "n", "f", "g", F.coalesce("component", "c").alias("component_id")
     )
