@@ -195,12 +195,12 @@ def top_products(
 
     own_queries = rows(queries)
     q_blocks = cut(own_queries.mapInPandas(asked, "least double, queries binary"))
-    # Which block of vectors meets which block of queries: one row a pair, by the lengths alone.
-    names = kept.select("first", "last", "most")
-    pairs = q_blocks.join(names, F.col("most") >= F.col("least")).select("queries", "first", "last", F.col("most").alias("top"))
-    met = pairs.repartition("first", F.xxhash64("queries")).join(
-        kept.select(F.col("first"), F.col("last"), F.col("most").alias("top"), "raw"), ["first", "last", "top"]
-    )
+    # Which block of vectors meets which block of queries: blocks of vectors are dealt to buckets, a block of queries
+    # visits each bucket, and the lengths alone rule out most pairs.
+    buckets = max(1, min(1024, kept.count()))
+    dealt = kept.withColumn("bucket", F.pmod(F.xxhash64("first", "last", "most"), F.lit(buckets)).cast("int"))
+    visits = q_blocks.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    met = visits.join(dealt, "bucket").where(F.col("most") >= F.col("least"))
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
