@@ -145,7 +145,7 @@ def mix(
 ) -> DataFrame:
     """Columns ``key``, ``tokens`` (long), ``posteriors`` (by domain), ``rate`` and ``copies``, a row for each of ``docs``.
 
-    ``copies`` is the rate rounded up or down by a hash of the row, so that its expectation is the rate: a document
+    ``copies`` is the rate rounded up or down by a hash of the id, so that its expectation is the rate: a document
     with rate 0 goes, one with rate 2.3 comes two or three times. A null or empty text has no tokens and keeps the
     rate that its posteriors (the prior) give it. Domains without labelled rows get the smoothed prior. An empty
     table gives an empty result; other columns are not read.
@@ -153,7 +153,7 @@ def mix(
     domains = sorted(targets)
     members = cut(posteriors(docs, labelled, domains, text, key, **options))
     rated, _ = rates(members, [targets[d] for d in domains], budget=budget, least=least)
-    share = F.pmod(F.xxhash64("id", "row"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     low = F.floor("rate")
     return rated.select(
         F.col("id").alias(key),
