@@ -12,6 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Up to so many links the rounds of ``components`` run in one partition.
+SMALL = 100_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
@@ -23,16 +27,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
         """Hook neighbours to the smallest one: of all neighbours (large star) or of the smaller ones (small star)."""
-        if larger:
-            seen = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        else:
-            seen = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+        seen = pairs.select(ends.alias("e")).select("e.a", "e.b") if larger else pairs
         least = seen.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         met = seen.join(least, "a")
         if larger:
             linked = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
-            linked = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(met.select("a", F.col("m").alias("b")))
+            both = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
+            linked = met.select(both.alias("e")).select("e.a", "e.b")
         return linked.where("a <> b").distinct()
 
     def mark(pairs: DataFrame) -> tuple:
@@ -46,10 +49,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     pairs = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = mark(pairs)
+    if before[0] <= SMALL:  # so few links, by count, that a round of jobs over many partitions would only cost time
+        pairs = pairs.coalesce(1)
     for _ in range(rounds):
         if not before[0]:
             break
         pairs = cut(star(star(pairs, True), False))
+        pairs = pairs.coalesce(1) if before[0] <= SMALL else pairs
         now = mark(pairs)
         if now == before:
             break
