@@ -6,15 +6,16 @@ coordinate is filled whatever the size of the set, mostly after few rounds. Coor
 the Jaccard similarity, with the concentration of independent samples. Bands of ``r`` coordinates are hashed to
 buckets; with 32 bands of 5, two sets at a similarity of 0.8 share no bucket once in about 300,000 times.
 
-Equal sets are one class from the start. In each bucket every class is paired with the bucket's first class,
-which is linear in the bucket's size; the pairs are verified on the full sets and connected. In buckets that then
-still hold several components, classes are paired with a few more leaders from other components, twice. Only what
-is still apart after that is compared in full: all pairs of a bucket between different components. What is between
-classes of one component need not be: it can't change the result. So no candidate is dropped and a group of near
-copies, however large, doesn't make all its pairs.
-
-Before the full sets are fetched, a pair must agree in as many coordinates of the sketches (of which a byte each is
-kept) as a similarity of 0.8 gives but once in 10 ** 9 times, by the concentration of the sketch.
+Equal sets are one class from the start. In each bucket every class is paired with the bucket's leader, the class that
+meets the most others over all bands and so lies near the middle of a group of near copies; these pairs, linear in
+the bucket's size, are verified on the full sets and connected. What is between classes of one component can't change
+the result any more. Buckets that then still hold several components are dealt into blocks of a bounded number of
+shingles, and pairs of blocks meet in tasks: first with the sketches alone, which leaves the classes that may have a
+partner in another component, then these with their full sets. A task hands on at most one link for each class, as
+many as connect what it has found, so neither step makes a row for each pair; no candidate is dropped.
+
+Before full sets are compared, a pair must agree in as many coordinates of the sketches (of which a byte each is
+kept) as a similarity of 0.8 gives but about 3 in a million times.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import types as T
 from dockyard.llm.shared import components, cut, table
 
 BANDS, ROWS = 32, 5
+#: Shingles in a block of a bucket; more are dealt into more blocks. Standard deviations allowed to an agreement of sketches.
+BLOCK, SPREAD = 250_000, 4.5
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -81,8 +84,8 @@ def sketch(hashes: np.ndarray, t: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """From ``id`` and ``text``: ``id``, ``n`` (set size), ``f`` and ``g`` (128 bits that tell sets apart), ``bands`` and ``w``,
-    a byte of each coordinate."""
+    """From ``id`` and ``text``: ``id``, ``n`` (set size), ``f`` and ``g`` (128 bits that tell sets apart), ``w``, a byte of
+    each coordinate, and ``bands``, a hash of the bytes of each band."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s1, s2 = seeds(2, 5)
@@ -94,28 +97,31 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
                 if not len(h):
                     out.append((k, 0, 0, 0, None, None))
                     continue
-                coordinates = sketch(h, bands * rows)
-                parts = coordinates.reshape(bands, rows)
+                w = _mix(sketch(h, bands * rows)).astype(np.uint8)
+                parts = w.reshape(bands, rows).astype(np.uint64)
                 b = tell
                 for j in range(rows):
                     b = _mix(b * np.uint64(0x9E3779B97F4A7C15) + parts[:, j])
                 f, g = _mix(h ^ s1).sum(dtype=np.uint64), _mix(h ^ s2).sum(dtype=np.uint64)
-                out.append((k, len(h), int(f.astype(np.int64)), int(g.astype(np.int64)), b.astype(np.int64), _mix(coordinates).astype(np.uint8).tobytes()))
+                out.append((k, len(h), int(f.astype(np.int64)), int(g.astype(np.int64)), b.astype(np.int64), w.tobytes()))
             yield pd.DataFrame(out, columns=["id", "n", "f", "g", "bands", "w"]).astype({"id": "Int64"})
 
     return docs.mapInPandas(made, "id long, n long, f long, g long, bands array<long>, w binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """From ``id`` and ``text``: ``id`` and ``s``, the full set of shingle hashes."""
+    """From ``id`` and ``text``: ``id``, ``s``, the full sorted set of shingle hashes, and its ``f`` as in ``signatures``."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        salt = seeds(2, 5)[0]
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 b = batch.iloc[at : at + 1000]
-                yield pd.DataFrame({"id": b["id"], "s": [shingles(t, width).astype(np.int64) for t in b["text"]]})
+                sets = [shingles(t, width) for t in b["text"]]
+                f = [int(_mix(s ^ salt).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
+                yield pd.DataFrame({"id": b["id"], "s": [s.astype(np.int64) for s in sets], "f": f})
 
-    return docs.mapInPandas(made, "id long, s array<long>")
+    return docs.mapInPandas(made, "id long, s array<long>, f long")
 
 
 def _alike(x: Column, y: Column, percent: int) -> Column:
@@ -132,12 +138,16 @@ def _agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series((a == b).sum(1, dtype=np.int32))
 
 
+def _least(t: int, percent: int) -> int:
+    """Coordinates in which sketches of sets at the threshold agree but in few cases."""
+    p = percent / 100
+    return int(t * p - SPREAD * np.sqrt(t * p * (1 - p)))
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int, t: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose full sets have 100 * intersection >= percent * union."""
-    p = percent / 100
-    fewest = int(t * p - 6 * np.sqrt(t * p * (1 - p)))
     x, y = (sketches.select(F.col("id").alias(k), F.col("w").alias("w" + k)) for k in "ab")
-    likely = cut(pairs.join(x, "a").join(y, "b").where(_agreeing("wa", "wb") >= fewest).select("a", "b"))
+    likely = cut(pairs.join(x, "a").join(y, "b").where(_agreeing("wa", "wb") >= _least(t, percent)).select("a", "b"))
     needed = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
     sets = cut(_sets(docs.join(needed, "id", "left_semi"), width))
     left = likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
@@ -146,15 +156,90 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _led(members: DataFrame, leaders: list[Column], percent: int) -> DataFrame:
-    """Pairs of each member of a bucket with the bucket's leaders (smallest by the given columns) of other components."""
-    first = [F.min(F.struct(order.alias("o"), "m", "n", "c")) for order in leaders]
-    heads = members.groupBy("bucket").agg(F.array(*first).alias("heads"))
-    met = members.join(heads, "bucket").select("m", "n", "c", F.explode("heads").alias("l"))
-    apart = met.where((F.col("c") != F.col("l.c")) & _alike(F.col("n"), F.col("l.n"), percent))
+def _led(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each member of a bucket with the bucket's leader: the member whose buckets hold the most in all."""
+    met = members.groupBy("m").agg(F.sum("size").alias("met"))
+    heads = members.join(met, "m").groupBy("bucket").agg(F.min(F.struct(-F.col("met"), "m", "n")).alias("l"))
+    apart = members.join(heads, "bucket").where((F.col("m") != F.col("l.m")) & _alike(F.col("n"), F.col("l.n"), percent))
     return apart.select(F.least("m", F.col("l.m")).alias("a"), F.greatest("m", F.col("l.m")).alias("b")).distinct()
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members in the groups ``part``, ``i``, ``j`` that are compared: pairs of blocks of a large bucket, or many small buckets.
+    ``own`` is a member's block."""
+    parts = max(1, (members.agg(F.sum("n")).first()[0] or 0) // BLOCK)
+    blocks = members.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("m"), "blocks").cast("int"))
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.when(F.col("blocks") == 1, F.pmod("bucket", F.lit(parts))).otherwise(F.col("bucket")).alias("part")
+    return other.select(*members.columns, "own", part, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _partners(d: pd.DataFrame, least: int, bands: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a group (ordered by bucket) with those later rows that they may link with: of the same bucket, another component
+    and a fitting size, with alike sketches that share no band before the bucket's (in which they meet as well)."""
+    w = np.frombuffer(b"".join(d["w"]), dtype=np.uint8).reshape(len(d), -1)
+    n, c, own, band, bucket = (d[k].to_numpy() for k in ("n", "c", "own", "k", "bucket"))
+    two = d["i"].iat[0] != d["j"].iat[0]
+    starts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(d)]
+    for end, x in ((e, x) for s, e in zip(starts[:-1], starts[1:]) for x in range(s, e - 1)):
+        fit = (c[x + 1 : end] != c[x]) & (100 * np.minimum(n[x], n[x + 1 : end]) >= percent * np.maximum(n[x], n[x + 1 : end]))
+        if two:
+            fit &= own[x + 1 : end] != own[x]
+        at = x + 1 + np.flatnonzero(fit)
+        if not len(at):
+            continue
+        same = w[at] == w[x]
+        enough = same.sum(1) >= least
+        if band[x] and enough.any():
+            enough &= ~same.reshape(len(at), bands, -1)[:, : band[x]].all(2).any(1)
+        if enough.any():
+            yield x, at[enough]
+
+
+def _apart(members: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int, bands: int, t: int) -> DataFrame:
+    """Links ``a``, ``b`` that connect classes of a bucket in different components as all their verified pairs do."""
+    least = _least(t, percent)
+
+    def hopeful(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("bucket", ignore_index=True)
+        rows = np.zeros(len(d), dtype=bool)
+        for x, at in _partners(d, least, bands, percent):
+            rows[x] = rows[at] = True
+        return d.loc[rows, ["bucket", "k", "m", "f", "n", "c"]]
+
+    def linked(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("bucket", ignore_index=True)
+        root = {c: c for c in d["c"]}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        c, m, sets, out = d["c"].tolist(), d["m"].tolist(), d["s"].tolist(), []
+        n = d["n"].to_numpy()
+        for x, at in _partners(d, least, bands, percent):
+            mine = sets[x]
+            for start in range(0, len(at), 256):
+                some = at[start : start + 256]
+                every = np.concatenate([sets[y] for y in some])
+                found = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+                shared = np.add.reduceat(found.astype(np.int64), np.r_[0, np.cumsum(n[some])[:-1]])
+                for y in some[100 * shared >= percent * (n[x] + n[some] - shared)]:
+                    if (u := top(c[x])) != (v := top(c[y])):
+                        root[u] = v
+                        out.append((min(m[x], m[y]), max(m[x], m[y])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    met = _dealt(members).join(sketches.withColumnRenamed("id", "m"), ["m", "f"]).groupBy("part", "i", "j")
+    some = cut(met.applyInPandas(hopeful, "bucket long, k int, m long, f long, n long, c long").distinct())
+    needed = some.select(F.col("m").alias("id")).distinct()
+    sets = _sets(docs.join(needed, "id", "left_semi"), width).dropDuplicates(["id", "f"])
+    whole = sketches.join(sets, ["id", "f"]).withColumnRenamed("id", "m")
+    return cut(_dealt(some).join(whole, ["m", "f"]).groupBy("part", "i", "j").applyInPandas(linked, "a long, b long"))
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -172,37 +257,25 @@ def near_duplicates(
     # One class for each set; its id is the smallest of its documents'.
     classes = usable.groupBy("n", "f", "g").agg(F.min("id").alias("c"))
     first = cut(usable.join(classes.withColumnRenamed("c", "id"), ["n", "f", "g", "id"]).dropDuplicates(["n", "f", "g"]))
-    sketches = first.select("id", "w")
-    spread = first.select(F.col("id").alias("m"), "n", F.posexplode("bands").alias("k", "h")).select(
-        "m", "n", F.xxhash64("k", "h").alias("bucket")
+    sketches = first.select("id", "f", "w")
+    spread = first.select(F.col("id").alias("m"), "f", "n", F.posexplode("bands").alias("k", "h")).select(
+        "m", "f", "n", "k", F.xxhash64("k", "h").alias("bucket")
     )
-    several = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = cut(spread.join(several, "bucket").withColumn("c", F.col("m")))
+    several = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = cut(spread.join(several, "bucket"))
 
     # Rows of one document with different texts tie their classes together.
     own_class = usable.join(classes, ["n", "f", "g"]).select("id", "c")
     tied = own_class.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z")
     linked = own_class.join(tied, "id").where("c <> a").select("a", F.col("c").alias("b"))
-    roots = None
-    draws = [[F.col("m")], *[[F.xxhash64("m", F.lit(3 * k + j)) for j in range(3)] for k in range(2)], None]
-    for leaders in draws:
-        if leaders:
-            pairs = _led(members, leaders, percent)
-        else:
-            other = members.select("bucket", F.col("m").alias("m2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            met = members.join(other, "bucket").where((F.col("c") < F.col("c2")) & _alike(F.col("n"), F.col("n2"), percent))
-            pairs = met.select(F.least("m", "m2").alias("a"), F.greatest("m", "m2").alias("b")).distinct()
-        found = _verified(pairs, sketches, own, width, percent, bands * rows)
-        edges = found if roots is None else found.union(roots.select(F.col("component").alias("a"), F.col("node").alias("b")))
-        roots = components(edges if roots is not None else edges.union(linked))
-        # Go on with the buckets that hold several components.
-        placed = members.drop("c").join(roots.withColumnRenamed("node", "m"), "m", "left")
-        placed = placed.select("bucket", "m", "n", F.coalesce("component", "m").alias("c"))
-        split = placed.groupBy("bucket").agg(F.min("c").alias("u"), F.max("c").alias("v")).where("u <> v").select("bucket")
-        if leaders:
-            members = cut(placed.join(split, "bucket"))
-            if members.isEmpty():
-                break
+    near = cut(_verified(_led(members, percent), sketches, own, width, percent, bands * rows).union(linked))
+    roots = components(near)
+    # Go on with the buckets that hold several components.
+    placed = members.drop("size").join(roots.withColumnRenamed("node", "m"), "m", "left")
+    placed = placed.select("bucket", "k", "m", "f", "n", F.coalesce("component", "m").alias("c"))
+    split = placed.groupBy("bucket").agg(F.min("c").alias("u"), F.max("c").alias("v")).where("u <> v").select("bucket")
+    more = _apart(cut(placed.join(split, "bucket")), sketches, own, width, percent, bands, bands * rows)
+    roots = components(roots.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
     rooted = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select(
         "n", "f", "g", F.coalesce("component", "c").alias("component_id")
     )
