@@ -119,7 +119,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 b = batch.iloc[at : at + 1000]
                 sets = [shingles(t, width) for t in b["text"]]
                 f = [int(_mix(s ^ salt).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-                yield pd.DataFrame({"id": b["id"], "s": [s.astype(np.int64) for s in sets], "f": f})
+                yield pd.DataFrame({"id": b["id"], "s": [np.sort(s.astype(np.int64)) for s in sets], "f": f})
 
     return docs.mapInPandas(made, "id long, s array<long>, f long")
 
