@@ -144,12 +144,10 @@ def _least(t: int, percent: int) -> int:
     return int(t * p - SPREAD * np.sqrt(t * p * (1 - p)))
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int, t: int) -> DataFrame:
+def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, t: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose full sets have 100 * intersection >= percent * union."""
     x, y = (sketches.select(F.col("id").alias(k), F.col("w").alias("w" + k)) for k in "ab")
     likely = cut(pairs.join(x, "a").join(y, "b").where(_agreeing("wa", "wb") >= _least(t, percent)).select("a", "b"))
-    needed = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-    sets = cut(_sets(docs.join(needed, "id", "left_semi"), width))
     left = likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -197,7 +195,7 @@ def _partners(d: pd.DataFrame, least: int, bands: int, percent: int) -> Iterator
             yield x, at[enough]
 
 
-def _apart(members: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int, bands: int, t: int) -> DataFrame:
+def _apart(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, bands: int, t: int) -> DataFrame:
     """Links ``a``, ``b`` that connect classes of a bucket in different components as all their verified pairs do."""
     least = _least(t, percent)
 
@@ -234,8 +232,6 @@ def _apart(members: DataFrame, sketches: DataFrame, docs: DataFrame, width: int,
 
     met = _dealt(members).join(sketches.withColumnRenamed("id", "m"), ["m", "f"]).groupBy("part", "i", "j")
     some = cut(met.applyInPandas(hopeful, "bucket long, k int, m long, f long, n long, c long").distinct())
-    needed = some.select(F.col("m").alias("id")).distinct()
-    sets = _sets(docs.join(needed, "id", "left_semi"), width).dropDuplicates(["id", "f"])
     whole = sketches.join(sets, ["id", "f"]).withColumnRenamed("id", "m")
     return cut(_dealt(some).join(whole, ["m", "f"]).groupBy("part", "i", "j").applyInPandas(linked, "a long, b long"))
 
@@ -263,18 +259,21 @@ def near_duplicates(
     )
     several = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(spread.join(several, "bucket"))
+    # The texts are shuffled once, for the sets of all classes that meet another one.
+    meeting = members.select(F.col("m").alias("id")).distinct()
+    sets = cut(_sets(own.join(meeting, "id", "left_semi").dropDuplicates(["id", "text"]), width))
 
     # Rows of one document with different texts tie their classes together.
     own_class = usable.join(classes, ["n", "f", "g"]).select("id", "c")
     tied = own_class.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z")
     linked = own_class.join(tied, "id").where("c <> a").select("a", F.col("c").alias("b"))
-    near = cut(_verified(_led(members, percent), sketches, own, width, percent, bands * rows).union(linked))
+    near = cut(_verified(_led(members, percent), sketches, sets, percent, bands * rows).union(linked))
     roots = components(near)
     # Go on with the buckets that hold several components.
     placed = members.drop("size").join(roots.withColumnRenamed("node", "m"), "m", "left")
     placed = placed.select("bucket", "k", "m", "f", "n", F.coalesce("component", "m").alias("c"))
     split = placed.groupBy("bucket").agg(F.min("c").alias("u"), F.max("c").alias("v")).where("u <> v").select("bucket")
-    more = _apart(cut(placed.join(split, "bucket")), sketches, own, width, percent, bands, bands * rows)
+    more = _apart(cut(placed.join(split, "bucket")), sketches, sets, percent, bands, bands * rows)
     roots = components(roots.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
     rooted = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select(
         "n", "f", "g", F.coalesce("component", "c").alias("component_id")
