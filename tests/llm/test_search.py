@@ -70,6 +70,33 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_hot_label(spark):
+    """A label in a cone, with more copies of a vector than a window holds, against brute force."""
+    rng = np.random.default_rng(8)
+    middle, vectors = 3 * rng.standard_normal(32), []
+    for _ in range(2000):  # pairs a little over the threshold among vectors of typical cosine 0.9
+        base, way = middle + rng.standard_normal(32), rng.standard_normal(32)
+        vectors += [base, base + 0.19 * np.linalg.norm(base) / np.linalg.norm(way) * way]
+    vectors += [vectors[0]] * 150 + [vectors[2]] * 90
+    ids = [*range(len(vectors)), -1, -1]
+    vectors += [vectors[0], vectors[2]]  # one id with both
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>, label int")
+    x = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.98) & (np.array(ids)[:, None] != np.array(ids)[None, :])
+    component = np.array(ids)
+    while True:
+        least = np.where(near, component[None, :], component[:, None]).min(1)
+        least[-2:] = least[-2:].min()
+        if (least == component).all():
+            break
+        component = least
+    links = near.sum(1)
+    links[-2:] = links[-2:].sum()
+    want = {i: (n, c) for i, n, c in zip(ids, links.tolist(), component.tolist())}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
+    assert [(i, got[i], want[i]) for i in want if got[i] != want[i]] == []
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, (rng.standard_normal(8) * rng.exponential()).tolist()) for i in range(300)]
