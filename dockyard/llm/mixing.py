@@ -11,20 +11,28 @@ domains to the targets and else stay near 1:
 where t_d are a document's tokens, b_k the target totals and c_k the totals at r = 1. In the metric of the tokens
 the gradient of a document is sum_k p_dk (S_k - b_k) / c_k + hold (r_d - 1), and its largest eigenvalue is at most
 1 + hold, so steps of 1 / (1 + hold) descend; each iteration is one sum over the documents, of as many numbers as
-there are domains. Only these sums and the classifier's table of ``buckets`` rows, both of fixed size, reach the
-driver or are broadcast.
+there are domains.
+
+With a fixed hold the totals stay between the present ones and the targets. So the K totals then get multipliers:
+the minimum has the form r_d = max(least, 1 + sum_k m_k p_dk), and Newton steps on the m, each one sum over the
+documents of about K ** 2 / 2 numbers, solve S_k - b_k + hold c_k m_k = 0 while hold falls towards 0, until every
+total is within ``near`` of its target. What remains of the ridge only chooses the rates nearest to 1. Only these
+sums and the classifier's table of ``buckets`` rows, all of fixed size, reach the driver or are broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import logging
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockyard.llm.shared import cut, table
 
 BUCKETS = 1 << 12
+log = logging.getLogger(__name__)
 
 
 def _words(text: Column) -> Column:
@@ -133,26 +141,127 @@ def rates(
     return members.withColumn("rate", r), [before, now]
 
 
+def reach(
+    members: DataFrame,
+    targets: list[float],
+    hold: float = 0.05,
+    budget: float = 1.0,
+    least: float = 0.0,
+    near: float = 1e-3,
+    rounds: int = 200,
+    names: Sequence[int] | None = None,
+) -> tuple[DataFrame, list[list[float]], float]:
+    """As ``rates``, but with multipliers until each total is within ``near`` of its target; also the largest deviation.
+
+    The deviation of a total is relative to its target, or to all tokens where the target is 0. If it stays over
+    ``near``, which is so where no rates reach the targets, the hold falls as long as that brings them closer.
+    ``names`` are the numbers of the domains that ``targets`` are of. Documents without tokens add to no total and
+    keep a rate of 1.
+    """
+    names = list(range(len(targets)) if names is None else names)
+    want = np.array(targets, dtype=float) / sum(targets)
+    first = members.agg(*[F.sum(F.col(f"p{k}") * F.col("tokens")).alias(f"s{k}") for k in names]).first()
+    start = np.array([v or 0.0 for v in first])
+    total = start.sum()
+    if not total:
+        return members.withColumn("rate", F.lit(1.0)), [start.tolist()] * 2, 0.0
+    scale, goal = np.maximum(start / total, 1e-9), want * budget
+    t = F.col("tokens") / float(total)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+
+    def level(m: np.ndarray) -> Column:
+        return sum((F.col(f"p{k}") * float(x) for k, x in zip(names, m)), F.lit(1.0))
+
+    def measured(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, their derivatives and the sum of the potentials, in terms of all tokens."""
+        z = F.col("_z")
+        free, r = F.when(z > least, t).otherwise(0.0), F.greatest(F.lit(float(least)), z)
+        row = (
+            members.withColumn("_z", level(m))
+            .agg(
+                *[F.sum(F.col(f"p{k}") * t * r) for k in names],
+                *[F.sum(F.col(f"p{names[i]}") * F.col(f"p{names[j]}") * free) for i, j in pairs],
+                F.sum(t * F.when(z > least, z * z / 2).otherwise(z * least - least * least / 2)),
+            )
+            .first()
+        )
+        slope = np.zeros((len(want), len(want)))
+        for (i, j), v in zip(pairs, row[len(want) : -1]):
+            slope[i, j] = slope[j, i] = v
+        return np.array(row[: len(want)]), slope, row[-1]
+
+    def off(totals: np.ndarray) -> float:
+        return float(np.max(np.abs(totals - goal) / np.where(goal > 0, goal, 1.0)))
+
+    m = np.zeros(len(want))
+    totals, slope, height = measured(m)
+    left, h, idle, least_off = rounds, hold, 0, off(totals)
+    while off(totals) > near and h >= 1e-9 and left > 0 and idle < 2:
+        value = lambda q, high: high + h * (scale * q * q).sum() / 2 - (goal * q).sum()  # noqa: B023, E731
+        while left > 0:
+            gradient = totals - goal + h * scale * m
+            if np.max(np.abs(gradient) / np.maximum(goal, 1e-9)) < near / 10 or off(totals) <= near:
+                break
+            move, part = -np.linalg.lstsq(slope + h * np.diag(scale), gradient, rcond=None)[0], 1.0
+            while left > 0:
+                left -= 1
+                there = measured(m + part * move)
+                if value(m + part * move, there[2]) <= value(m, height) + 1e-4 * part * (gradient @ move) + 1e-13 or part < 1e-6:
+                    break
+                part /= 2
+            m, (totals, slope, height) = m + part * move, there
+        h /= 10
+        idle = idle + 1 if off(totals) > 0.98 * least_off else 0
+        least_off = min(least_off, off(totals))
+    rated = members.withColumn("rate", F.greatest(F.lit(float(least)), F.when(F.col("tokens") > 0, level(m)).otherwise(1.0)))
+    return rated, [start.tolist(), (totals * total).tolist()], off(totals)
+
+
+def _room(members: DataFrame, targets: list[float], names: Sequence[int], least: float) -> float:
+    """The least budget at which no total of the rates ``least`` is over its target; at least 1."""
+    row = members.agg(*[F.sum(F.col(f"p{k}") * F.col("tokens")) for k in names]).first()
+    total = sum(v or 0.0 for v in row)
+    return max(1.0, *[least * (v or 0.0) / total * sum(targets) / t for v, t in zip(row, targets) if t > 0]) if total else 1.0
+
+
 def mix(
     docs: DataFrame,
     labelled: DataFrame,
     targets: Mapping[str, float],
     text: str = "text",
     key: str = "doc_id",
-    budget: float = 1.0,
+    budget: float | None = 1.0,
     least: float = 0.0,
+    near: float = 1e-3,
     **options,
 ) -> DataFrame:
     """Columns ``key``, ``tokens`` (long), ``posteriors`` (by domain), ``rate`` and ``copies``, a row for each of ``docs``.
 
     ``copies`` is the rate rounded up or down by a hash of the id, so that its expectation is the rate: a document
-    with rate 0 goes, one with rate 2.3 comes two or three times. A null or empty text has no tokens and keeps the
-    rate that its posteriors (the prior) give it. Domains without labelled rows get the smoothed prior. An empty
-    table gives an empty result; other columns are not read.
+    with rate 0 goes, one with rate 2.3 comes two or three times. A null or empty text has no tokens and a rate of 1.
+    Domains without labelled rows get the smoothed prior; no document can be told to be of them, so their targets go
+    to the others in proportion, with a warning. Another warning tells the deviation where it stays over ``near``.
+    Without a ``budget`` it is what the present totals times ``least`` need at the targets, and a little more at a
+    time, up to twice that, until the targets are reached. An empty table gives an empty result; other columns are
+    not read.
     """
     domains = sorted(targets)
     members = cut(posteriors(docs, labelled, domains, text, key, **options))
-    rated, _ = rates(members, [targets[d] for d in domains], budget=budget, least=least)
+    known = labelled.join(docs.select(key), key, "left_semi").where(F.col("domain").isin(domains))
+    seen = {r.domain for r in known.select("domain").distinct().collect()}
+    names = [k for k, d in enumerate(domains) if d in seen]
+    if len(names) < len(domains):
+        log.warning("domains without labelled rows are left out of the targets: %s", [d for d in domains if d not in seen])
+    wanted = [targets[domains[k]] for k in names]
+    rated = members.withColumn("rate", F.lit(max(1.0, float(least))))
+    if sum(wanted):
+        tries = [budget] if budget is not None else [_room(members, wanted, names, least) * x for x in (1.02, 1.1, 1.25, 1.5, 2.0)]
+        for tried in tries:
+            rated, (_, after), off = reach(members, wanted, budget=tried, least=least, near=near, names=names)
+            if off <= near:
+                break
+        else:
+            log.warning("the targets are not reached: a total is off by %.4f of its target; totals are %s", off, after)
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     low = F.floor("rate")
     return rated.select(

@@ -108,6 +108,19 @@ def test_rates_agree_with_plain_projected_gradient(spark):
     assert np.allclose(before, start)
 
 
+def test_mixing_reaches_each_target(spark, corpus, caplog):
+    docs, labels = corpus
+    for targets in ({"de-0": 0.005, "de-1": 0.195, "en-0": 0.015, "en-1": 0.785}, {"de-0": 0.3, "de-1": 0.3, "en-0": 0.3, "en-1": 0.1}):
+        rows = mixing.mix(docs, mixing.labelled_domains(docs, labels), targets).collect()
+        total = sum(r.tokens for r in rows)
+        for d, share in targets.items():
+            got = sum(r.tokens * r.posteriors[d] * r.rate for r in rows) / total
+            assert abs(got / share - 1) < 2e-3, (d, got)
+    assert not caplog.records
+    mixing.mix(docs, mixing.labelled_domains(docs, labels), {"de-0": 0.01, "en-1": 0.98, "fr-1": 0.01}, budget=1.0, least=1.0)
+    assert "fr-1" in caplog.text and "not reached" in caplog.text
+
+
 def test_encoder_equals_tokenizer():
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
