@@ -218,3 +218,16 @@ def test_pipeline(spark, corpus, tmp_path):
     assert set(mixed) == set(kept)
     assert {r.doc_id for r in seen["best_fit_packing"].collect()} == set(mixed)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["best_fit_packing"].count()
+
+
+def test_mixing_stage_reaches_targets(spark, corpus, tmp_path):
+    docs = corpus[0].where("doc_id < 1000").dropDuplicates(["doc_id"]).cache()
+    corpus[1].write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).groupBy("doc_id").count()
+    domains = mixing.posteriors(docs, mixing.labelled_domains(docs, corpus[1]), sorted(mixing.TARGETS))
+    met = domains.join(out, domains["id"] == out["doc_id"])
+    seen = {d: k for k, d in enumerate(sorted(mixing.TARGETS)) if d[:2] in ("de", "en")}
+    sums = met.agg(*[F.sum(F.col(f"p{k}") * F.col("tokens") * F.col("count")).alias(d) for d, k in seen.items()]).first()
+    scale = sum(mixing.TARGETS[d] for d in seen)
+    for d in seen:  # copies are whole numbers, so their totals stray a little from the expected ones
+        assert abs(sums[d] / sum(sums) / (mixing.TARGETS[d] / scale) - 1) < 0.05, (d, sums)
