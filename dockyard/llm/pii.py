@@ -141,6 +141,20 @@ def kind_of(x: Column) -> Column:
     )
 
 
+def _card_within(x: Column) -> Column:
+    """Start and end of the longest valid card between separators within a run of digits that is no card as a whole."""
+    at = F.sequence(F.lit(1), F.length(x))
+    gap = lambda i: x.substr(i, F.lit(1)).isin(" ", "-")
+    starts = F.filter(at, lambda i: (i == 1) | gap(i - 1))
+    ends = F.filter(at, lambda i: (i == F.length(x)) | gap(i + 1))
+    parts = F.flatten(
+        F.transform(starts, lambda i: F.transform(ends, lambda j: F.struct((j - i).alias("n"), (-i).alias("i"), j.alias("j"))))
+    )
+    fits = F.filter(parts, lambda s: (s["n"] >= 12) & (kind_of(x.substr(-s["i"], s["n"] + 1)) == "card"))
+    best = F.array_max(fits)
+    return F.when(x.rlike(f"^(?:{CARD})$") & best.isNotNull(), F.struct((-best["i"]).alias("i"), best["j"].alias("j")))
+
+
 def pseudonym(x: Column, kind: Column, key: str) -> Column:
     """The value's pseudonym in its own format; the value itself where the kind is null."""
     d = _digits(x)
@@ -250,13 +264,29 @@ def pseudonymise(docs: DataFrame, key: str = "dockyard", text: str = "text", kee
     """
     rows = docs.select(*keep, F.col(text).alias("_t"))
     hits = F.when(F.col("_t").rlike("[0-9@]"), F.regexp_extract_all("_t", F.lit(PATTERN), 0))
-    judged = F.transform(F.col("_hits"), lambda x: F.struct(x.alias("v"), kind_of(x).alias("k")))
-    new = F.transform(F.col("_judged"), lambda s: pseudonym(s["v"], s["k"], key))
+    told = F.transform(F.col("_hits"), lambda x: F.struct(x.alias("v"), kind_of(x).alias("k")))
+    # A card may be followed or preceded by other digits, such as an expiry date or a code: these stay as they are.
+    found = F.transform(F.col("_told"), lambda s: F.struct(s.alias("s"), F.when(s["k"].isNull(), _card_within(s["v"])).alias("c")))
+    judged = F.transform(
+        F.col("_found"),
+        lambda f: F.when(
+            f["c"].isNotNull(),
+            F.struct(
+                f["s"]["v"].substr(f["c"]["i"], f["c"]["j"] - f["c"]["i"] + 1).alias("v"),
+                F.lit("card").alias("k"),
+                f["s"]["v"].substr(F.lit(1), f["c"]["i"] - 1).alias("a"),
+                f["s"]["v"].substr(f["c"]["j"] + 1, F.length(f["s"]["v"])).alias("z"),
+            ),
+        ).otherwise(F.struct(f["s"]["v"].alias("v"), f["s"]["k"].alias("k"), F.lit("").alias("a"), F.lit("").alias("z"))),
+    )
+    new = F.transform(F.col("_judged"), lambda s: F.concat(s["a"], pseudonym(s["v"], s["k"], key), s["z"]))
     gaps = F.split("_t", PATTERN, -1)
     out = F.array_join(F.zip_with(gaps, F.col("_new"), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
     kinds = F.filter(F.col("_judged")["k"], lambda k: k.isNotNull())
     return (
         rows.withColumn("_hits", hits)
+        .withColumn("_told", told)
+        .withColumn("_found", found)
         .withColumn("_judged", judged)
         .withColumn("_new", new)
         .select(

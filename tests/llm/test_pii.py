@@ -135,3 +135,13 @@ def test_clean_null_empty_long_and_repeats(spark):
     assert out[-1].text == " and ".join([expected("1.2.3.4", "ip")] * 2)
     empty = spark.createDataFrame([], "doc_id long, text string, _t string, kinds int")
     assert pii.pseudonymise(empty).count() == 0
+
+
+def test_card_with_other_digits(spark):
+    card = "4041 8949 7460 8795"
+    shapes = ["{} 03/27", "{} 123", "{} 12", "no. 12 {}", "{}-03/27, due"]
+    out = rows(spark, [s.format(card) for s in shapes])
+    for s, r in zip(shapes, out):
+        whole = re.sub(r"\D", "", re.search(pii.CARD, s.format(card))[0])
+        assert luhn(whole) != 0  # or the digits would pass together
+        assert r.text == s.format(expected(card, "card")) and r.kinds == ["card"] and r.n_replaced == 1
