@@ -1,20 +1,28 @@
 """Best-fit packing of tokenised documents into sequences by bin completion.
 
 How pieces can share sequences depends on their lengths alone, so the search runs on the histogram of lengths,
-which has at most ``capacity`` entries however large the corpus is. It starts from best-fit decreasing as the
-incumbent. If that misses the lower bound, bin completion goes on: around the longest piece left, the
-undominated fillings of the rest of its sequence are enumerated, least waste first; each is used as often as
-the counts allow; a branch is cut as soon as its waste exceeds what a better solution than the incumbent may
-waste. The outcome is a short list of patterns with their numbers of uses. Spark does the rest: it tokenises
+which has at most ``capacity`` entries however large the corpus is. It is a branch and bound: a node completes one
+sequence around the longest piece left, its children are the undominated fillings of the sequence's rest and the
+numbers of times each is used. The first child is the filling of the greatest worth, where a piece of n tokens is
+worth n (1 + steep n / capacity): like waste, but long pieces that are hard to place later count for more. The
+others follow by rising waste. A branch is cut when its waste, or the lower bound of what is left, exceeds what a
+solution better than the incumbent allows; incumbents are best-fit decreasing of the whole and of the nodes' rests.
+Each worth in ``STEEP`` is first followed straight down, then the tree is searched in depth, until the lower
+bound is reached, the tree is spent or the one budget, ``work``, is: lengths offered to a filling. The bound comes
+back with the patterns, so that what the budget may have cost is known.
+
+The outcome is a short list of patterns with their numbers of uses. Spark does the rest: it tokenises
 in map tasks, ranks pieces of equal length in salted groups, and looks up each rank's place in the patterns.
 """
 
 from __future__ import annotations
 
+import json
+import logging
 import math
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,38 +34,58 @@ from pyspark.sql import types as T
 from dockyard.llm.shared import cut, table
 
 CAPACITY, END = 1024, 2
+#: How much more long pieces are worth, by descent; lengths that the search may offer to fillings in all.
+STEEP, WORK = (0.4, 0.2, 0.1, 0.8), 600_000
 Pattern = tuple[tuple[int, ...], int]
+log = logging.getLogger(__name__)
 
 
-class Encoder(dict):
-    """Token ids of the pre-tokens of a byte-level BPE tokenizer, each encoded once while it is remembered."""
+class Encoder:
+    """Token ids of a tokenizer file: just those of ``tokenizers``' own encoding without special tokens added.
 
-    MOST = 500_000
+    A byte-level BPE file whose ids follow its merges, without a normaliser, is encoded by tiktoken with the file's own
+    vocabulary, which gives the same ids in less than half the time. Texts that hold the string of an added token, or
+    so much white space in a row that tiktoken's pattern gives up, and all other files go to ``tokenizers``.
+    """
+
+    #: The pattern of byte-level pre-tokens, written so that it needs no backtracking within a run.
+    PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
     #: How byte-level BPE writes bytes as characters: those that print stand for themselves, the others follow 255.
     PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    SIGNS = {b: b for b in PRINT} | {b: 256 + i for i, b in enumerate(b for b in range(256) if not 33 <= b < 127 and not 161 <= b < 173 and b < 174)}
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.merge = self.tokenizer.model.tokenize
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple([t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.SIGNS))])
-        if len(piece) < 40:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def ids(self, text: str | None) -> np.ndarray:
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        added = [a["content"] for a in told.get("added_tokens") or []]
+        self.odd = re.compile("|".join([r"\s{100000}", *map(re.escape, added)]))
+        self.fast = self._fast(told)
+
+    def _fast(self, told: dict):
+        import tiktoken
+
+        model, pre = told["model"], told["pre_tokenizer"] or {}
+        plain = {"add_prefix_space": False, "use_regex": True, "type": "ByteLevel"}
+        if told["normalizer"] or model["type"] != "BPE" or any(pre.get(k) != v for k, v in plain.items()):
+            return None
+        if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order = [vocabulary[a + b] for a, b in merges]
+        if order != sorted(order) or len(order) + 256 != len(vocabulary):
+            return None
+        byte = {chr(b): b for b in self.PRINT} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(self.PRINT)))}
+        ranks = {bytes(byte[c] for c in token): n for token, n in vocabulary.items()}
+        return tiktoken.Encoding("file", pat_str=self.PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ids(self, text: str | None) -> list[int]:
         if not text:
-            return np.zeros(0, dtype="<u4")
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.cut(text))), dtype="<u4")
+            return []
+        if self.fast is None or self.odd.search(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast(text)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -82,16 +110,18 @@ def pieces(
     """Tokenise and cut: ``key``, ``piece``, ``start``, ``length``, ``ids_crc32`` (and ``ids``).
 
     A document is its ids and then ``end``; a longer one than ``capacity`` is cut so that only its first piece
-    may be shorter. A null or empty text is the id ``end`` alone.
+    may be shorter. A null or empty text is the id ``end`` alone. Whole texts are read, whatever their length. Rows
+    without an id and repeated rows are each cut on their own; an empty table gives an empty result; other columns
+    are not read, so their names can't clash.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
+        encode = encoder(path).ids
         for batch in batches:
             rows = []
             for k, t in zip(batch["id"], batch["text"]):
-                ids = np.append(encode.ids(t), np.uint32(end)).astype("<u4")
+                ids = np.array([*encode(t), end], dtype="<u4")
                 first = len(ids) % capacity or capacity
                 for n, at in enumerate([0, *range(first, len(ids), capacity)]):
                     own = ids[at : first if n == 0 else at + capacity]
@@ -137,106 +167,210 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """The larger of the volume bound and, over thresholds k, the bound of pieces too large to share a bin."""
-    total = sum(n * c for n, c in counts.items())
-    best = -(-total // capacity)
-    lengths = sorted(counts)
-    for k in [x for x in lengths if x <= capacity // 2]:
-        big = sum(c for n, c in counts.items() if n > capacity - k)
-        middle = [(n, c) for n, c in counts.items() if capacity / 2 < n <= capacity - k]
-        m = sum(c for _, c in middle)
-        free = m * capacity - sum(n * c for n, c in middle)
-        small = sum(n * c for n, c in counts.items() if k <= n <= capacity // 2)
-        best = max(best, big + m + max(0, -(-(small - free) // capacity)))
-    return best
-
-
-def fillings(room: int, counts: dict[int, int], lengths: list[int], most: int = 24) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first: none that another one could take the place of.
-
-    A single piece replaces every set of smaller ones with no larger sum, so only sets that beat the largest
-    single one are looked at; among equal sums those of fewer, longer pieces come first.
+    """The larger of the volume bound and, over thresholds k, the bound of pieces too large to share a sequence."""
+    n = np.zeros(capacity + 2)
+    for length, c in counts.items():
+        n[length] = c
+    number, volume = np.cumsum(n), np.cumsum(n * np.arange(capacity + 2))
+    half = capacity // 2
+    k = np.arange(half + 1)
+    big = number[capacity] - number[capacity - k]
+    middle = number[capacity - k] - number[half]
+    free = middle * capacity - (volume[capacity - k] - volume[half])
+    small = volume[half] - np.where(k > 0, volume[k - 1], 0)
+    return int(max((big + middle + np.ceil(np.maximum(0, small - free) / capacity)).max(), math.ceil(volume[capacity] / capacity)))
+
+
+class Budget:
+    """What is left of the search's work."""
+
+    def __init__(self, work: int):
+        self.left = work
+
+
+def worthiest(room: int, left: dict[int, int], worth: np.ndarray, budget: Budget) -> tuple[int, ...]:
+    """The filling of ``room`` of the greatest worth: a knapsack over the lengths left, as often as they are left."""
+    lots = []
+    for n, c in left.items():
+        if n <= room:
+            c, k = min(c, room // n), 1
+            while c:
+                lots.append((n, min(k, c)))
+                c -= lots[-1][1]
+                k *= 2
+    budget.left -= len(lots)
+    best, taken = np.zeros(room + 1), np.zeros((len(lots), room + 1), dtype=bool)
+    for i, (n, k) in enumerate(lots):
+        more = best[: -n * k] + k * worth[n]
+        taken[i, n * k :] = more > best[n * k :] + 1e-9
+        np.maximum(best[n * k :], more, out=best[n * k :])
+    at, out = int(best.argmax()), []
+    for i in range(len(lots) - 1, -1, -1):
+        if taken[i, at]:
+            n, k = lots[i]
+            out += [n] * k
+            at -= n * k
+    return tuple(sorted(out, reverse=True))
+
+
+def fillings(room: int, left: dict[int, int], budget: Budget) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` by rising waste, longer pieces first among equals.
+
+    A filling is dominated if a piece that is left could take the place of one or more of its pieces and the sum
+    would grow, or stay with fewer pieces: the rest then finds room wherever that piece did. Sums are whole numbers,
+    so sets of sums are bits of one number, shifted to add a length.
     """
-    usable = [n for n in lengths if n <= room and counts[n]]
-    if not usable:
-        return [()]
-    single = usable[0]
-    found: dict[tuple[int, ...], int] = {(single,): room - single}
-    least = room - single
-    steps = 0
-
-    def search(at: int, left: int, chosen: tuple[int, ...]) -> None:
-        nonlocal least, steps
-        for i in range(at, len(usable)):
-            n = usable[i]
-            steps += 1
-            if steps > 4000 or len(found) >= most and not least:
+    lengths = [n for n in sorted(left, reverse=True) if n <= room]
+    if not lengths:
+        yield ()
+        return
+    whole = (1 << (room + 1)) - 1
+    reach = [1] * (len(lengths) + 1)  # sums that the lengths from here on can make
+    for i in range(len(lengths) - 1, -1, -1):
+        n, bits, k = lengths[i], reach[i + 1], 1
+        c = min(left[n], room // n)
+        while c:
+            bits |= (bits << n * min(k, c)) & whole
+            c -= min(k, c)
+            k *= 2
+        reach[i] = bits
+
+    def below(bits: int, waste: int) -> int:
+        """Sums that are at most ``waste`` smaller than one of ``bits``."""
+        done = 1
+        while done <= waste:
+            step = min(done, waste + 1 - done)
+            bits |= bits >> step
+            done += step
+        return bits
+
+    def search(i: int, rest: int, chosen: tuple, one: int, several: int, free: int, waste: int) -> Iterator[tuple[int, ...]]:
+        """``one`` and ``several``: sums of one and of more pieces chosen; ``free``: lengths of which some are left."""
+        if not rest:
+            yield chosen
+            return
+        for j in range(i, len(lengths)):
+            budget.left -= 1
+            if budget.left <= 0 or not reach[j] >> rest & 1:
                 return
-            if n > left or chosen.count(n) >= counts[n]:
+            n = lengths[j]
+            options, now = [], (rest, chosen, one, several, free)
+            for k in range(1, min(left[n], rest // n) + 1):
+                got, grown, single, more, still = now
+                more |= (single << n) | (more << n)
+                single |= 1 << n
+                still &= ~(1 << n) if k == left[n] else -1
+                if more & below(still, waste) or (waste and single & below(still >> 1, waste - 1)):
+                    break
+                now = (got - n, (*grown, n), single, more, still)
+                options.append(now)
+            for got, *state in reversed(options):
+                yield from search(j + 1, got, *state, waste)
+
+    longest = lengths[0]
+    for s in range(room, longest, -1):
+        yield from search(0, s, (), 0, 0, sum(1 << n for n in lengths), room - s)
+        if budget.left <= 0:
+            break
+    yield (longest,)
+
+
+class Search:
+    """Bin completion on a histogram, from best-fit decreasing as the first incumbent."""
+
+    def __init__(self, counts: dict[int, int], capacity: int, work: int):
+        self.capacity, self.budget = capacity, Budget(work)
+        self.counts = {n: c for n, c in sorted(counts.items(), reverse=True) if c}
+        self.total = sum(n * c for n, c in self.counts.items())
+        self.bound = lower_bound(self.counts, capacity)
+        self.best = best_fit(self.counts, capacity)
+        self.uses = sum(u for _, u in self.best)
+
+    def offer(self, used: int, path, left: dict[int, int]) -> None:
+        """Best-fit of what is left, after the patterns of ``path``, as an incumbent."""
+        tail = best_fit(left, self.capacity)
+        if (uses := used + sum(u for _, u in tail)) < self.uses:
+            self.uses, self.best = uses, tail
+            while path:
+                self.best.append(path[0])
+                path = path[1]
+
+    def children(self, node, worth: np.ndarray, straight: bool) -> Iterator:
+        """A node: what is left (longest first), sequences used, their waste, patterns so far (linked backwards), and the
+        fillings around the longest piece that other branches cover."""
+        left, used, waste, path, others = node
+        longest = next(iter(left))
+        rest = {n: c - (n == longest) for n, c in left.items() if c > (n == longest)}
+        first = worthiest(self.capacity - longest, rest, worth, self.budget)
+        seen = set(others)
+
+        def ordered() -> Iterator[tuple[int, ...]]:
+            yield first
+            if not straight:
+                yield from fillings(self.capacity - longest, rest, self.budget)
+
+        for f in ordered():
+            lost = self.capacity - longest - sum(f)
+            if waste + lost > (self.uses - 1) * self.capacity - self.total:
+                if f is first and not straight:
+                    continue
+                return  # the waste only grows
+            if f in seen:
                 continue
-            grown = (*chosen, n)
-            if room - single > left - n and left - n <= least + 2:
-                found[grown] = left - n
-                least = min(least, left - n)
-            if left - n >= usable[-1]:
-                search(i, left - n, grown)
-
-    if single < room:
-        search(0, room, ())
-    return [f for f, _ in sorted(found.items(), key=lambda x: (x[1], len(x[0]), tuple(-n for n in x[0])))][:most]
-
-
-def complete(counts: dict[int, int], capacity: int, nodes: int = 1500) -> list[Pattern]:
-    """Bin completion with best-fit decreasing as the first incumbent; at most ``nodes`` nodes are opened."""
-    counts = {n: c for n, c in counts.items() if c}
-    best = best_fit(counts, capacity)
-    uses = sum(u for _, u in best)
-    bound = lower_bound(counts, capacity)
-    total = sum(n * c for n, c in counts.items())
-    # A node: what is left, the waste so far and the patterns so far (linked backwards).
-    stack = [(counts, 0, 0, None)]
-    while stack and uses > bound and nodes:
-        nodes -= 1
-        left, waste, used, path = stack.pop()
-        if used * capacity + sum(n * c for n, c in left.items()) > (uses - 1) * capacity and left:
-            continue
-        if waste > (uses - 1) * capacity - total:
-            continue
-        if not left:
-            if used < uses:
-                uses, best = used, []
-                while path:
-                    best.append(path[0])
-                    path = path[1]
-            continue
-        tail = best_fit(left, capacity)
-        if used + (n := sum(u for _, u in tail)) < uses:
-            uses, best, back = used + n, list(tail), path
-            while back:
-                best.append(back[0])
-                back = back[1]
-        longest = max(left)
-        rest = left | {longest: left[longest] - 1}
-        options = []
-        for f in fillings(capacity - longest, rest, sorted(rest, reverse=True)):
             pattern = (longest, *f)
-            times = min(left[n] // pattern.count(n) for n in set(pattern))
-            after = {n: c - times * pattern.count(n) for n, c in left.items()}
-            lost = waste + times * (capacity - sum(pattern))
-            options.append(({n: c for n, c in after.items() if c}, lost, used + times, ((pattern, times), path)))
-        stack += options[::-1]
-    return best
+            most = min(left[n] // pattern.count(n) for n in set(pattern))
+            for times in range(most, 0, -1):
+                after = dict(left)
+                for n in set(pattern):
+                    after[n] -= times * pattern.count(n)
+                    if not after[n]:
+                        del after[n]
+                same = frozenset(seen | {f}) if times < most else frozenset()
+                yield after, used + times, waste + times * lost, ((pattern, times), path), same
+                if straight:
+                    return
+            seen.add(f)
+
+    def descend(self, steep: float, straight: bool) -> None:
+        """Search the tree in depth; ``straight`` follows first children alone."""
+        x = np.arange(self.capacity + 1) / self.capacity
+        worth = x * (1 + steep * x)
+        stack = [self.children((self.counts, 0, 0, None, frozenset()), worth, straight)] if self.counts else []
+        while stack and self.uses > self.bound and self.budget.left > 0:
+            node = next(stack[-1], None)
+            if node is None:
+                stack.pop()
+                continue
+            left, used, waste, path, _ = node
+            if waste > (self.uses - 1) * self.capacity - self.total or used + lower_bound(left, self.capacity) >= self.uses:
+                continue
+            if not left or len(stack) % 16 == 0 or len(left) < 32:
+                self.offer(used, path, left)
+            if left:
+                stack.append(self.children(node, worth, straight))
+
+
+def complete(counts: dict[int, int], capacity: int, work: int = WORK) -> tuple[list[Pattern], int]:
+    """Patterns with their numbers of uses that hold all pieces of the histogram, and a lower bound of the uses."""
+    search = Search(counts, capacity, work)
+    for steep in STEEP:
+        search.descend(steep, True)
+    search.descend(STEEP[0], False)
+    return search.best, search.bound
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", work: int = WORK) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``.
 
-    Each sequence holds its pieces gapless from 0. Repeated pieces are packed each on their own; an empty input
-    gives an empty result.
+    Each sequence holds its pieces gapless from 0. Repeated pieces and pieces without an id are packed each on their
+    own; an empty input gives an empty result. Other columns stay; ``sequence_id`` and ``offset`` replace columns of
+    these names. How many sequences there are, and the lower bound, goes to the log.
     """
     parts = cut(parts)
-    histogram = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    patterns = complete(histogram, capacity)
+    sizes = parts.groupBy("length").agg(F.count("*").alias("n"))
+    histogram = {r.length: r.n for r in sizes.collect()}  # at most ``capacity`` rows
+    patterns, bound = complete(histogram, capacity, work)
+    log.info("%d sequences, lower bound %d", sum(u for _, u in patterns), bound)
     slots: dict[int, list[tuple[int, int, int]]] = {}
     base = 0
     for pattern, uses in patterns:
@@ -261,16 +395,20 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Dat
             s[mine], o[mine] = bases[at] + ranks[mine] - starts[at], offsets[at]
         return pd.DataFrame({"s": s, "o": o})
 
-    # Ranks within a length: a salt keeps groups small, counts by length and salt say where each begins.
-    salts = max(1, math.ceil(sum(histogram.values()) / 50_000))
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(F.col(key), F.col("piece")), F.lit(salts)))
-    order = Window.partitionBy("length", "_salt").orderBy(key, "piece")
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")
-    begins = sizes.select("length", "_salt", before.alias("_before"))
-    ranked = salted.withColumn("_rank", F.row_number().over(order) - 1).join(begins, ["length", "_salt"])
-    put = ranked.withColumn("_place", place("length", F.col("_before") + F.col("_rank")))
-    return put.select(*parts.columns, F.col("_place.s").alias("sequence_id"), F.col("_place.o").alias("offset"))
+    # Ranks within a length: a salt for each root of its number of pieces keeps groups small, and counts by length and
+    # salt, as many again, say where each group begins. The salt follows the row's place in the checkpoint.
+    row = F.struct(*[F.col(c) for c in parts.columns])
+    own = parts.select(row.alias("_p"), F.col("length").alias("_l"), F.monotonically_increasing_id().alias("_row"))
+    salts = sizes.select(F.col("length").alias("_l"), F.ceil(F.sqrt("n") / 4).alias("_salts"))
+    salted = own.join(F.broadcast(salts), "_l").withColumn("_salt", F.pmod(F.xxhash64("_row"), "_salts"))
+    groups = salted.groupBy("_l", "_salt").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_l").orderBy("_salt")) - F.col("_n")
+    begins = groups.select("_l", "_salt", before.alias("_before"))
+    order = Window.partitionBy("_l", "_salt").orderBy("_row")
+    ranked = salted.withColumn("_rank", F.row_number().over(order) - 1).join(begins, ["_l", "_salt"])
+    put = ranked.withColumn("_place", place("_l", F.col("_before") + F.col("_rank")))
+    kept = [F.col("_p")[c].alias(c) for c in parts.columns if c not in ("sequence_id", "offset")]
+    return put.select(*kept, F.col("_place.s").alias("sequence_id"), F.col("_place.o").alias("offset"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,9 +124,11 @@ def test_mixing_reaches_each_target(spark, corpus, caplog):
 def test_encoder_equals_tokenizer():
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    texts = ["a  b\n\n c\t d", "it's I'LL  we've ²½ ٣ x y 你好  ", "   ", "é" * 50, "x" * 5000, "\x1c x \x85 y", "café naïve \U0001f600!"]
+    texts = ["a  b\n\n c\t d", "it's I'LL  we've ²½ ٣ x y 你好  ", "   ", "é" * 50, "x" * 5000, "\x1c x \x85 y", "café naïve \U0001f600!",
+             "hello <|endoftext|> x", "<|endoftext|><|endoftext|>", "a<|endoftext", " " * 120_000 + "x", "\n" * 7 + "y \t z\r\n", "don't 'LL 'x '"]
+    texts += [k.replace("Ġ", " ") for k in list(whole.get_vocab())[::50]]
     for t in texts:
-        assert packing.encoder(path).ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids
+        assert packing.encoder(path).ids(t) == whole.encode(t, add_special_tokens=False).ids
 
 
 def test_packing(spark, corpus):
@@ -183,7 +185,8 @@ def test_bin_completion_is_optimal_on_small_cases():
 
     for _ in range(150):
         items = [random.randint(1, 20) for _ in range(random.randint(1, 9))]
-        found = packing.complete(Counter(items), 20)
+        found, bound = packing.complete(Counter(items), 20)
+        assert bound <= best(items, 20)
         assert sum(u for _, u in found) == best(items, 20), items
         used = Counter()
         for pattern, u in found:
@@ -191,7 +194,43 @@ def test_bin_completion_is_optimal_on_small_cases():
             for n in pattern:
                 used[n] += u
         assert used == Counter(items)
-    assert packing.complete({}, 20) == []
+    assert packing.complete({}, 20) == ([], 0)
+
+
+def test_bin_completion_beats_best_fit():
+    """Where best-fit decreasing wastes sequences the search comes down to the lower bound."""
+    lengths = Counter(np.random.default_rng(3).integers(100, 700, 500).tolist())
+    found, bound = packing.complete(lengths, 1024, 300_000)
+    assert bound == sum(u for _, u in found) < sum(u for _, u in packing.best_fit(lengths, 1024))
+    many = {n: c * 10**9 for n, c in lengths.items()}  # counts of a large corpus change nothing in the time it takes
+    found, bound = packing.complete(many, 1024, 300_000)
+    used = Counter()
+    for pattern, u in found:
+        assert sum(pattern) <= 1024
+        for n in pattern:
+            used[n] += u
+    assert used == many and sum(u for _, u in found) <= bound * 1.005
+
+
+def test_fillings_are_the_undominated_ones():
+    def dominated(b, a, room):
+        """Whether the pieces of b fit into those of a, a being another filling."""
+        def fits(rest, free):
+            return not rest or any(f >= rest[0] and fits(rest[1:], free[:i] + [f - rest[0]] + free[i + 1 :]) for i, f in enumerate(free))
+        return a != b and sum(a) <= room and fits(sorted(b, reverse=True), list(a))
+
+    random.seed(8)
+    for _ in range(60):
+        items, room = Counter(random.randint(1, 9) for _ in range(random.randint(1, 7))), random.randint(1, 14)
+        every = {()}
+        for n, c in items.items():
+            every |= {tuple(sorted((*f, *[n] * k), reverse=True)) for f in every for k in range(1, c + 1)}
+        every = [f for f in every if sum(f) <= room]
+        found = list(packing.fillings(room, dict(items), packing.Budget(10**6)))
+        assert len(set(found)) == len(found) and set(found) <= set(every)
+        assert [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True)
+        for f in every:  # what is left out fits into one that is not
+            assert f in found or any(dominated(f, a, room) for a in found), (items, room, f, found)
 
 
 def test_pipeline(spark, corpus, tmp_path):
