@@ -342,6 +342,7 @@ class Search:
                 stack.pop()
                 continue
             left, used, waste, path, _ = node
+            self.budget.left -= len(left) + 1
             if waste > (self.uses - 1) * self.capacity - self.total or used + lower_bound(left, self.capacity) >= self.uses:
                 continue
             if not left or len(stack) % 16 == 0 or len(left) < 32:
