@@ -9,7 +9,8 @@ Spark deals out the pages; each is rendered on its own in a pandas UDF, so there
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from html import unescape
 
 import pandas as pd
@@ -56,17 +57,71 @@ IMPLIED = {
 #: An end tag does not reach beyond these, unless it is their own.
 WALLS = frozenset("table td th caption html".split())
 
-TAG = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<self>/?)>"
-    r"|</[^>]*>",
-    re.S,
-)
+#: What a ``<`` may begin; where a tag ends is for ``Scanner.close``.
+OPENS = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)|</")
+COMMENT_ENDS = re.compile(r"--!?>")
+STOPS = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 HIDES = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
 VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
-DEEPEST, WIDEST = 400, 60
+#: Elements within one another; characters of a cell that its column is as wide as, of a line that cells are lined up
+#: in, and of indents. Beyond these text is laid out more simply; none is left out.
+DEEPEST, WIDEST, LONGEST, INDENT = 400, 60, 1000, 60
+
+
+class Scanner:
+    """Cuts markup into text and tags, in a time that is linear in its length whatever it holds."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.dead: set[int] = set()  # quotes of tags that never close
+
+    def close(self, at: int) -> int:
+        """Where the tag that is open at ``at`` ends: at the first ``>`` outside quotes or, if all are within, at the first."""
+        html, i, seen = self.html, at, []
+        while i <= self.last and (m := STOPS.search(html, i)):
+            if m[0] == ">":
+                return m.start()
+            if m.start() in self.dead:
+                break
+            seen.append(m.start())
+            i = html.find(m[0], m.end()) + 1
+            if not i:
+                break
+        self.dead.update(seen)
+        return html.find(">", at) if at <= self.last else -1
+
+    def tokens(self, at: int = 0) -> Iterator[tuple]:
+        """Text as (text,), tags as (name, is an end tag, attributes, where the tag ends); ``send`` moves on."""
+        html, size = self.html, len(self.html)
+        while at < size:
+            m = OPENS.search(html, at)
+            start, stop = (m.start(), -1) if m else (size, -1)
+            if m and m[0] == "<!--":
+                short = html[start + 4 : start + 6]
+                found = None if short[:1] == ">" or short == "->" else COMMENT_ENDS.search(html, start + 4)
+                stop = start + 4 + short.index(">") + 1 if short[:1] == ">" or short == "->" else found.end() if found else size
+            elif m and m[0] == "<![CDATA[":
+                end = html.find("]]>", m.end())
+                yield (unescape(html[at:start]) + html[m.end() : size if end < 0 else end],)
+                at = size if end < 0 else end + 3
+                continue
+            elif m and m["name"] is None:
+                end = html.find(">", m.end()) if start <= self.last else -1
+                stop = end + 1 if end >= 0 else size if m[0] != "</" else -1
+            elif m:
+                end = self.close(m.end())
+                if end >= 0:
+                    if start > at:
+                        yield (unescape(html[at:start]),)
+                    at = (yield m["name"].lower(), bool(m["end"]), html[m.end() : end], end + 1) or end + 1
+                    continue
+            if m and stop < 0:  # no tag ends any more: the rest is text
+                start = stop = size
+            if start > at:
+                yield (unescape(html[at:start]),)
+            at = max(stop, start)
 
 
 class Node:
@@ -116,21 +171,19 @@ def parse(html: str) -> Node:
             stack.append(node)
         return node
 
-    at, size = 0, len(html)
-    while at < size:
-        m = TAG.search(html, at)
-        if not m:
-            say(unescape(html[at:]))
+    size, scanner = len(html), Scanner(html)
+    tokens, onward = scanner.tokens(), None
+    while True:
+        try:
+            token = tokens.send(onward)
+        except StopIteration:
             break
-        if m.start() > at:
-            say(unescape(html[at : m.start()]))
-        at = m.end()
-        if m["cdata"] is not None:
-            say(m["cdata"])
-        if m["name"] is None:
+        onward = None
+        if len(token) == 1:
+            say(token[0])
             continue
-        name = m["name"].lower()
-        if m["end"]:
+        name, ends, written, at = token
+        if ends:
             if name == "br":
                 start("br", {})
             elif name == "p" and not any(n.name == "p" for n in stack):
@@ -145,17 +198,17 @@ def parse(html: str) -> Node:
                         break
             continue
         attrs: dict[str, str] = {}
-        if m["attrs"]:
-            for a in ATTRIBUTE.finditer(m["attrs"]):
-                attrs.setdefault(a[1].lower(), unescape(a[2] or a[3] or a[4] or ""))
+        for a in ATTRIBUTE.finditer(written):
+            attrs.setdefault(a[1].lower(), unescape(a[2] or a[3] or a[4] or ""))
         node = start(name, attrs)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            body = html[at : end.start() if end else size]
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
+            after = html.find(">", end.end()) if end else -1
+            body = html[at : end.start() if after >= 0 else size]
             if name in ("textarea", "title"):
                 body = unescape(body)
             node.children.append(body)
-            at = end.end() if end else size
+            onward = after + 1 if after >= 0 else size
             if stack[-1] is node:
                 close_to(len(stack) - 1)
     return root
@@ -193,9 +246,9 @@ class Page:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        lead = self.prefix
+        lead = self.prefix[:INDENT]
         if self.marker:
-            lead, self.marker = lead[: -len(self.marker)] + self.marker, ""
+            lead, self.marker = self.prefix[: -len(self.marker)][:INDENT] + self.marker, ""
         self.lines.append((lead + line).rstrip())
 
     def gap(self, blank: bool) -> None:
@@ -318,7 +371,7 @@ def items(node: Node, page: Page, visible: bool, depth: int) -> None:
 
 
 def grid(node: Node, depth: int) -> list[str]:
-    """Lines of a table: the caption, then rows of cells in columns of one width each, up to ``WIDEST``."""
+    """Lines of a table: the caption, then rows of cells in columns of one width each, up to ``WIDEST``; see ``extract_text``."""
     heads, bodies, feet, above = [], [], [], []
     queue = [(c, "") for c in node.children]
     for child, part in queue:
@@ -345,17 +398,19 @@ def grid(node: Node, depth: int) -> list[str]:
         if text := page.result():
             out += text.split("\n")
     placed: list[list[tuple[int, list[str], bool]]] = []
-    taken: dict[tuple[int, int], bool] = {}
+    held: list[tuple[int, int, int]] = []  # columns from, to, and the row before which cells of earlier rows end
     for r, row in enumerate(heads + bodies + feet):
-        line, col = [], 0
+        line, col, ahead, mine = [], 0, 0, []
+        held = [x for x in held if x[2] > r]
         sees = "hidden" != (VISIBILITY.search(row.attrs.get("style", "")) or [0, ""])[1].lower()
         for cell in row.children:
             if isinstance(cell, str) and not cell.strip():
                 continue
             if isinstance(cell, Node) and not shown(cell):
                 continue
-            while taken.pop((r, col), False):
-                col += 1
+            while ahead < len(held) and held[ahead][0] <= col:
+                col = max(col, held[ahead][1])
+                ahead += 1
             page, own = Page(), Node("#cell", {})
             attrs = cell.attrs if isinstance(cell, Node) else {}
             own.children = cell.children if isinstance(cell, Node) and cell.name in ("td", "th") else [cell]
@@ -364,27 +419,30 @@ def grid(node: Node, depth: int) -> list[str]:
             across = min(1000, max(1, _whole(attrs.get("colspan", ""), 1)))
             down = min(1000, max(1, _whole(attrs.get("rowspan", ""), 1)))
             line.append((col, page.result().split("\n"), across > 1))
-            for k in range(1, down):
-                for c in range(col, col + across):
-                    taken[r + k, c] = True
+            if down > 1:
+                if mine and mine[-1][1:] == (col, r + down):
+                    mine[-1] = (mine[-1][0], col + across, r + down)
+                else:
+                    mine.append((col, col + across, r + down))
             col += across
+        held = sorted(held + mine) if mine else held
         placed.append(line)
     widths: dict[int, int] = {}
     for line in placed:
         for col, lines, wide in line:
             if not wide:
                 widths[col] = max(widths.get(col, 0), min(WIDEST, max(map(len, lines))))
-    starts, at = {}, 0
-    for col in range(1 + max([-1, *(c for line in placed for c, _, _ in line)])):
-        starts[col] = at
-        at += widths[col] + 2 if widths.get(col) else 0
+    columns, begins = sorted(c for c in widths if widths[c]), [0]
+    for col in columns:
+        begins.append(begins[-1] + widths[col] + 2)
     for line in placed:
         for k in range(max([0, *(len(x) for _, x, _ in line)])):
             text = ""
             for col, lines, _ in line:
                 piece = lines[k] if k < len(lines) else ""
                 if piece:
-                    text = text.ljust(starts[col]) if len(text) < starts[col] or not text else text + "  "
+                    begin = begins[bisect_left(columns, col)]
+                    text = text.ljust(begin) if (len(text) < begin or not text) and begin <= LONGEST else text + "  " if text else text
                     text += piece
             if text:
                 out.append(text.rstrip())
@@ -408,8 +466,12 @@ def extract_text(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("p
     """Columns ``keep`` and ``text``, the visible text of each page.
 
     A null page gives a null text, an empty one or one without visible text an empty text; plain text stays as
-    it is but for its white space. Malformed markup never fails: what can't be a tag is text. Repeated rows
-    are each rendered; an empty table gives an empty result; other columns are not read.
+    it is but for its white space. Malformed markup never fails: what can't be a tag is text, and a tag whose quotes
+    never close ends at its first ``>``. Pages of any length are rendered whole, in a time about linear in it. Elements
+    more than ``DEEPEST`` within one another count as that deep; spans reach 1,000 columns or rows, as in HTML, and no
+    further than the rows there are; columns are as wide as their widest cell, but ``WIDEST`` characters at most, and
+    cells are lined up in the first ``LONGEST`` characters of a line; indents stop at ``INDENT``. Repeated rows are each
+    rendered; an empty table gives an empty result; other columns are not read, so their names can't clash.
     """
     return pages.select(*keep, _rendered(F.col(html)).alias("text"))
 
