@@ -23,7 +23,9 @@ sums and the classifier's table of ``buckets`` rows, all of fixed size, reach th
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,11 +37,24 @@ BUCKETS = 1 << 12
 log = logging.getLogger(__name__)
 
 
+def _bucket(word: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def posteriors(
+@dataclass
+class Classifier:
+    """Naive Bayes over hashed words: ``table`` has one row, ``weights``, with the domains' log weights of each bucket."""
+
+    table: DataFrame
+    prior: list[float]
+    buckets: int
+
+
+def classifier(
     docs: DataFrame,
     labelled: DataFrame,
     domains: list[str],
@@ -47,12 +62,11 @@ def posteriors(
     key: str = "doc_id",
     max_rows: int = 20_000,
     buckets: int = BUCKETS,
-) -> DataFrame:
-    """``id``, ``row`` (tells repeated rows apart), ``tokens`` and ``p0`` .. ``pK-1``: one row for each row of ``docs``.
+) -> Classifier:
+    """Fit on about ``max_rows`` rows of ``labelled`` (columns ``key`` and ``domain``), drawn by a hash of the id.
 
-    The classifier is fitted on about ``max_rows`` rows of ``labelled`` (columns ``key`` and ``domain``), drawn by a
-    hash of the id; a document labelled more than once goes by the domain that sorts first. A text without words,
-    and every text where no row is labelled, has the posteriors of the labelled rows' frequencies.
+    A document labelled more than once goes by the domain that sorts first; rows without an id or of other domains are
+    left out. Counts are smoothed towards the frequencies of all domains together, so a bucket of few words weighs little.
     """
     known = (
         labelled.select(F.col(key).alias("id"), "domain")
@@ -64,41 +78,43 @@ def posteriors(
     drawn = cut(known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < max_rows / size * (1 << 30)))
     count = {r.domain: r.n for r in drawn.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(count.values())
-    prior = [F.lit(((count.get(d, 0) + 1) / (total + len(domains)))) for d in domains]
-    bucket = F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int")
+    prior = [(count.get(d, 0) + 1) / (total + len(domains)) for d in domains]
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     learnt = rows.join(F.broadcast(drawn), "id").select("domain", F.explode(_words(F.col("t"))).alias("w"))
-    sums = learnt.groupBy(bucket.alias("b")).agg(
+    sums = learnt.groupBy(_bucket(F.col("w"), buckets).alias("b")).agg(
         *[F.count_if(F.col("domain") == d).cast("double").alias(f"n{k}") for k, d in enumerate(domains)]
     )
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
     filled = cut(every.join(sums, "b", "left").na.fill(0.0))
     names = range(len(domains))
     full = filled.agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in names]).first()
-    # Counts are smoothed towards the frequencies of all domains together, so a bucket of few words weighs little.
     pool = sum((F.col(f"n{k}") for k in names), F.lit(0.0))
     base = (pool + 1.0) / (sum(full) + buckets)
-    weights = filled.select(
-        "b", *[F.log((F.col(f"n{k}") + 50.0 * base) / (full[k] + 50.0) / base).alias(f"w{k}") for k in names]
-    )
-    # A row's words are exploded next to its running number, so repeated rows stay apart.
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    met = (
-        numbered.select("id", "row", F.explode_outer(_words(F.col("t"))).alias("w"))
-        .withColumn("b", bucket)
-        .join(F.broadcast(weights), "b", "left")
-    )
-    scores = met.groupBy("row").agg(
-        F.first("id").alias("id"),
-        F.count("w").cast("double").alias("tokens"),
-        *[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s{k}") for k in names],
-    )
-    logs = [F.log(prior[k]) + F.col(f"s{k}") for k in names]
-    most = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    raised = scores.select("id", "row", "tokens", *[F.exp(x - most).alias(f"e{k}") for k, x in enumerate(logs)])
-    whole = sum((F.col(f"e{k}") for k in names), F.lit(0.0))
-    return raised.select("id", "row", "tokens", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in names])
+    weights = F.array(*[F.log((F.col(f"n{k}") + 50.0 * base) / (full[k] + 50.0) / base) for k in names])
+    one = filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", weights.alias("w")))), lambda x: x["w"]).alias("weights"))
+    return Classifier(cut(one), prior, buckets)
+
+
+def memberships(docs: DataFrame, model: Classifier, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """For each row of ``docs``: ``row`` (all its columns in a struct), ``id``, ``draw`` (a number from 0 to 1 by a hash of
+    the id or, without one, of the text), ``tokens`` and the posteriors ``p0`` .. ``pK-1``.
+
+    Words are looked up and added up within the row, so no text and no word is shuffled. A null or empty text has no
+    tokens and the posteriors of the labelled rows' frequencies.
+    """
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(key).alias("id"), F.col(text).alias("t"))
+    own = F.coalesce(F.transform(_words(F.col("t")), lambda w: _bucket(w, model.buckets) + 1), F.array().cast("array<int>"))
+    looked = rows.join(F.broadcast(model.table)).withColumn("buckets", own)  # the table has one row of a fixed size
+    none = F.array(*[F.lit(0.0) for _ in model.prior])
+    add = lambda s, b: F.zip_with(s, F.element_at("weights", b), lambda x, y: x + y)
+    summed = looked.withColumn("s", F.aggregate("buckets", none, add))
+    logs = [F.lit(math.log(q)) + F.col("s")[k] for k, q in enumerate(model.prior)]
+    drawn = F.pmod(F.when(F.col("id").isNotNull(), F.xxhash64("id")).otherwise(F.xxhash64("t")), F.lit(1 << 30)) / float(1 << 30)
+    told = summed.select("row", "id", drawn.alias("draw"), F.size("buckets").cast("double").alias("tokens"), F.array(*logs).alias("l"))
+    raised = told.withColumn("e", F.transform("l", lambda x: F.exp(x - F.array_max("l"))))
+    shares = [F.col("e")[k] / F.aggregate("e", F.lit(0.0), lambda s, x: s + x) for k in range(len(model.prior))]
+    return raised.select("row", "id", "draw", "tokens", *[q.alias(f"p{k}") for k, q in enumerate(shares)])
 
 
 def rates(
@@ -150,8 +166,9 @@ def reach(
     near: float = 1e-3,
     rounds: int = 200,
     names: Sequence[int] | None = None,
-) -> tuple[DataFrame, list[list[float]], float]:
-    """As ``rates``, but with multipliers until each total is within ``near`` of its target; also the largest deviation.
+) -> tuple[Column, list[list[float]], float]:
+    """The rate as an expression over the columns of ``members``, as in ``rates`` but with multipliers until each total is
+    within ``near`` of its target; the totals before and after; and the largest deviation.
 
     The deviation of a total is relative to its target, or to all tokens where the target is 0. If it stays over
     ``near``, which is so where no rates reach the targets, the hold falls as long as that brings them closer.
@@ -164,7 +181,7 @@ def reach(
     start = np.array([v or 0.0 for v in first])
     total = start.sum()
     if not total:
-        return members.withColumn("rate", F.lit(1.0)), [start.tolist()] * 2, 0.0
+        return F.lit(1.0), [start.tolist()] * 2, 0.0
     scale, goal = np.maximum(start / total, 1e-9), want * budget
     t = F.col("tokens") / float(total)
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
@@ -213,8 +230,8 @@ def reach(
         h /= 10
         idle = idle + 1 if off(totals) > 0.98 * least_off else 0
         least_off = min(least_off, off(totals))
-    rated = members.withColumn("rate", F.greatest(F.lit(float(least)), F.when(F.col("tokens") > 0, level(m)).otherwise(1.0)))
-    return rated, [start.tolist(), (totals * total).tolist()], off(totals)
+    rate = F.greatest(F.lit(float(least)), F.when(F.col("tokens") > 0, level(m)).otherwise(1.0))
+    return rate, [start.tolist(), (totals * total).tolist()], off(totals)
 
 
 def _room(members: DataFrame, targets: list[float], names: Sequence[int], least: float) -> float:
@@ -224,7 +241,20 @@ def _room(members: DataFrame, targets: list[float], names: Sequence[int], least:
     return max(1.0, *[least * (v or 0.0) / total * sum(targets) / t for v, t in zip(row, targets) if t > 0]) if total else 1.0
 
 
-def mix(
+@dataclass
+class Mixture:
+    """A fitted mixture: ``rate`` is an expression over ``memberships``; shares of the expected tokens by domain."""
+
+    domains: list[str]
+    model: Classifier
+    members: DataFrame
+    rate: Column
+    before: dict[str, float]
+    after: dict[str, float]
+    off: float
+
+
+def fit(
     docs: DataFrame,
     labelled: DataFrame,
     targets: Mapping[str, float],
@@ -234,45 +264,69 @@ def mix(
     least: float = 0.0,
     near: float = 1e-3,
     **options,
-) -> DataFrame:
-    """Columns ``key``, ``tokens`` (long), ``posteriors`` (by domain), ``rate`` and ``copies``, a row for each of ``docs``.
+) -> Mixture:
+    """The classifier, the rates and the shares they reach.
 
-    ``copies`` is the rate rounded up or down by a hash of the id, so that its expectation is the rate: a document
-    with rate 0 goes, one with rate 2.3 comes two or three times. A null or empty text has no tokens and a rate of 1.
     Domains without labelled rows get the smoothed prior; no document can be told to be of them, so their targets go
     to the others in proportion, with a warning. Another warning tells the deviation where it stays over ``near``.
     Without a ``budget`` it is what the present totals times ``least`` need at the targets, and a little more at a
-    time, up to twice that, until the targets are reached. An empty table gives an empty result; other columns are
-    not read.
+    time, up to twice that, until the targets are reached.
     """
     domains = sorted(targets)
-    members = cut(posteriors(docs, labelled, domains, text, key, **options))
+    model = classifier(docs, labelled, domains, text, key, **options)
+    members = cut(memberships(docs, model, text, key).drop("row"))
     known = labelled.join(docs.select(key), key, "left_semi").where(F.col("domain").isin(domains))
     seen = {r.domain for r in known.select("domain").distinct().collect()}
     names = [k for k, d in enumerate(domains) if d in seen]
     if len(names) < len(domains):
         log.warning("domains without labelled rows are left out of the targets: %s", [d for d in domains if d not in seen])
     wanted = [targets[domains[k]] for k in names]
-    rated = members.withColumn("rate", F.lit(max(1.0, float(least))))
+    rate, totals, off = F.lit(max(1.0, float(least))), [[], []], 0.0
     if sum(wanted):
         tries = [budget] if budget is not None else [_room(members, wanted, names, least) * x for x in (1.02, 1.1, 1.25, 1.5, 2.0)]
         for tried in tries:
-            rated, (_, after), off = reach(members, wanted, budget=tried, least=least, near=near, names=names)
+            rate, totals, off = reach(members, wanted, budget=tried, least=least, near=near, names=names)
             if off <= near:
                 break
         else:
-            log.warning("the targets are not reached: a total is off by %.4f of its target; totals are %s", off, after)
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    low = F.floor("rate")
-    return rated.select(
+            log.warning("the targets are not reached: a total is off by %.4f of its target; totals are %s", off, totals[1])
+    before, after = ({domains[k]: v / max(sum(t), 1e-300) for k, v in zip(names, t)} for t in totals)
+    return Mixture(domains, model, members, rate, before, after, off)
+
+
+def _copies(rate: Column) -> Column:
+    """The rate rounded up or down by the draw, so that its expectation is the rate."""
+    return (F.floor(rate) + F.when(F.col("draw") < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """Columns ``key``, ``tokens`` (long), ``posteriors`` (by domain), ``rate`` and ``copies``, a row for each of ``docs``.
+
+    ``copies`` is the rate rounded up or down by a hash of the id (of the text, where the id is null): a document
+    with rate 0 goes, one with rate 2.3 comes two or three times. A null or empty text has no tokens and a rate of 1;
+    texts of any length are read whole. Repeated rows each count and get the same copies. An empty table gives an
+    empty result; other columns are not read, so their names can't clash. ``options`` are those of ``fit``.
+    """
+    found = fit(docs, labelled, targets, text, key, **options)
+    return found.members.select(
         F.col("id").alias(key),
         F.col("tokens").cast("long").alias("tokens"),
-        F.create_map(*[x for k, d in enumerate(domains) for x in (F.lit(d), F.col(f"p{k}"))]).alias("posteriors"),
-        "rate",
-        (low + F.when(share < F.col("rate") - low, 1).otherwise(0)).cast("int").alias("copies"),
+        F.create_map(*[x for k, d in enumerate(found.domains) for x in (F.lit(d), F.col(f"p{k}"))]).alias("posteriors"),
+        found.rate.alias("rate"),
+        _copies(found.rate).alias("copies"),
     )
 
 
+def repeated(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` says, in the same columns whatever their names.
+
+    Rates are found over all rows first; then each row is scored once more and repeated where it is, so no text moves.
+    """
+    found = fit(docs, labelled, targets, text, key, **options)
+    times = F.explode(F.array_repeat(F.lit(1), _copies(found.rate))).alias("time")
+    return memberships(docs, found.model, text, key).select("row", times).select("row.*")
+
+
 #: Shares of the expected tokens by language and quality: more of the smaller languages, less of poor text.
 TARGETS = {
     "de-0": 0.005, "de-1": 0.195, "en-0": 0.015, "en-1": 0.485, "es-0": 0.005, "es-1": 0.145, "fr-0": 0.005, "fr-1": 0.145,

@@ -259,10 +259,11 @@ def pseudonymise(docs: DataFrame, key: str = "dockyard", text: str = "text", kee
     """Columns ``keep``, then ``text`` with pseudonyms, ``n_replaced`` (int) and ``kinds`` (sorted, distinct).
 
     A null text stays null with 0 replaced; a text without valid values stays as it is, byte for byte. Values
-    that only look the part (a wrong Luhn digit, the 31st of April) stay too. Repeated rows are each treated;
-    an empty table gives an empty result; other columns are not read.
+    that only look the part (a wrong Luhn digit, the 31st of April) stay too. Texts of any length are read whole.
+    Repeated rows are each treated; an empty table gives an empty result; other columns are not read. Kept columns
+    may have any name but those of the three results.
     """
-    rows = docs.select(*keep, F.col(text).alias("_t"))
+    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_keep"), F.col(text).alias("_t"))
     hits = F.when(F.col("_t").rlike("[0-9@]"), F.regexp_extract_all("_t", F.lit(PATTERN), 0))
     told = F.transform(F.col("_hits"), lambda x: F.struct(x.alias("v"), kind_of(x).alias("k")))
     # A card may be followed or preceded by other digits, such as an expiry date or a code: these stay as they are.
@@ -290,7 +291,7 @@ def pseudonymise(docs: DataFrame, key: str = "dockyard", text: str = "text", kee
         .withColumn("_judged", judged)
         .withColumn("_new", new)
         .select(
-            *keep,
+            *[F.col("_keep")[c].alias(c) for c in keep],
             F.when(F.size(kinds) > 0, out).otherwise(F.col("_t")).alias("text"),
             F.greatest(F.lit(0), F.size(kinds)).alias("n_replaced"),
             F.array_sort(F.array_distinct(F.coalesce(kinds, F.array().cast("array<string>")))).alias("kinds"),
