@@ -2,6 +2,9 @@
 
 Each stage takes the session, the documents its predecessor kept and the folder of the tables, works on all of
 them and returns documents in the same columns; the last one returns the pieces of the packed sequences.
+
+All stages read texts whole, whatever their length, take null and empty ones, and give an empty result for an empty
+table. Columns beside ``doc_id``, ``text``, ``lang`` and ``n_chars`` are carried along unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,43 +17,55 @@ from dockyard.llm.shared import cut, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models reject (a score of at least 0.5) go."""
+    """Documents that the toxicity models reject (a score of at least 0.5) go.
+
+    A null or empty text has a score like any other. Repeated rows have equal scores, so all stay or all go.
+    """
     scorer = toxicity.scorer(toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return docs.where(scorer(F.col("text")) < 0.5)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five words, 0.8), and one of equal rows.
+    """One document of each group of near duplicates stays (five words, 0.8): that with the smallest id.
 
-    Rows without an id are compared with nothing and stay.
+    Of rows with equal id and text one stays; where they differ in other columns, that of the smallest md5 of these as
+    JSON. Null and empty texts are no one's duplicates. Rows without an id are compared with nothing and all stay.
     """
     kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    rest = F.struct(*[F.col(c) for c in docs.columns])
+    first = F.min_by(rest, F.md5(F.to_json(rest.dropFields("text")))).alias("row")
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(first).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal numbers, dates and addresses become pseudonyms; the count of characters follows the text."""
-    others = [c for c in docs.columns if c != "text"]
-    named = pii.pseudonymise(docs, keep=others)
-    if "n_chars" in others:
-        changed = F.when(F.col("n_replaced") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        named = named.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return named.select(docs.columns)
+    """Personal numbers, dates and addresses become pseudonyms; the count of characters follows the text.
+
+    A null text stays null. Repeated rows stay repeated.
+    """
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text")
+    named = pii.pseudonymise(rows, keep=["row"])
+    kept = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in kept:
+        changed = F.when(F.col("n_replaced") > 0, F.length("text")).otherwise(kept["n_chars"])
+        kept["n_chars"] = changed.cast(docs.schema["n_chars"].dataType)
+    return named.select(*[x.alias(c) for c, x in kept.items()])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as their rates say: at least once each, and so often in all that the targets are met."""
+    """Documents come as often as their rates say: at least once each, and so often in all that the targets are met.
+
+    A null or empty text comes once. Repeated rows are each repeated alike; rows without an id by a hash of their text.
+    """
     labelled = mixing.labelled_domains(docs, table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(docs, labelled, mixing.TARGETS, budget=None, least=1.0)
-    copies = cut(mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")))
-    met = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]), "left")
-    times = F.explode(F.array_repeat(F.lit(1), F.coalesce("_copies", F.lit(1))))
-    return met.select(*docs.columns, times.alias("_time")).select(docs.columns)
+    return mixing.repeated(docs, labelled, mixing.TARGETS, budget=None, least=1.0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens in as few sequences as can be."""
+    """Pieces of at most 1024 tokens in as few sequences as can be.
+
+    A null or empty text is a piece of the end token alone. Repeated rows and rows without an id are packed each.
+    """
     return packing.pack(packing.pieces(docs))
 
 
