@@ -260,13 +260,68 @@ def test_pipeline(spark, corpus, tmp_path):
 
 
 def test_mixing_stage_reaches_targets(spark, corpus, tmp_path):
-    docs = corpus[0].where("doc_id < 1000").dropDuplicates(["doc_id"]).cache()
+    corpus[0].where("doc_id < 1000").dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
     corpus[1].write.parquet(str(tmp_path / "labels.parquet"))
-    out = corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).groupBy("doc_id").count()
-    domains = mixing.posteriors(docs, mixing.labelled_domains(docs, corpus[1]), sorted(mixing.TARGETS))
-    met = domains.join(out, domains["id"] == out["doc_id"])
+    staged = corpus_pipeline.mixing_stage(spark, docs, str(tmp_path))
+    plan = staged._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange" in x and "Broadcast" not in x], plan  # texts stay where they are
+    out = staged.groupBy("doc_id").count()
+    domains = sorted(mixing.TARGETS)
+    model = mixing.classifier(docs, mixing.labelled_domains(docs, corpus[1]), domains)
+    members = mixing.memberships(docs, model).drop("row")
+    met = members.join(out, members["id"] == out["doc_id"])
     seen = {d: k for k, d in enumerate(sorted(mixing.TARGETS)) if d[:2] in ("de", "en")}
     sums = met.agg(*[F.sum(F.col(f"p{k}") * F.col("tokens") * F.col("count")).alias(d) for d, k in seen.items()]).first()
     scale = sum(mixing.TARGETS[d] for d in seen)
     for d in seen:  # copies are whole numbers, so their totals stray a little from the expected ones
         assert abs(sums[d] / sum(sums) / (mixing.TARGETS[d] / scale) - 1) < 0.05, (d, sums)
+
+
+def test_posteriors_equal_plain_naive_bayes(spark, corpus):
+    """The classifier against naive Bayes written out, on words that are told apart by name instead of by bucket."""
+    docs, labels = corpus[0].where("doc_id < 60").dropDuplicates(["doc_id"]), corpus[1]
+    domains, buckets = ["de-0", "de-1", "en-0", "en-1"], 4096
+    labelled = mixing.labelled_domains(docs, labels)
+    model = mixing.classifier(docs, labelled, domains, buckets=buckets)
+    got = {r.id: [r[f"p{k}"] for k in range(4)] for r in mixing.memberships(docs, model).collect()}
+    words = {r.doc_id: r.b for r in docs.select("doc_id", F.transform(mixing._words(F.col("text")), lambda w: mixing._bucket(w, buckets)).alias("b")).collect()}
+    label = {}
+    for r in labelled.collect():
+        label[r.doc_id] = min(label.get(r.doc_id, "z"), r.domain)
+    counts = {d: Counter(b for i, own in label.items() if own == d for b in words[i]) for d in domains}
+    pool = Counter(b for c in counts.values() for b in c.elements())
+    total = sum(pool.values())
+    for i, bs in words.items():
+        logs = []
+        for d in domains:
+            prior = (sum(x == d for x in label.values()) + 1) / (len(label) + 4)
+            full = sum(counts[d].values())
+            logs.append(np.log(prior) + sum(np.log((counts[d][b] + 50 * (base := (pool[b] + 1) / (total + buckets))) / (full + 50) / base) for b in bs))
+        p = np.exp(np.array(logs) - max(logs))
+        assert np.allclose(got[i], p / p.sum(), atol=1e-9), i
+
+
+CLASHES = ["_t", "_keep", "row", "kinds", "n_replaced", "_copies", "_id", "_time", "id", "draw", "tokens", "t", "weights", "buckets", "copies", "time",
+           "rate", "score", "n", "f", "g", "w", "bands", "kept", "component_id", "md5", "length", "piece", "_salt", "_rank", "sequence_id", "offset", "p0", "y", "c", "b"]
+
+
+def test_stages_take_odd_tables(spark, corpus, tmp_path):
+    """Clashing names, a very long text, repeated rows and, at last, an empty table go through each stage."""
+    corpus[1].write.parquet(str(tmp_path / "labels.parquet"))
+    long = spark.createDataFrame([(3000, "enabc " * 1_700_000, "en", "s", 1), (3000, "enabc " * 1_700_000, "en", "s", 2)], DOCS)
+    docs = corpus[0].where("doc_id < 300 or doc_id >= 1000 or doc_id is null").unionByName(long)
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)])
+    docs.write.parquet(str(tmp_path / "start"))
+    for first in (spark.read.parquet(str(tmp_path / "start")), spark.read.parquet(str(tmp_path / "start")).limit(0)):
+        now, size = first, first.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out, at = stage(spark, now, str(tmp_path)), str(tmp_path / f"{name}-{size}")
+            out.write.parquet(at)
+            now = spark.read.parquet(at)
+            if name != "best_fit_packing":
+                assert now.columns == docs.columns and {tuple(r) for r in now.select(*CLASHES).distinct().collect()} <= {tuple(range(len(CLASHES)))}
+                assert bool(size) == (now.where("doc_id = 3000").count() > 0) == (now.where("doc_id is null").count() > 0)
+            if name == "minhash_near_dedup" and size:
+                assert now.where("doc_id = 3000").count() == 1
+        assert bool(size) == (now.count() > 0)
