@@ -62,6 +62,87 @@ def test_toxicity_ignores_held_out_labels(spark, corpus):
     assert a.words == b.words and np.allclose(a.weights, b.weights)
 
 
+def plain_scores(docs, labels):
+    """The models written out: dictionaries over all documents, nothing distributed."""
+    known = {}
+    for r in labels:
+        if r.doc_id is not None and r.toxic is not None:
+            known[r.doc_id] = max(known.get(r.doc_id, 0), int(r.toxic > 0))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    cut = lambda t: toxicity.WORD.findall(t.lower()) if t else []
+    least = {}
+    for r in docs:
+        if known.get(r.doc_id) is not None and fold(r.doc_id):
+            at = (r.text, known[r.doc_id])
+            least[at] = min(least.get(at, r.doc_id), r.doc_id)
+    used = {(t, y, i) for (t, y), i in least.items()}
+    fitted, curve = [(cut(t), y) for t, y, i in used if fold(i) < 4], [(cut(t), y) for t, y, i in used if fold(i) == 4]
+    tokens, files = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    n = Counter(y for _, y in fitted)
+    for w, y in fitted:
+        for kind, terms in ((0, [x[:4] for x in set(w)]), (1, w), (2, list(zip(["", *w], w)))):
+            tokens[kind].update((y, x) for x in terms)
+            files[kind].update((y, x) for x in set(terms))
+
+    def telling(kind, bar):
+        out = set()
+        for x in {x for _, x in files[kind]}:
+            d = [files[kind][y, x] for y in (0, 1)]
+            g = sum(2 * o * np.log(o * sum(n.values()) / (k * n[y])) for y in (0, 1) for o, k in ((d[y], sum(d)), (n[y] - d[y], sum(n.values()) - sum(d))) if o)
+            if g >= bar:
+                out.add(x)
+        return out
+
+    df = Counter(x for (_, x), c in files[1].items() for _ in range(c))
+    bar = max(12.0, 2 * np.log(max(1, sum(c >= 5 for c in df.values()))))
+    words, prefixes, pairs = telling(1, bar), telling(0, bar), telling(2, 3 * bar)
+    every = {x for r in docs for x in cut(r.text)}
+    begin = Counter(x[:4] for x in every)
+
+    class Side:
+        def __init__(self, y):
+            own = lambda c: max(c - 0.75, 0.0)
+            kinds = {x for c, x in tokens[1] if c == y}
+            starts, stands = Counter(x[:4] for x in kinds), Counter(w for c, (_, w) in tokens[2] if c == y)
+            self.p = {x: own(starts[x]) / len(kinds) for x in prefixes}
+            self.w = {x: own(stands[x]) / sum(stands.values()) for x in words}
+            after = Counter()
+            for (c, (v, _)), k in tokens[2].items():
+                after[v] += k * (c == y)
+            self.vw = {(v, w): own(tokens[2][y, (v, w)]) / max(1, after[v]) for v, w in pairs}
+            rest = lambda q: max(1e-6, 1 - sum(q))
+            self.lp, self.lw = rest(self.p.values()), rest(self.w.values())
+            self.lv = {v: rest(q for (u, _), q in self.vw.items() if u == v) for v, _ in pairs}
+
+        def prob(self, v, w):
+            p = self.p.get(w[:4], 0.0) + self.lp * max(1, begin[w[:4]]) / len(every)
+            q = self.w.get(w, 0.0) + self.lw * p / max(1, begin[w[:4]])
+            return self.vw.get((v, w), 0.0) + self.lv[v] * q if v in self.lv else q
+
+    sides = [Side(0), Side(1)]
+    mean = lambda w: sum(np.log(sides[1].prob(v, x) / sides[0].prob(v, x)) for v, x in zip(["", *w], w)) / (100 + len(w))
+    seen = sorted((mean(w), y) for w, y in curve)
+    x, y = np.array([a for a, _ in seen]), np.array([float(b) for _, b in seen])
+    z = np.c_[(x - x.mean()) / (x.std() + 1e-9), np.ones(len(x))]
+    a = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-z @ a))
+        a -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2), z.T @ (p - y) + 0.1 * a)
+    a[1] = min(a[1], -a[0] * (1e-3 - x.mean()) / (x.std() + 1e-9))
+    return lambda text: 1 / (1 + np.exp(-(a[0] * (mean(cut(text)) - x.mean()) / (x.std() + 1e-9) + a[1]))), pairs
+
+
+def test_toxicity_equals_plain_models(spark, corpus):
+    docs, labels = corpus
+    more = spark.createDataFrame([(4000 + i, f"quiet words before vilefoo grotmus stand{i} here", "en", "s", 1) for i in range(150)], DOCS)
+    docs, labels = docs.unionByName(more), labels.unionByName(spark.createDataFrame([(4000 + i, 1, 1) for i in range(150)], LABELS))
+    rows = docs.collect()
+    plain, pairs = plain_scores(rows, labels.collect())
+    assert pairs
+    got = {(r.doc_id, r.text): r.s for r in docs.select("doc_id", "text", toxicity.scorer(toxicity.fit(docs, labels))(F.col("text")).alias("s")).collect()}
+    assert max(abs(got[r.doc_id, r.text] - plain(r.text)) for r in rows) < 1e-9
+
+
 def test_toxicity_without_a_class(spark, corpus):
     docs, labels = corpus
     few = docs.limit(5)
