@@ -210,12 +210,12 @@ def fit(
     drawn = known.where(part < share)  # about 2 * max_rows short rows at most: broadcast
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     met = rows.join(F.broadcast(drawn), "id")
-    once = met.groupBy(F.xxhash64("text").alias("h"), "y").agg(F.min("id").alias("id")).select("id", "y")
-    once = cut(once)
-    own = rows.join(F.broadcast(once), "id")
+    # At most about 2 * max_rows documents, each text once: the only ones that are moved.
+    first = F.min(F.struct("id", "text")).alias("m")
+    own = cut(met.groupBy(F.xxhash64("text").alias("h"), "y").agg(first).select("m.id", "m.text", "y"))
     rest, last = own.where(fold(F.col("id")) != FOLDS - 1), own.where(fold(F.col("id")) == FOLDS - 1)
 
-    n = {r.y: r["n"] for r in once.where(fold(F.col("id")) != FOLDS - 1).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n = {r.y: r["n"] for r in own.where(fold(F.col("id")) != FOLDS - 1).groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n1 or not n0:
         return Constant(float(n1 > 0))
