@@ -11,43 +11,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores that running sums are made in, for all reals; a quarter of them lies between 0 and 1.
+RANGES = 1 << 16
+
+
 def curve(pred: DataFrame, by: list[str]) -> DataFrame:
-    """Per distinct score, falling: positives ``tp`` and rows ``n`` at it, running sums ``ctp`` and ``cn``, totals ``p`` and ``t``."""
+    """Per distinct score, falling: positives ``tp`` and rows ``n`` at it, running sums ``ctp`` and ``cn``, totals ``p`` and ``t``.
+
+    Running sums are made within ranges of scores, and what lies above a range is added; only the sums of the ranges, at
+    most ``RANGES`` rows a group, pass through one window.
+    """
     at = pred.where("y is not null").groupBy(*by, "score").agg(F.sum("y").cast("double").alias("tp"), F.count("*").cast("double").alias("n"))
-    order = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = at.withColumn("_b", F.floor(F.atan("score") * (RANGES / 3.2)))
+    order = Window.partitionBy(*by).orderBy(F.desc("_b"))
     whole = Window.partitionBy(*by)
-    return (
-        at.withColumn("ctp", F.sum("tp").over(order))
-        .withColumn("cn", F.sum("n").over(order))
-        .withColumn("p", F.sum("tp").over(whole))
-        .withColumn("t", F.sum("n").over(whole))
+    ranges = at.groupBy(*by, "_b").agg(F.sum("tp").alias("_tp"), F.sum("n").alias("_n"))
+    above = ranges.select(
+        *by,
+        "_b",
+        (F.sum("_tp").over(order) - F.col("_tp")).alias("_atp"),
+        (F.sum("_n").over(order) - F.col("_n")).alias("_an"),
+        F.sum("_tp").over(whole).alias("p"),
+        F.sum("_n").over(whole).alias("t"),
     )
+    own = Window.partitionBy(*by, "_b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = at.withColumn("ctp", F.sum("tp").over(own)).withColumn("cn", F.sum("n").over(own))
+    met = summed.join(above, [*by, "_b"])
+    return met.withColumn("ctp", F.col("ctp") + F.col("_atp")).withColumn("cn", F.col("cn") + F.col("_an")).drop("_b", "_atp", "_an")
 
 
 def percent(x: Column) -> Column:
     return F.round(F.coalesce(x, F.lit(0.0)) * 100, 2)
 
 
+def areas() -> dict[str, Column]:
+    """Aggregates of a curve: ``aupr``, recall steps times precision, equal scores together; ``rocauc``, the share of ordered
+    pairs of a positive and a negative, ties for a half; ``pr_area``, under straight lines between the points of the
+    precision-recall curve, from recall 0 and precision 1."""
+    tp, n, ctp, cn, p = (F.col(c) for c in ("tp", "n", "ctp", "cn", "p"))
+    below = (F.col("t") - p) - (cn - ctp)
+    wins = F.sum(tp * below + 0.5 * tp * (n - tp))
+    before = F.coalesce(F.try_divide(ctp - tp, cn - n), F.lit(1.0))
+    return {
+        "aupr": percent(F.sum(F.try_divide(tp, p) * ctp / cn)),
+        "rocauc": percent(F.try_divide(wins, F.max(p * (F.col("t") - p)))),
+        "pr_area": F.round(F.sum(F.try_divide(tp, p) * (ctp / cn + before) / 2), 4),
+    }
+
+
+def areas_of(pred: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """The named areas, from one curve."""
+    return curve(pred, by).groupBy(*by).agg(*[areas()[n].alias(n) for n in names])
+
+
 def average_precision(pred: DataFrame, by: list[str]) -> DataFrame:
-    """Sum of recall steps times precision, equal scores together."""
-    total = F.sum(F.try_divide(F.col("tp"), F.col("p")) * F.col("ctp") / F.col("cn"))
-    return curve(pred, by).groupBy(*by).agg(percent(total).alias("aupr"))
+    return areas_of(pred, by, ["aupr"])
 
 
 def roc_auc(pred: DataFrame, by: list[str]) -> DataFrame:
-    """Share of ordered pairs of a positive and a negative, ties for a half."""
-    below = (F.col("t") - F.col("p")) - (F.col("cn") - F.col("ctp"))
-    wins = F.sum(F.col("tp") * below + 0.5 * F.col("tp") * (F.col("n") - F.col("tp")))
-    pairs = F.max(F.col("p") * (F.col("t") - F.col("p")))
-    return curve(pred, by).groupBy(*by).agg(percent(F.try_divide(wins, pairs)).alias("rocauc"))
+    return areas_of(pred, by, ["rocauc"])
 
 
 def pr_trapezoid(pred: DataFrame, by: list[str]) -> DataFrame:
-    """Area under straight lines between points of the precision-recall curve, from recall 0 and precision 1."""
-    order = Window.partitionBy(*by).orderBy(F.desc("score"))
-    points = curve(pred, by).select(*by, "score", F.try_divide(F.col("ctp"), F.col("p")).alias("r"), (F.col("ctp") / F.col("cn")).alias("q"))
-    steps = points.withColumn("r0", F.coalesce(F.lag("r").over(order), F.lit(0.0))).withColumn("q0", F.coalesce(F.lag("q").over(order), F.lit(1.0)))
-    return steps.groupBy(*by).agg(F.round(F.sum((F.col("r") - F.col("r0")) * (F.col("q") + F.col("q0")) / 2), 4).alias("pr_area"))
+    return areas_of(pred, by, ["pr_area"])
 
 
 def confusion(pred: DataFrame, by: list[str]) -> DataFrame:
@@ -79,7 +105,7 @@ def report(pred: DataFrame, by: list[str]) -> DataFrame:
     """All classification metrics in long form: ``score_name`` and ``value``."""
     counts = confusion(pred, by)
     wide = counts.select(*by, *[c.alias(n) for n, c in rates().items() if n != "mcc"])
-    joined = wide.join(average_precision(pred, by), by).join(roc_auc(pred, by), by)
+    joined = wide.join(areas_of(pred, by, ["aupr", "rocauc"]), by)
     return joined.unpivot(by, ["aupr", "rocauc", "f1", "recall", "precision", "acc"], "score_name", "value")
 
 

@@ -32,5 +32,5 @@ def global_rank(df: DataFrame, order: list[str], bucket: Column, name: str = "ra
 def kfold(df: DataFrame, key: str, k: int, seed: int = 324, by: list[str] | None = None) -> DataFrame:
     """Fold 0 to k - 1 by position in a hash order, within ``by`` if the folds are to be stratified: sizes differ by one at most."""
     h = df.withColumn("_h", hashed(key, seed=seed))
-    ranked = global_rank(h, ["_h", key], F.substring("_h", 1, 3), "_rank", by)
+    ranked = global_rank(h, ["_h", key], F.substring("_h", 1, 4), "_rank", by)
     return ranked.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_h", "_rank")

@@ -24,44 +24,59 @@ def _spread(seed: str, n: Column) -> Column:
 
 
 def draws(inter: DataFrame, prots: DataFrame, mols: DataFrame, count: int) -> DataFrame:
-    """``count`` draws of the complement: ``t``, ``prot_id``, ``mol_id``, each pair once, by its first draw."""
-    p = global_rank(prots, ["prot_id"], F.floor(F.col("prot_id") / 10_000), "pi")
-    m = global_rank(mols, ["mol_id"], F.floor(F.col("mol_id") / 10_000), "mi")
+    """``count`` draws of the complement: ``t``, ``prot_id``, ``mol_id``, each pair once, by its first draw.
+
+    Where all pairs are no more than twice the draws, draws would repeat too often: then the complement itself, which is
+    that small, is listed in a hash order, so a sample falls short only where the complement does.
+    """
+    p = global_rank(prots, ["prot_id"], F.floor(F.col("prot_id") / 250_000), "pi")
+    m = global_rank(mols, ["mol_id"], F.floor(F.col("mol_id") / 250_000), "mi")
     n_p, n_m = prots.count(), mols.count()
-    if not n_p or not n_m:
-        count = 0
+    if n_p * n_m <= 2 * count or not count:
+        cells = p.select("prot_id", F.explode(F.sequence(F.lit(0), F.lit(n_m - 1))).alias("mi")) if n_m else p.select("prot_id", F.lit(0).alias("mi")).limit(0)
+        free = cells.join(m, "mi").select("prot_id", "mol_id").join(inter, ["prot_id", "mol_id"], "left_anti")
+        hashed = free.withColumn("_h", F.md5(F.concat_ws("-", "prot_id", "mol_id")))
+        return global_rank(hashed, ["_h", "prot_id", "mol_id"], F.substring("_h", 1, 4), "t").select("t", "prot_id", "mol_id")
     t = inter.sparkSession.range(count).withColumnRenamed("id", "t")
-    drawn = t.select("t", _spread("p", F.lit(max(1, n_p))).alias("pi"), _spread("m", F.lit(max(1, n_m))).alias("mi"))
+    drawn = t.select("t", _spread("p", F.lit(n_p)).alias("pi"), _spread("m", F.lit(n_m)).alias("mi"))
     first = drawn.groupBy("pi", "mi").agg(F.min("t").alias("t"))
     named = first.join(p, "pi").join(m, "mi").select("t", "prot_id", "mol_id")
     return named.join(inter, ["prot_id", "mol_id"], "left_anti")
 
 
-def setting1(inter: DataFrame, prots: DataFrame, mols: DataFrame, ratios=RATIOS, k: int = FOLDS) -> DataFrame:
-    """Raw pairs: ``prot_id``, ``mol_id``, ``y``, ``ratio``, ``fold``. Positives are the same for every ratio.
+def sizes(n: int, ratios=RATIOS) -> dict[int, int]:
+    """How many negatives ``n`` positives get at each ratio: each ratio's count is rounded from the one before."""
+    last, out = max(ratios), {max(ratios): max(ratios) * n}
+    for ratio in sorted(ratios, reverse=True)[1:]:
+        out[ratio] = round(ratio / last * out[last])
+        last = ratio
+    return out
+
+
+def setting1(inter: DataFrame, prots: DataFrame, mols: DataFrame, ratios=RATIOS, k: int = FOLDS, only: int | None = None) -> DataFrame:
+    """Raw pairs: ``prot_id``, ``mol_id``, ``y``, ``ratio``, ``fold``, ``missing``. Positives are the same for every ratio.
 
     Of the ``n_pos * max(ratios)`` negatives, dealt to folds by their position, a fold keeps for a ratio the first
-    round(round(ratio / previous ratio * previous count) / k), ratios falling. Where the complement is too small
-    for a ratio, all draws of it are taken and the fold counts show the shortfall.
+    round(round(ratio / previous ratio * previous count) / k), ratios falling. Pairs are drawn and ranked once, and each
+    row goes to the ratios it is in. Where the complement is too small for a ratio all of it is taken, and ``missing``
+    says how many negatives the ratio lacks. ``only`` gives a single ratio's rows.
     """
     pairs = inter.withColumn("_key", F.concat_ws("-", "prot_id", "mol_id"))
-    positive = kfold(pairs, "_key", k).select("prot_id", "mol_id", F.lit(1).alias("y"), "fold")
-    n = inter.count()
-    top = max(ratios)
-    drawn = global_rank(draws(inter, prots, mols, OVERDRAW * top * n), ["t"], F.floor(F.col("t") / 50_000), "position")
-    kept = drawn.where(F.col("position") < top * n)
-    negative = kept.select("prot_id", "mol_id", F.lit(0).alias("y"), (F.col("position") % k).cast("int").alias("fold"), F.floor(F.col("position") / k).alias("r"))
-    out, size, last = [], top * n, top
-    for ratio in sorted(ratios, reverse=True):
-        size = round(ratio / last * size)
-        last = ratio
-        few = negative if ratio == top else negative.where(F.col("r") < round(size / k))
-        for df in (positive, few.drop("r")):
-            out.append(df.withColumn("ratio", F.lit(ratio)))
-    whole = out[0]
-    for df in out[1:]:
-        whole = whole.unionByName(df)
-    return whole
+    positive = kfold(pairs, "_key", k).select("prot_id", "mol_id", F.lit(1).alias("y"), "fold", F.lit(0).alias("r"))
+    n, top = inter.count(), max(ratios)
+    free = prots.count() * mols.count() - n
+    drawn = global_rank(draws(inter, prots, mols, OVERDRAW * top * n), ["t"], F.floor(F.col("t") / 250_000), "position")
+    fold, place = (F.col("position") % k).cast("int").alias("fold"), F.floor(F.col("position") / k).alias("r")
+    negative = drawn.where(F.col("position") < top * n).select("prot_id", "mol_id", F.lit(0).alias("y"), fold, place)
+    some = {r: c for r, c in sizes(n, ratios).items() if only in (None, r)}
+    told = [
+        F.struct(F.lit(r).alias("ratio"), F.lit((1 << 62) if r == top else round(c / k)).alias("most"), F.lit(max(0, c - free)).alias("missing"))
+        for r, c in some.items()
+    ]
+    fits = F.filter(F.array(*told), lambda s: (F.col("y") == 1) | (F.col("r") < s["most"]))
+    return positive.unionByName(negative).select("prot_id", "mol_id", "y", "fold", F.explode(fits).alias("s")).select(
+        "prot_id", "mol_id", "y", "s.ratio", "fold", F.col("s.missing").cast("long").alias("missing")
+    )
 
 
 def by_entity(inter: DataFrame, prots: DataFrame, mols: DataFrame, entity: str, ratios=RATIOS, k: int = FOLDS) -> DataFrame:
@@ -72,7 +87,7 @@ def by_entity(inter: DataFrame, prots: DataFrame, mols: DataFrame, entity: str,
     sizes = positive.groupBy("fold").agg(F.count("*").alias("n_pos"))
     top = max(ratios)
     drawn = draws(inter, prots, mols, OVERDRAW * top * inter.count()).join(folds, key)
-    ranked = global_rank(drawn, ["t"], F.floor(F.col("t") / 50_000), "r", ["fold"]).join(sizes, "fold")
+    ranked = global_rank(drawn, ["t"], F.floor(F.col("t") / 250_000), "r", ["fold"]).join(sizes, "fold")
     ratio = F.explode(F.array(*[F.lit(r) for r in ratios])).alias("ratio")
     negative = ranked.select("prot_id", "mol_id", F.lit(0).alias("y"), "fold", "r", "n_pos", ratio).where(
         F.col("r") < F.col("ratio") * F.col("n_pos")
@@ -80,34 +95,79 @@ def by_entity(inter: DataFrame, prots: DataFrame, mols: DataFrame, entity: str,
     return positive.select("*", ratio).unionByName(negative.select("prot_id", "mol_id", "y", "fold", "ratio"))
 
 
-def double_orphan(inter: DataFrame, prots: DataFrame, mols: DataFrame, k: int = FOLDS) -> DataFrame:
-    """Setting 4: for each test block of the k x k grid and each validation block that differs in both coordinates, the
-    number of pairs in ``test``, ``val`` and ``train`` (outside both blocks in both keys).
+def double_orphan(inter: DataFrame, prots: DataFrame, mols: DataFrame, ratios=RATIOS, k: int = FOLDS) -> DataFrame:
+    """Setting 4: ``prot_id``, ``mol_id``, ``y``, ``pf``, ``mf`` and ``ratio``: pairs in the cells of a k x k grid of folds.
 
-    The pairs of a grid cell are counted once; the splits combine k * k counts, so nothing is repeated 400 times.
+    Each cell holds its positives and, nested by ratio, its first negatives, ``ratio`` times its positives. A split is a
+    filter on the two folds (``block``), so the pairs of the k^2 (k - 1)^2 splits are stored once.
     """
-    p, m = kfold(prots.select("prot_id"), "prot_id", k).withColumnRenamed("fold", "pf"), kfold(mols.select("mol_id"), "mol_id", k).withColumnRenamed("fold", "mf")
-    cells = inter.join(p, "prot_id").join(m, "mol_id").groupBy("pf", "mf").agg(F.count("*").alias("n"))
-    side = inter.sparkSession.range(k).select(F.col("id").cast("int").alias("x"))
-    grid = side.select(F.col("x").alias("tp"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("tm"))
-    blocks = grid.select("tp", "tm", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("vp")).select(
-        "tp", "tm", "vp", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("vm")
-    )
-    blocks = blocks.where("tp <> vp and tm <> vm")
-    part = (
-        F.when((F.col("pf") == F.col("tp")) & (F.col("mf") == F.col("tm")), "test")
-        .when((F.col("pf") == F.col("vp")) & (F.col("mf") == F.col("vm")), "val")
-        .when(~F.col("pf").isin(F.col("tp"), F.col("vp")) & ~F.col("mf").isin(F.col("tm"), F.col("vm")), "train")
-    )
+    p = kfold(prots.select("prot_id"), "prot_id", k).withColumnRenamed("fold", "pf")
+    m = kfold(mols.select("mol_id"), "mol_id", k).withColumnRenamed("fold", "mf")
+    positive = inter.join(p, "prot_id").join(m, "mol_id").select("prot_id", "mol_id", F.lit(1).alias("y"), "pf", "mf")
+    cells = positive.groupBy("pf", "mf").agg(F.count("*").alias("n_pos"))  # at most k * k rows
+    drawn = draws(inter, prots, mols, OVERDRAW * max(ratios) * inter.count()).join(p, "prot_id").join(m, "mol_id")
+    ranked = global_rank(drawn, ["t"], F.floor(F.col("t") / 250_000), "r", ["pf", "mf"]).join(F.broadcast(cells), ["pf", "mf"])
+    ratio = F.explode(F.array(*[F.lit(r) for r in ratios])).alias("ratio")
+    negative = ranked.select("prot_id", "mol_id", F.lit(0).alias("y"), "pf", "mf", "r", "n_pos", ratio)
+    return positive.select("*", ratio).unionByName(negative.where(F.col("r") < F.col("ratio") * F.col("n_pos")).drop("r", "n_pos"))
+
+
+def part(tp, tm, vp, vm) -> Column:
+    """The part of a pair of setting 4 if (tp, tm) is the test block and (vp, vm) the validation block: train pairs lie
+    outside both blocks in both keys, and what is left has no part."""
+    tp, tm, vp, vm = (F.lit(x) if isinstance(x, int) else x for x in (tp, tm, vp, vm))
     return (
-        blocks.join(F.broadcast(cells))  # at most k * k rows
-        .withColumn("part", part)
-        .where("part is not null")
-        .groupBy("tp", "tm", "vp", "vm", "part")
-        .agg(F.sum("n").alias("n"))
+        F.when((F.col("pf") == tp) & (F.col("mf") == tm), "test")
+        .when((F.col("pf") == vp) & (F.col("mf") == vm), "val")
+        .when(~F.col("pf").isin(tp, vp) & ~F.col("mf").isin(tm, vm), "train")
     )
 
 
+def block(grid: DataFrame, tp: int, tm: int, vp: int, vm: int) -> DataFrame:
+    """One split of setting 4: the pairs of ``double_orphan`` with their ``part``."""
+    return grid.withColumn("part", part(tp, tm, vp, vm)).where("part is not null")
+
+
+def block_counts(grid: DataFrame, k: int = FOLDS) -> DataFrame:
+    """Pairs in ``test``, ``val`` and ``train`` of every split: each pair of blocks that differ in both coordinates.
+
+    The pairs of a cell are counted once; the splits combine k * k counts, so nothing is repeated 400 times.
+    """
+    cells = grid.groupBy("pf", "mf", "y", "ratio").agg(F.count("*").alias("n"))
+    blocks = grid.sparkSession.range(1)
+    for name in ("tp", "tm", "vp", "vm"):
+        blocks = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name))
+    blocks = blocks.drop("id").where("tp <> vp and tm <> vm")
+    met = blocks.join(F.broadcast(cells))  # at most two rows a cell and ratio
+    told = met.withColumn("part", part(*(F.col(c) for c in ("tp", "tm", "vp", "vm")))).where("part is not null")
+    return told.groupBy("tp", "tm", "vp", "vm", "part", "y", "ratio").agg(F.sum("n").alias("n"))
+
+
+def make_split(setting: int, inter: DataFrame, prots: DataFrame, mols: DataFrame, ratios=RATIOS, k: int = FOLDS) -> DataFrame:
+    """Pairs of any setting with their folds: 1 raw pairs, 2 orphan proteins, 3 orphan molecules, 4 both."""
+    if setting == 1:
+        return setting1(inter, prots, mols, ratios, k)
+    if setting in (2, 3):
+        return by_entity(inter, prots, mols, "protein" if setting == 2 else "molecule", ratios, k)
+    if setting == 4:
+        return double_orphan(inter, prots, mols, ratios, k)
+    raise ValueError(f"settings are 1 to 4, not {setting}")
+
+
+def assign_folds(df: DataFrame, key: str, k: int, strategy: str = "random", by: list[str] | None = None, features: str | None = None, seed: int = 324) -> DataFrame:
+    """``key`` and ``fold`` of a table of examples, by name of the strategy: ``random`` (in a hash order), ``stratified``
+    (the same within the classes ``by``), or ``kmeans`` (clusters of the array column ``features`` as folds)."""
+    if strategy == "random":
+        return kfold(df, key, k, seed).select(key, "fold")
+    if strategy == "stratified":
+        return kfold(df, key, k, seed, by=by).select(key, "fold")
+    if strategy == "kmeans":
+        from dockyard.operators.learners import kmeans_folds
+
+        return kmeans_folds(df, key, features, k, seed)
+    raise ValueError(f"no strategy {strategy}")
+
+
 def downsample(labels: DataFrame, cap: int = 10, seed: int = 92) -> DataFrame:
     """Per task, negatives beyond ``cap`` times the positives get a null label; no row is dropped."""
     h = labels.withColumn("_h", F.md5(F.concat_ws("-", F.col("id").cast("string"), "task", F.lit(str(seed)))))

@@ -196,7 +196,7 @@ def cv_fold_counts(spark, d):
 
 @query("negative_sample", f"WITH {CV1} SELECT prot_id, mol_id, fold FROM cv WHERE y = 0 AND ratio = 1")
 def negative_sample(spark, d):
-    return S.setting1(*_trio(spark, d)).where("y = 0 and ratio = 1").select("prot_id", "mol_id", "fold")
+    return S.setting1(*_trio(spark, d), only=1).where("y = 0").select("prot_id", "mol_id", "fold")
 
 
 def _entity(key: str, source: str) -> str:
@@ -216,17 +216,36 @@ def cv_setting3(spark, d):
     return S.by_entity(*_trio(spark, d), "molecule").select("prot_id", "mol_id", "y", "fold", "ratio")
 
 
+CV4 = f"""{DRAW}, {PFOLD}, {MFOLD}, p4 AS (SELECT prot_id, mol_id, pf.fold AS pf, mf.fold AS mf FROM inter JOIN pf USING (prot_id) JOIN mf USING (mol_id)),
+  c4 AS (SELECT pf, mf, count(*) AS np FROM p4 GROUP BY ALL), r4(ratio) AS (VALUES (10), (5), (2), (1)),
+  n4 AS (SELECT prot_id, mol_id, pf.fold AS pf, mf.fold AS mf, row_number() OVER (PARTITION BY pf.fold, mf.fold ORDER BY t) - 1 AS r FROM dn JOIN pf USING (prot_id) JOIN mf USING (mol_id)),
+  g4 AS (SELECT prot_id, mol_id, 1 AS y, pf, mf, ratio FROM p4, r4 UNION ALL SELECT prot_id, mol_id, 0, pf, mf, ratio FROM n4 JOIN c4 USING (pf, mf), r4 WHERE r < ratio * np)"""
+
+
+@query("cv_setting4", f"WITH {CV4} SELECT * FROM g4")
+def cv_setting4(spark, d):
+    return S.make_split(4, *_trio(spark, d)).select("prot_id", "mol_id", "y", "pf", "mf", "ratio")
+
+
 @query(
-    "cv_setting4",
-    f"""WITH {INTER}, {PFOLD}, {MFOLD}, g AS (SELECT p, m FROM range(5) a(p), range(5) b(m)),
+    "cv_setting4_block",
+    f"WITH {CV4} SELECT prot_id, mol_id, y, ratio, CASE WHEN pf = 1 AND mf = 2 THEN 'test' WHEN pf = 3 AND mf = 0 THEN 'val' ELSE 'train' END AS part FROM g4 WHERE (pf = 1 AND mf = 2) OR (pf = 3 AND mf = 0) OR (pf NOT IN (1, 3) AND mf NOT IN (2, 0))",
+)
+def cv_setting4_block(spark, d):
+    """One of the 400 splits: test block (1, 2), validation block (3, 0)."""
+    return S.block(S.double_orphan(*_trio(spark, d)), 1, 2, 3, 0).select("prot_id", "mol_id", "y", "ratio", "part")
+
+
+@query(
+    "cv_setting4_counts",
+    f"""WITH {CV4}, g AS (SELECT p, m FROM range(5) a(p), range(5) b(m)),
   s AS (SELECT t.p AS tp, t.m AS tm, v.p AS vp, v.m AS vm FROM g t JOIN g v ON t.p <> v.p AND t.m <> v.m),
-  x AS (SELECT pf.fold AS p, mf.fold AS m, count(*) AS n FROM inter JOIN pf USING (prot_id) JOIN mf USING (mol_id) GROUP BY ALL),
-  y AS (SELECT tp, tm, vp, vm, n, CASE WHEN p = tp AND m = tm THEN 'test' WHEN p = vp AND m = vm THEN 'val'
-    WHEN p NOT IN (tp, vp) AND m NOT IN (tm, vm) THEN 'train' END AS part FROM s, x)
-  SELECT tp::INT AS tp, tm::INT AS tm, vp::INT AS vp, vm::INT AS vm, part, sum(n)::BIGINT AS n FROM y WHERE part IS NOT NULL GROUP BY ALL""",
+  z AS (SELECT tp, tm, vp, vm, y, ratio, CASE WHEN pf = tp AND mf = tm THEN 'test' WHEN pf = vp AND mf = vm THEN 'val'
+    WHEN pf NOT IN (tp, vp) AND mf NOT IN (tm, vm) THEN 'train' END AS part FROM s, g4)
+  SELECT tp::INT AS tp, tm::INT AS tm, vp::INT AS vp, vm::INT AS vm, part, y, ratio, count(*) AS n FROM z WHERE part IS NOT NULL GROUP BY ALL""",
 )
-def cv_setting4(spark, d):
-    return S.double_orphan(*_trio(spark, d))
+def cv_setting4_counts(spark, d):
+    return S.block_counts(S.double_orphan(*_trio(spark, d)))
 
 
 @query("fold_summary", f"WITH {T.LABEL}, f AS (SELECT doc_id AS id, ({KF.format(k='doc_id')})::INT AS fold FROM documents) SELECT fold, task, y, count(*) AS n FROM lab JOIN f USING (id) GROUP BY ALL")
@@ -239,15 +258,15 @@ def fold_summary(spark, d):
 def fold_loader(spark, d):
     """Train on every fold but the test and validation ones; on partitioned tables this prunes partitions."""
     part = F.when(F.col("fold") == 0, "test").when(F.col("fold") == 1, "val").otherwise("train")
-    return S.setting1(*_trio(spark, d)).where("ratio = 5").select(part.alias("part"), "prot_id", "mol_id", "y")
+    return S.setting1(*_trio(spark, d), only=5).select(part.alias("part"), "prot_id", "mol_id", "y")
 
 
-@query("dq_fold_leak", "SELECT 'fold_leak' AS check_name, 0::BIGINT AS n_violations")
+@query("dq_fold_leak", f"WITH {CV1} SELECT 'fold_leak' AS check_name, count(*) AS n_violations FROM (SELECT 1 FROM cv GROUP BY prot_id, mol_id, ratio HAVING count(DISTINCT fold) > 1)")
 def dq_fold_leak(spark, d):
     return S.overlap(S.setting1(*_trio(spark, d)), ["prot_id", "mol_id", "ratio"])
 
 
-@query("dq_negatives_clean", "SELECT 'negative_is_positive' AS check_name, 0::BIGINT AS n_violations")
+@query("dq_negatives_clean", f"WITH {CV1} SELECT 'negative_is_positive' AS check_name, count(*) AS n_violations FROM cv SEMI JOIN inter USING (prot_id, mol_id) WHERE y = 0")
 def dq_negatives_clean(spark, d):
     inter, prot, mol = _trio(spark, d)
     bad = S.setting1(inter, prot, mol).where("y = 0").join(inter, ["prot_id", "mol_id"], "left_semi")
