@@ -8,9 +8,12 @@ the one for a larger ratio, so ratios are nested.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dockyard.operators.lineage import cut
 from dockyard.operators.ranking import global_rank, kfold
 
 RATIOS = (10, 5, 2, 1)
@@ -23,6 +26,11 @@ def _spread(seed: str, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("t").cast("string"))), 1, 8), 16, 10).cast("long"), n)
 
 
+def _bucket(count: int) -> Column:
+    """Buckets of draws to rank in: about as many rows in each as there are buckets, times a few."""
+    return F.floor(F.col("t") / max(4096, 8 * math.isqrt(count)))
+
+
 def draws(inter: DataFrame, prots: DataFrame, mols: DataFrame, count: int) -> DataFrame:
     """``count`` draws of the complement: ``t``, ``prot_id``, ``mol_id``, each pair once, by its first draw.
 
@@ -61,11 +69,12 @@ def setting1(inter: DataFrame, prots: DataFrame, mols: DataFrame, ratios=RATIOS,
     row goes to the ratios it is in. Where the complement is too small for a ratio all of it is taken, and ``missing``
     says how many negatives the ratio lacks. ``only`` gives a single ratio's rows.
     """
+    inter = cut(inter.select("prot_id", "mol_id"))  # it is used several times: made once, however it was come by
     pairs = inter.withColumn("_key", F.concat_ws("-", "prot_id", "mol_id"))
     positive = kfold(pairs, "_key", k).select("prot_id", "mol_id", F.lit(1).alias("y"), "fold", F.lit(0).alias("r"))
     n, top = inter.count(), max(ratios)
     free = prots.count() * mols.count() - n
-    drawn = global_rank(draws(inter, prots, mols, OVERDRAW * top * n), ["t"], F.floor(F.col("t") / 250_000), "position")
+    drawn = global_rank(draws(inter, prots, mols, OVERDRAW * top * n), ["t"], _bucket(OVERDRAW * top * n), "position")
     fold, place = (F.col("position") % k).cast("int").alias("fold"), F.floor(F.col("position") / k).alias("r")
     negative = drawn.where(F.col("position") < top * n).select("prot_id", "mol_id", F.lit(0).alias("y"), fold, place)
     some = {r: c for r, c in sizes(n, ratios).items() if only in (None, r)}
@@ -81,13 +90,14 @@ def setting1(inter: DataFrame, prots: DataFrame, mols: DataFrame, ratios=RATIOS,
 
 def by_entity(inter: DataFrame, prots: DataFrame, mols: DataFrame, entity: str, ratios=RATIOS, k: int = FOLDS) -> DataFrame:
     """Settings 2 and 3: folds over proteins or molecules (``entity``); pairs inherit the fold; negatives nested in it."""
+    inter = cut(inter.select("prot_id", "mol_id"))
     key, owners = ("prot_id", prots) if entity == "protein" else ("mol_id", mols)
     folds = kfold(owners.select(key), key, k)
     positive = inter.join(folds, key).select("prot_id", "mol_id", F.lit(1).alias("y"), "fold")
     sizes = positive.groupBy("fold").agg(F.count("*").alias("n_pos"))
-    top = max(ratios)
-    drawn = draws(inter, prots, mols, OVERDRAW * top * inter.count()).join(folds, key)
-    ranked = global_rank(drawn, ["t"], F.floor(F.col("t") / 250_000), "r", ["fold"]).join(sizes, "fold")
+    top, n = max(ratios), inter.count()
+    drawn = draws(inter, prots, mols, OVERDRAW * top * n).join(folds, key)
+    ranked = global_rank(drawn, ["t"], _bucket(OVERDRAW * top * n), "r", ["fold"]).join(sizes, "fold")
     ratio = F.explode(F.array(*[F.lit(r) for r in ratios])).alias("ratio")
     negative = ranked.select("prot_id", "mol_id", F.lit(0).alias("y"), "fold", "r", "n_pos", ratio).where(
         F.col("r") < F.col("ratio") * F.col("n_pos")
@@ -101,12 +111,14 @@ def double_orphan(inter: DataFrame, prots: DataFrame, mols: DataFrame, ratios=RA
     Each cell holds its positives and, nested by ratio, its first negatives, ``ratio`` times its positives. A split is a
     filter on the two folds (``block``), so the pairs of the k^2 (k - 1)^2 splits are stored once.
     """
+    inter = cut(inter.select("prot_id", "mol_id"))
     p = kfold(prots.select("prot_id"), "prot_id", k).withColumnRenamed("fold", "pf")
     m = kfold(mols.select("mol_id"), "mol_id", k).withColumnRenamed("fold", "mf")
     positive = inter.join(p, "prot_id").join(m, "mol_id").select("prot_id", "mol_id", F.lit(1).alias("y"), "pf", "mf")
     cells = positive.groupBy("pf", "mf").agg(F.count("*").alias("n_pos"))  # at most k * k rows
-    drawn = draws(inter, prots, mols, OVERDRAW * max(ratios) * inter.count()).join(p, "prot_id").join(m, "mol_id")
-    ranked = global_rank(drawn, ["t"], F.floor(F.col("t") / 250_000), "r", ["pf", "mf"]).join(F.broadcast(cells), ["pf", "mf"])
+    top, n = max(ratios), inter.count()
+    drawn = draws(inter, prots, mols, OVERDRAW * top * n).join(p, "prot_id").join(m, "mol_id")
+    ranked = global_rank(drawn, ["t"], _bucket(OVERDRAW * top * n), "r", ["pf", "mf"]).join(F.broadcast(cells), ["pf", "mf"])
     ratio = F.explode(F.array(*[F.lit(r) for r in ratios])).alias("ratio")
     negative = ranked.select("prot_id", "mol_id", F.lit(0).alias("y"), "pf", "mf", "r", "n_pos", ratio)
     return positive.select("*", ratio).unionByName(negative.where(F.col("r") < F.col("ratio") * F.col("n_pos")).drop("r", "n_pos"))
@@ -175,8 +187,8 @@ def downsample(labels: DataFrame, cap: int = 10, seed: int = 92) -> DataFrame:
     n_pos = labels.where("y = 1").groupBy("task").agg(F.count("*").alias("_p"))
     ranked = global_rank(known, ["_h", "id"], F.substring("_h", 1, 2), "_rank", ["task"]).join(n_pos, "task", "left")
     over = F.col("_rank") >= cap * F.coalesce("_p", F.lit(0))
-    cut = ranked.withColumn("y", F.when(~over, F.col("y")))
-    return cut.select(labels.columns).unionByName(rest.select(labels.columns))
+    capped = ranked.withColumn("y", F.when(~over, F.col("y")))
+    return capped.select(labels.columns).unionByName(rest.select(labels.columns))
 
 
 def overlap(split: DataFrame, keys: list[str]) -> DataFrame:
