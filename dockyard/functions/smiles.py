@@ -147,3 +147,48 @@ def atoms_and_bonds(df: DataFrame, key: str, smiles: str) -> tuple[DataFrame, Da
         rows.mapInPandas(atoms, f"mol_id {kind}, i int, attrs array<float>"),
         rows.mapInPandas(bonds, f"mol_id {kind}, i int, j int, attrs array<float>"),
     )
+
+
+def fingerprints(atoms: DataFrame, bonds: DataFrame, radius: int = 2, size: int = 1024) -> DataFrame:
+    """Circular fingerprints of the graphs: ``mol_id``, ``bit`` and ``n``, how many environments of atoms fall on the bit.
+
+    An atom's first code hashes its attributes; in each round a code is hashed with the sorted codes of its neighbours and
+    the kinds of their bonds, a join and an aggregate whose groups are an atom's few neighbours. Codes of all rounds are
+    counted by their remainder; the binary fingerprint is the set of bits.
+    """
+    now = atoms.select("mol_id", "i", F.xxhash64(F.lit(0), F.col("attrs").cast("array<string>")).alias("code"))
+    every = now
+    kinds = bonds.select("mol_id", "i", "j", F.slice("attrs", 1, 4).cast("array<string>").alias("kind"))
+    for r in range(1, radius + 1):
+        other = now.select("mol_id", F.col("i").alias("j"), F.col("code").alias("near"))
+        told = kinds.join(other, ["mol_id", "j"]).groupBy("mol_id", "i").agg(F.sort_array(F.collect_list(F.xxhash64("kind", "near"))).alias("around"))
+        now = now.join(told, ["mol_id", "i"], "left").select("mol_id", "i", F.xxhash64(F.lit(r), "code", "around").alias("code"))
+        every = every.unionByName(now)
+    return every.groupBy("mol_id", F.pmod("code", F.lit(size)).cast("int").alias("bit")).agg(F.count("*").alias("n"))
+
+
+def dense(atoms: DataFrame, bonds: DataFrame, n_atoms: int, mode: int = 0) -> DataFrame:
+    """Tensors of graphs for dense consumers: ``mol_id``, ``nodes`` (n_atoms x 25) and ``edges``, both padded with zeros.
+
+    ``edges`` is the adjacency matrix (mode 0), the same with ones on the diagonal of the atoms there are (1), or has the
+    8 attributes of each bond in its cells (2). Graphs of more than ``n_atoms`` atoms are left out.
+    """
+    no_node, no_edge = F.array(*[F.lit(0.0).cast("float")] * 25), F.array(*[F.lit(0.0).cast("float")] * 8)
+    side = F.sequence(F.lit(0), F.lit(n_atoms - 1))
+    own = atoms.groupBy("mol_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "attrs"))).alias("a"), F.count("*").alias("n")).where(F.col("n") <= n_atoms)
+    met = bonds.groupBy("mol_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") * n_atoms + F.col("j")).alias("at"), "attrs"))).alias("b"))
+    both = own.join(met, "mol_id", "left").withColumn("b", F.coalesce("b", F.create_map().cast("map<int,array<float>>")))
+    if mode == 2:
+        cell = lambda i, j: F.coalesce(F.try_element_at("b", i * n_atoms + j), no_edge)
+    else:
+        loop = lambda i, j: (i == j) & (i < F.col("n")) if mode == 1 else F.lit(False)
+        cell = lambda i, j: F.when(F.map_contains_key("b", i * n_atoms + j) | loop(i, j), 1.0).otherwise(0.0).cast("float")
+    edges = F.transform(side, lambda i: F.transform(side, lambda j: cell(i, j)))
+    return both.select("mol_id", F.transform(side, lambda i: F.coalesce(F.try_element_at("a", i), no_node)).alias("nodes"), edges.alias("edges"))
+
+
+def rejects(df: DataFrame, key: str, smiles: str) -> DataFrame:
+    """How many structure strings there are, and how many of them can't be read, as one row."""
+    read = atoms_and_bonds(df, key, smiles)[0].select("mol_id").distinct()
+    bad = df.join(read, df[key] == read["mol_id"], "left_anti").agg(F.count("*").alias("n_rejected"))
+    return df.agg(F.count("*").alias("n")).join(bad)

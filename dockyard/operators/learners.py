@@ -10,14 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockyard.functions.columns import sigmoid
+from dockyard.functions.metrics import roc_auc
 from dockyard.operators.lineage import cut
 
 
@@ -147,11 +149,15 @@ def kmeans_folds(df: DataFrame, key: str, column: str, k: int, seed: int = 92) -
     return model.transform(data).select(key, "fold")
 
 
-def principal_axes(df: DataFrame, key: str, column: str, k: int) -> DataFrame:
-    """The first k principal components of an array column (a linear kernel's PCA), centred."""
+def principal_axes(df: DataFrame, key: str, column: str, k: int | None = None, ratio: float = 0.9) -> DataFrame:
+    """Principal components of an array column (a linear kernel's PCA), centred: the first ``k``, or as many as hold
+    ``ratio`` of the variance."""
+    size = len(df.select(column).where(F.col(column).isNotNull()).first()[0])
     data = StandardScaler(inputCol="_x", outputCol="_c", withMean=True, withStd=False).fit(_vectors(df, column)).transform(_vectors(df, column))
-    found = PCA(k=k, inputCol="_c", outputCol="_p").fit(data).transform(data)
-    return found.select(key, vector_to_array("_p").alias("components"))
+    model = PCA(k=k or size, inputCol="_c", outputCol="_p").fit(data)
+    held = np.cumsum(model.explainedVariance.toArray())
+    kept = k or min(size, int(np.searchsorted(held, ratio)) + 1)
+    return model.transform(data).select(key, F.slice(vector_to_array("_p"), 1, kept).alias("components"))
 
 
 def complete_linkage(kernel: DataFrame, group: DataFrame, clusters: int, most: int = 2000) -> DataFrame:
@@ -186,3 +192,31 @@ def complete_linkage(kernel: DataFrame, group: DataFrame, clusters: int, most: i
     return met.groupBy("g").applyInPandas(merged, f"g {kind['g']}, id {kind['id']}, cluster long")
 
 
+def best_svm(train: DataFrame, val: DataFrame, grid) -> tuple[object, float, float]:
+    """The machine of the C in ``grid`` with the highest area under the ROC curve on ``val``; ties go to the smaller C."""
+    found = []
+    for c in sorted(grid):
+        model = linear_svm(train, c)
+        area = roc_auc(margins(model, val).select("y", "score", F.lit(0).alias("g")), ["g"]).first()["rocauc"]
+        found.append((model, c, area))
+    return max(found, key=lambda f: f[2])
+
+
+def probabilities(known: DataFrame, scored: DataFrame) -> DataFrame:
+    """``scored`` with ``probability``: a logistic curve of ``score`` fitted on the labels ``y`` of ``known``."""
+    row = lambda df: df.withColumn("_s", array_to_vector(F.array(F.col("score"))))
+    data = row(known).select("_s", F.col("y").cast("double").alias("y"))
+    curve = LogisticRegression(featuresCol="_s", labelCol="y", maxIter=50).fit(data)
+    out = curve.transform(row(scored).withColumnRenamed("y", "_y")).withColumnRenamed("_y", "y")
+    chance = vector_to_array("probability")[1].alias("probability")
+    return out.select(*scored.columns, chance)
+
+
+def ridge(train: DataFrame, strength: float = 0.01):
+    """Least squares on explicit features ``x`` and targets ``y``; on Fourier features, kernel ridge regression."""
+    data = _vectors(train, "x").select("_x", F.col("y").cast("double").alias("y"))
+    return LinearRegression(featuresCol="_x", labelCol="y", regParam=strength).fit(data)
+
+
+def predictions(model, df: DataFrame) -> DataFrame:
+    return model.transform(_vectors(df, "x")).withColumnRenamed("prediction", "score").drop("_x")

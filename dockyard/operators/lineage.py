@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder that the cluster names.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests, a temporary folder is used.
+    Where ``spark.checkpoint.dir`` is unset a local session, as in tests, uses a temporary folder; on a cluster that is an
+    error, as executors don't share one.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="dockyard-checkpoint-"))
     return df.checkpoint(eager=True)

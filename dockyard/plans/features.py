@@ -142,7 +142,7 @@ def aa_composition(spark, d):
     return counts.select("doc_id", "code", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("doc_id")), 8).alias("share"))
 
 
-@query("dipeptide_composition", "WITH c AS (SELECT item_id, substr(text, i, 2) AS code FROM benchmark, range(1, 5000) t(i) WHERE i < length(text)) , g AS (SELECT item_id, code, count(*) AS n FROM c GROUP BY ALL) SELECT item_id, code, round(n / (sum(n) OVER (PARTITION BY item_id))::DOUBLE, 8) AS share FROM g")
+@query("dipeptide_composition", "WITH c AS (SELECT item_id, substr(text, unnest(range(1, greatest(length(text), 2)))::INT, 2) AS code FROM benchmark) , g AS (SELECT item_id, code, count(*) AS n FROM c GROUP BY ALL) SELECT item_id, code, round(n / (sum(n) OVER (PARTITION BY item_id))::DOUBLE, 8) AS share FROM g")
 def dipeptide_composition(spark, d):
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))))
     codes = T.table(spark, d, "benchmark").select("item_id", "text", at.alias("i")).select("item_id", F.col("text").substr(F.col("i"), F.lit(2)).alias("code"))
@@ -150,6 +150,71 @@ def dipeptide_composition(spark, d):
     return counts.select("item_id", "code", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("item_id")), 8).alias("share"))
 
 
+# Residues by the classes of conjoint triads, and by hydrophobicity (polar, neutral, hydrophobic).
+TRIADS = ("AGVILFPYMTSHNQWRKDEC", "11122223333444455667")
+HYDRO = ("RKEDQNGASTPHYCLVIMFW", "11111122222223333333")
+
+
+def _classes(spark, d, classes):
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return T.table(spark, d, "benchmark").select("item_id", F.regexp_replace(F.translate(letters, *classes), "[A-Z]", "").alias("s"))
+
+
+def _class_sql(classes) -> str:
+    return f"c AS (SELECT item_id, regexp_replace(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{classes[0]}', '{classes[1]}'), '[A-Z]', '', 'g') AS s FROM benchmark)"
+
+
+def _shares(spark, d, classes, width):
+    """Shares of the runs of ``width`` classes in a sequence."""
+    long = _classes(spark, d, classes).where(F.length("s") >= width)
+    codes = long.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - (width - 1)), lambda i: F.col("s").substr(i, F.lit(width)))).alias("code"))
+    return codes.groupBy("item_id", "code").agg(F.count("*").alias("n"))
+
+
+def _run_sql(classes, width) -> str:
+    return f"WITH {_class_sql(classes)}, r AS (SELECT item_id, substr(s, unnest(range(1, length(s) - {width - 2}))::INT, {width}) AS code FROM c WHERE length(s) >= {width}), g AS (SELECT item_id, code, count(*) AS n FROM r GROUP BY ALL)"
+
+
+@query("conjoint_triad", _run_sql(TRIADS, 3) + " SELECT item_id, code, n, round((n - min(n) OVER w) / (max(n) OVER w)::DOUBLE, 8) AS scaled FROM g WINDOW w AS (PARTITION BY item_id)")
+def conjoint_triad(spark, d):
+    """Counts of the 343 triads of residue classes, scaled by the least and the largest one of the sequence."""
+    own = Window.partitionBy("item_id")  # at most 343 rows
+    return _shares(spark, d, TRIADS, 3).select("item_id", "code", "n", F.round((F.col("n") - F.min("n").over(own)) / F.max("n").over(own), 8).alias("scaled"))
+
+
+@query("ctd_composition", _run_sql(HYDRO, 1) + " SELECT item_id, code, round(n / (sum(n) OVER (PARTITION BY item_id))::DOUBLE, 8) AS share FROM g")
+def ctd_composition(spark, d):
+    return _shares(spark, d, HYDRO, 1).select("item_id", "code", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("item_id")), 8).alias("share"))
+
+
+@query(
+    "ctd_transition",
+    _run_sql(HYDRO, 2)
+    + ", t AS (SELECT item_id, least(code[1], code[2]) || greatest(code[1], code[2]) AS pair, n, sum(n) OVER (PARTITION BY item_id) AS total FROM g) SELECT item_id, pair, round(sum(n) / (any_value(total))::DOUBLE, 8) AS share FROM t WHERE pair[1] <> pair[2] GROUP BY item_id, pair",
+)
+def ctd_transition(spark, d):
+    """Shares of neighbours of unlike classes, whichever comes first."""
+    n = _shares(spark, d, HYDRO, 2).withColumn("total", F.sum("n").over(Window.partitionBy("item_id")))
+    a, b = F.substring("code", 1, 1), F.substring("code", 2, 1)
+    unlike = n.where(a != b).withColumn("pair", F.concat(F.least(a, b), F.greatest(a, b)))
+    return unlike.groupBy("item_id", "pair").agg(F.round(F.sum("n") / F.first("total"), 8).alias("share"))
+
+
+@query(
+    "ctd_distribution",
+    f"""WITH {_class_sql(HYDRO)}, p AS (SELECT item_id, length(s) AS size, unnest(range(1, length(s) + 1)) AS pos, s FROM c WHERE length(s) > 0), r AS (SELECT item_id, size, s[pos] AS code, pos, row_number() OVER (PARTITION BY item_id, s[pos] ORDER BY pos) AS k, count(*) OVER (PARTITION BY item_id, s[pos]) AS n FROM p)
+    SELECT item_id, code, q, round(100 * min(pos) / (any_value(size))::DOUBLE, 6) AS at FROM r, (VALUES (0), (25), (50), (75), (100)) t(q) WHERE k >= greatest(1, ceil(n * q / 100.0)) GROUP BY item_id, code, q""",
+)
+def ctd_distribution(spark, d):
+    """Where in a sequence, in per cent, the first, the 25th, 50th, 75th and 100th per cent of a class's residues lie."""
+    own = Window.partitionBy("item_id", "code")
+    s = _classes(spark, d, HYDRO).where(F.length("s") > 0)
+    p = s.select("item_id", F.length("s").alias("size"), F.posexplode(F.split("s", "")).alias("pos", "code")).withColumn("pos", F.col("pos") + 1)
+    r = p.withColumn("k", F.row_number().over(own.orderBy("pos"))).withColumn("n", F.count("*").over(own))
+    met = r.withColumn("q", F.explode(F.array(*map(F.lit, (0, 25, 50, 75, 100))))).where(F.col("k") >= F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("q") / 100)))
+    return met.groupBy("item_id", "code", "q").agg(F.round(100 * F.min("pos") / F.first("size"), 6).alias("at"))
+
+
 @query(
     "sequence_conv",
     """WITH s AS (SELECT conv_id, turn, length(text)::DOUBLE AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations),

@@ -58,7 +58,8 @@ def cluster_hierarchical(spark, d):
 
 @query("kernel_pca")
 def kernel_pca(spark, d):
-    return L.principal_axes(T.table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 4)
+    """As many axes as hold 90 % of the variance."""
+    return L.principal_axes(T.table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", ratio=0.9)
 
 
 def _structures(spark, d):
@@ -75,3 +76,38 @@ def smiles_atoms(spark, d):
 @query("smiles_bonds")
 def smiles_bonds(spark, d):
     return smiles.atoms_and_bonds(_structures(spark, d), "p_partkey", "smiles")[1]
+
+
+@query("fingerprint_counts")
+def fingerprint_counts(spark, d):
+    return smiles.fingerprints(*smiles.atoms_and_bonds(_structures(spark, d), "p_partkey", "smiles"))
+
+
+@query("graph_tensors")
+def graph_tensors(spark, d):
+    return smiles.dense(*smiles.atoms_and_bonds(_structures(spark, d), "p_partkey", "smiles"), n_atoms=24, mode=1)
+
+
+@query("dq_structure_rejects")
+def dq_structure_rejects(spark, d):
+    return smiles.rejects(_structures(spark, d), "p_partkey", "smiles")
+
+
+@query("kron_svm_grid")
+def kron_svm_grid(spark, d):
+    """The best C of the grid by ranking quality on every fifth pair, and its probabilities there."""
+    prot, mol = _scaled(spark, d)
+    lines = T.table(spark, d, "lineitem")
+    pairs = lines.groupBy(F.col("l_suppkey").alias("prot_id"), F.col("l_partkey").alias("mol_id")).agg((F.max("l_quantity") >= 25).cast("int").alias("y"))
+    data = L.kronecker_features(pairs, prot, mol)
+    held = F.pmod(F.xxhash64("prot_id", "mol_id"), F.lit(5)) == 0
+    model, c, _ = L.best_svm(data.where(~held), data.where(held), (0.1, 1.0, 10.0))
+    told = L.probabilities(L.margins(model, data.where(~held)), L.margins(model, data.where(held)))
+    return told.select("prot_id", "mol_id", "y", "score", "probability", F.lit(c).alias("c"))
+
+
+@query("rbf_regression")
+def rbf_regression(spark, d):
+    e = T.table(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("double").alias("y"))
+    data = L.fourier_features(e, "embedding", 64, 0.5)
+    return L.predictions(L.ridge(data), data).select("vec_id", "y", "score")

@@ -165,3 +165,28 @@ def read_folds(spark: SparkSession, path: str, ratio: int, test: int, val: int)
         "val": own.where(F.col("fold") == val),
         "train": own.where(~F.col("fold").isin(test, val)),
     }
+
+
+RESULT_KEYS = ["dataset", "setting", "ratio_tr", "ratio_te", "ite", "ival"]
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Append runs' scores, predictions or epoch logs: partitioned by the run's keys, so a scan reads the runs it needs alone."""
+    results.write.partitionBy(*[c for c in RESULT_KEYS if c in results.columns]).parquet(path, mode="append")
+
+
+def scan_results(spark: SparkSession, pattern: str) -> DataFrame:
+    """Score files (``name value`` a line) of runs in directories named like ``DB_ite,ival_set_rtr_rte``, a prefix part more
+    or less: the run's keys come from the path, unreadable names and lines are left out."""
+    name = r"([^/]+)_(\d+),(\d+)_(\d+)_(\d+)_(\d+)/[^/]+$"
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"))
+    part = lambda i: F.regexp_extract("path", name, i)
+    keys = [part(i).cast("int").alias(k) for k, i in (("ite", 2), ("ival", 3), ("setting", 4), ("ratio_tr", 5), ("ratio_te", 6))]
+    told = lines.where(F.col("path").rlike(name) & F.col("value").rlike(r"^\S+ -?[0-9.eE+-]+$"))
+    return told.select(part(1).alias("dataset"), *keys, F.substring_index("value", " ", 1).alias("score_name"), F.substring_index("value", " ", -1).try_cast("double").alias("score"))
+
+
+def within(df: DataFrame, column: str, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Rows whose ``column`` (a weight, a length) lies within the bounds that are given; without any, all rows."""
+    df = df if low is None else df.where(F.col(column) >= low)
+    return df if high is None else df.where(F.col(column) <= high)

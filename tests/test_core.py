@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,10 +103,119 @@ def test_settings_by_entity_and_orphans(relation):
     cv = splits.by_entity(inter, prots, mols, "molecule", ratios=(2, 1)).cache()
     assert cv.groupBy("mol_id").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
     assert cv.where("y = 0").join(inter, ["prot_id", "mol_id"], "left_semi").count() == 0
-    grid = splits.double_orphan(inter, prots, mols)
-    assert grid.select("tp", "tm").distinct().count() == 25 and grid.select("tp", "tm", "vp", "vm").distinct().count() == 400
-    sums = grid.groupBy("tp", "tm", "vp", "vm").agg(F.sum("n").alias("n"))
-    assert sums.where(F.col("n") > inter.count()).count() == 0
+
+
+def test_setting4_splits_share_no_entity(relation):
+    inter, prots, mols = relation
+    grid = splits.make_split(4, inter, prots, mols, ratios=(3, 1)).cache()
+    assert grid.where("y = 1 and ratio = 1").select("prot_id", "mol_id").exceptAll(inter.select("prot_id", "mol_id")).count() == 0
+    assert grid.where("y = 1 and ratio = 3").count() == inter.count()
+    assert grid.where("y = 0").join(inter, ["prot_id", "mol_id"], "left_semi").count() == 0
+    few, more = (grid.where(f"y = 0 and ratio = {r}").select("prot_id", "mol_id", "pf", "mf") for r in (1, 3))
+    assert few.count() == few.join(more, few.columns, "left_semi").count() == inter.count()
+    cells = grid.where("y = 1 and ratio = 1").groupBy("pf", "mf").count().collect()
+    size = [{r[0]: r[1] for r in kfold(ids, key, 5).groupBy("fold").count().collect()} for ids, key in ((prots, "prot_id"), (mols, "mol_id"))]
+    assert more.count() == sum(min(3 * r["count"], size[0][r.pf] * size[1][r.mf] - r["count"]) for r in cells)  # a cell has no more
+    counts = splits.block_counts(grid).cache()
+    assert counts.select("tp", "tm", "vp", "vm").distinct().count() == 400
+    for tp, tm, vp, vm in ((0, 0, 1, 1), (4, 2, 3, 0), (2, 3, 0, 4)):
+        rows = splits.block(grid, tp, tm, vp, vm).collect()
+        for key in ("prot_id", "mol_id"):
+            own = {p: {r[key] for r in rows if r.part == p} for p in ("test", "val", "train")}
+            assert not own["test"] & own["val"] and not own["test"] & own["train"] and not own["val"] & own["train"]
+        told = {(r.part, r.y, r.ratio): r.n for r in counts.where(f"tp = {tp} and tm = {tm} and vp = {vp} and vm = {vm}").collect()}
+        assert told == {k: sum((r.part, r.y, r.ratio) == k for r in rows) for k in told}
+
+
+def test_dense_relation_takes_the_whole_complement(spark):
+    """Every pair but one in seven interacts, so there are far fewer negatives than ten times the positives."""
+    inter = spark.range(140).select((F.col("id") % 10).alias("prot_id"), F.floor(F.col("id") / 10).alias("mol_id")).where("(prot_id + mol_id) % 7 > 0")
+    prots, mols = spark.range(10).toDF("prot_id"), spark.range(14).toDF("mol_id")
+    rows, n = splits.setting1(inter, prots, mols).collect(), inter.count()
+    free = 140 - n
+    assert {r.ratio: r.missing for r in rows} == {10: 10 * n - free, 5: 5 * n - free, 2: 2 * n - free, 1: n - free}
+    assert len({(r.prot_id, r.mol_id) for r in rows if r.y == 0 and r.ratio == 10}) == free
+    assert {(r.prot_id, r.mol_id) for r in rows if r.y == 0}.isdisjoint({(r.prot_id, r.mol_id) for r in rows if r.y == 1})
+
+
+def test_curve_over_many_ranges(spark):
+    rng = np.random.default_rng(4)
+    score = np.r_[rng.normal(0, 1e3, 300), rng.random(500), [0.5] * 20]
+    y = (rng.random(820) < 0.3).astype(int)
+    pred = spark.createDataFrame([(int(a), float(b), 0) for a, b in zip(y, score)], "y int, score double, g int")
+    wins = sum((score[i] > score[j]) + 0.5 * (score[i] == score[j]) for i in np.flatnonzero(y) for j in np.flatnonzero(1 - y))
+    got = metrics.areas_of(pred, ["g"], ["rocauc", "aupr", "pr_area"]).first()
+    assert got.rocauc == pytest.approx(100 * wins / (y.sum() * (820 - y.sum())), abs=0.006)
+    at = sorted(set(score), reverse=True)
+    tp, n = (np.array([sum(w[score >= t]) for t in at], dtype=float) for w in (y, np.ones(820)))
+    assert got.aupr == pytest.approx(100 * sum(np.diff(np.r_[0, tp]) / y.sum() * tp / n), abs=0.006)
+    assert got.pr_area == pytest.approx(sum(np.diff(np.r_[0, tp]) / y.sum() * (tp / n + np.r_[1, (tp / n)[:-1]]) / 2), abs=6e-5)
+
+
+def test_fold_strategies(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, i % 2, (rng.normal(8 * (i % 3), 0.1, 2)).tolist()) for i in range(60)], "id long, c int, x array<double>").cache()
+    for strategy in ("random", "stratified"):
+        folds = splits.assign_folds(df, "id", 3, strategy, by=["c"])
+        assert {r["count"] for r in folds.groupBy("fold").count().collect()} == {20}
+    clusters = {r.id: r.fold for r in splits.assign_folds(df, "id", 3, "kmeans", features="x").collect()}
+    assert all(clusters[i] == clusters[i % 3] for i in clusters) and len(set(clusters.values())) == 3
+    with pytest.raises(ValueError):
+        splits.assign_folds(df, "id", 3, "other")
+    with pytest.raises(ValueError):
+        splits.make_split(5, df, df, df)
+
+
+def test_fingerprints_equal_brute_force(spark):
+    """Environments as nested tuples, counted; the same molecule written in two ways has the same fingerprint."""
+    texts = ["CCO", "OCC", "c1ccccc1", "C1CCCCC1", "CC(=O)Nc1ccc(O)cc1", "Oc1ccc(NC(C)=O)cc1", "", "C(("]
+    atoms, bonds = smiles.atoms_and_bonds(spark.createDataFrame(list(enumerate(texts)), "id int, s string"), "id", "s")
+    got = {}
+    for r in smiles.fingerprints(atoms, bonds, size=1 << 30).collect():
+        got.setdefault(r.mol_id, {})[r.bit] = r.n
+    for k, text in enumerate(texts[:6]):
+        a, b = smiles.graph(text)
+        code, every = [tuple(x) for x in a], []
+        every += code
+        for _ in range(2):
+            code = [(code[i], tuple(sorted((tuple(x[:4]), code[j]) for p, j, x in b if p == i))) for i in range(len(a))]
+            every += code
+        assert sorted(got[k].values()) == sorted(every.count(c) for c in set(every))
+    assert got[0] == got[1] and got[4] == got[5] and got[2] != got[3] and set(got) == set(range(6))
+    assert smiles.rejects(spark.createDataFrame(list(enumerate(texts)), "id int, s string"), "id", "s").first()[:] == (8, 2)
+    for mode, diagonal in ((0, 0.0), (1, 1.0)):
+        row = smiles.dense(atoms, bonds, 4, mode).where("mol_id = 0").first()
+        assert [list(x) for x in row.edges] == [[diagonal, 1, 0, 0], [1, diagonal, 1, 0], [0, 1, diagonal, 0], [0, 0, 0, 0]]
+        assert len(row.nodes) == 4 and sum(row.nodes[3]) == 0 and list(row.nodes[0]) == smiles.graph("CCO")[0][0]
+    assert len(smiles.dense(atoms, bonds, 4, 2).where("mol_id = 0").first().edges[0][1]) == 8
+
+
+def test_learners(spark):
+    """On data with a known answer: a ring that only a radial kernel can tell, a plane for PCA, a line for regression."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (400, 2))
+    y = ((x**2).sum(1) < 1.2).astype(int)
+    df = spark.createDataFrame([(i, a.tolist(), int(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, v array<double>, y int")
+    data = learners.fourier_features(df, "v", 2, 1.0).cache()
+    model, c, area = learners.best_svm(data.where("id < 300"), data.where("id >= 300"), (0.01, 1.0, 100.0))
+    assert area > 97
+    told = learners.probabilities(learners.margins(model, data.where("id < 300")), learners.margins(model, data.where("id >= 300"))).collect()
+    assert np.mean([(r.probability > 0.5) == r.y for r in told]) > 0.9 and all(0 <= r.probability <= 1 for r in told)
+    smooth = data.withColumn("y", F.col("v")[0] * 2)
+    error = np.mean([(r.score - r.y) ** 2 for r in learners.predictions(learners.ridge(smooth, 1e-4), smooth).collect()])
+    assert error < 0.2
+    pairs = spark.createDataFrame([(i, j, int((i < 5) == (j < 5))) for i in range(10) for j in range(10)], "prot_id long, mol_id long, y int")
+    side = lambda k, f: spark.createDataFrame([(i, [1.0, 1.0 if i < 5 else -1.0]) for i in range(10)], f"{k} long, {f} array<double>")
+    feats = learners.kronecker_features(pairs, side("prot_id", "pf"), side("mol_id", "mf"))
+    assert all((r.score > 0) == r.y for r in learners.margins(learners.linear_svm(feats), feats).collect())
+    net = learners.feed_forward(df, "v", "y", [2, 8, 2])
+    out = net.transform(learners._vectors(df, "v")).select("y", "prediction").collect()
+    assert np.mean([r.y == r.prediction for r in out]) > 0.85
+    z = np.c_[rng.normal(0, 3, 200), rng.normal(0, 2, 200), rng.normal(0, 0.1, (200, 3))] @ np.linalg.qr(rng.normal(size=(5, 5)))[0]
+    axes = learners.principal_axes(spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(z)], "id long, v array<double>"), "id", "v", ratio=0.9)
+    got = np.array([r.components for r in axes.orderBy("id").collect()])
+    u, s, _ = np.linalg.svd(z - z.mean(0), full_matrices=False)
+    assert got.shape == (200, 2) and np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-6)
 
 
 def test_empty_relation(spark, relation):

@@ -59,6 +59,20 @@ def test_npy_and_folds(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "f")).count() == 2
 
 
+def test_results(spark, tmp_path):
+    for name in ("EC_0,1_4_5_1", "H_x_2,3_1_1_5", "notes"):
+        (tmp_path / "runs" / name).mkdir(parents=True)
+        (tmp_path / "runs" / name / "scores.txt").write_text("aupr 91.5\nrocauc 88\nbad line here\n")
+    got = sorted(map(tuple, files.scan_results(spark, str(tmp_path / "runs/*/*")).collect()))
+    assert got == [("EC", 0, 1, 4, 5, 1, "aupr", 91.5), ("EC", 0, 1, 4, 5, 1, "rocauc", 88.0), ("H_x", 2, 3, 1, 1, 5, "aupr", 91.5), ("H_x", 2, 3, 1, 1, 5, "rocauc", 88.0)]
+    scored = spark.createDataFrame(got, "dataset string, ite int, ival int, setting int, ratio_tr int, ratio_te int, score_name string, score double")
+    files.write_results(scored, str(tmp_path / "out"))
+    files.write_results(scored.where("dataset = 'EC'"), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 6 and "PartitionFilters: [isnotnull(dataset" in back.where("dataset = 'EC'")._jdf.queryExecution().executedPlan().toString()
+    assert files.within(scored, "score", high=90).count() == 2 and files.within(scored, "score").count() == 4
+
+
 def _npy(x):
     import io
 
