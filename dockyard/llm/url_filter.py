@@ -7,12 +7,14 @@ the corpus that pass level 0 without being listed, level 2 the listed keys that
 until a level lets nothing wrong through. A key of the corpus then belongs to the list if the first level
 that rejects it is an odd one (or none does and the number of levels is odd): exact, without a join.
 
-The filters are sized by the lists and hold at most ``max_bits`` bits each: the false positives that later
-levels encode are kept near the size of the list by giving level 0 about log2(universe / list) bits a key.
+The filters are sized by the lists alone: the false positives that later levels encode are kept near the size of
+the list by giving level 0 about log2(universe / list) bits a key. Their bits are literals of the plan, some three
+bytes a listed key, so a list of millions of hosts still travels with the tasks.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockyard.llm.shared import table
+from dockyard.operators.lineage import cut
 
 RULES = (
     ("com", "/", "allow"),
@@ -69,31 +72,32 @@ class Level:
         self.words, self.probes, self.seed = words, probes, seed
 
     @staticmethod
-    def positions(key: Column, bits: int, probes: int, seed: int) -> list[Column]:
-        """Double hashing: a start and a step, both below ``bits``."""
+    def position(key: Column, k: Column, bits: int, seed: int) -> Column:
+        """Double hashing: a start and ``k`` steps, both below ``bits``."""
         start = F.pmod(F.xxhash64(F.lit(2 * seed), key), F.lit(bits))
         step = F.pmod(F.xxhash64(F.lit(2 * seed + 1), key), F.lit(bits))
-        return [F.pmod(start + step * k, F.lit(bits)) for k in range(probes)]
+        return F.pmod(start + step * k, F.lit(bits))
 
     def passes(self, key: Column) -> Column:
-        words = F.array(*[F.lit(w).cast("long") for w in self.words])
-        out = None
-        for at in self.positions(key, 64 * len(self.words), self.probes, self.seed):
-            word = F.element_at(words, F.shiftright(at, 6).cast("int") + 1)
-            test = F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1
-            out = test if out is None else out & test
-        return out
+        """The words are one literal, whatever their number: a string that the optimizer folds into an array once."""
+        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
 
+        def is_set(k: Column) -> Column:
+            at = self.position(key, k, 64 * len(self.words), self.seed)
+            return F.getbit(F.element_at(words, F.shiftright(at, 6).cast("int") + 1), at.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-def _level(keys: DataFrame, count: int, share: float, seed: int, max_bits: int) -> Level:
+        return F.forall(F.sequence(F.lit(0), F.lit(self.probes - 1)), is_set)
+
+
+def _level(keys: DataFrame, count: int, share: float, seed: int) -> Level:
     """A filter over the column ``key`` with false positives of about ``share``."""
     probes = min(20, max(1, round(-math.log2(share))))
-    bits = min(max_bits, 64 * max(1, math.ceil(count * probes / math.log(2) / 64)))
-    at = keys.select(F.explode(F.array(*Level.positions(F.col("key"), bits, probes, seed))).alias("at"))
+    bits = 64 * max(1, math.ceil(count * probes / math.log(2) / 64))
+    at = keys.select(F.explode(F.array(*[Level.position(F.col("key"), F.lit(k), bits, seed) for k in range(probes)])).alias("at"))
     rows = (
         at.groupBy(F.shiftright("at", 6).cast("int").alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-        .collect()  # at most max_bits / 64 rows
+        .collect()  # at most bits / 64 rows: half a row a listed key
     )
     words = [0] * (bits // 64)
     for r in rows:
@@ -115,27 +119,30 @@ class Cascade:
         return answer
 
 
-def cascade(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 20, depth: int = 40) -> Cascade:
-    """Build the cascade of ``listed`` (column ``key``, not null) over ``universe`` (column ``key``, repeats are fine)."""
+def cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
+    """Build the cascade of ``listed`` (column ``key``, not null) over ``universe`` (column ``key``, repeats are fine).
+
+    Each level has hashes of its own and lets about half of what it is asked pass, so the cascade ends after about
+    2 log2(list) levels, of which all together hold a few bits for each listed key.
+    """
     listed = listed.select("key").where("key is not null").distinct()
     n = listed.count()
     if not n:
         return Cascade([])
     wide = universe.agg(F.approx_count_distinct("key")).first()[0]
-    others = universe.select("key").where("key is not null")
+    encode, wrong, count = listed, universe.select("key").where("key is not null"), n
     levels: list[Level] = []
-    encode, wrong, count = listed, others, n
-    for seed in range(depth):
+    while count:
+        seed = len(levels)
         share = 0.5 if seed else min(0.5, max(1e-9, n * math.sqrt(0.5) / max(wide, 1)))
-        level = _level(encode, count, share, seed, max_bits)
-        levels.append(level)
-        passed = wrong.where(level.passes(F.col("key")))
+        levels.append(_level(encode, count, share, seed))
+        passed = wrong.where(levels[-1].passes(F.col("key")))
         if seed == 0:  # only here the list and the rest must be told apart; few keys are left of the rest
             passed = passed.distinct().join(listed, "key", "left_anti")
+        # What passes is of the list's size; cut, so that no level asks all levels before it again.
+        passed = cut(passed)
         encode, wrong, count = passed, encode, passed.count()
-        if not count:
-            return Cascade(levels)
-    raise RuntimeError("the cascade did not end: raise max_bits")
+    return Cascade(levels)
 
 
 def filter_urls(
@@ -144,7 +151,6 @@ def filter_urls(
     blocked_hosts: Sequence[str] = BLOCKED_HOSTS,
     url: str = "url",
     keep: Sequence[str] = ("page_id",),
-    max_bits: int = 1 << 20,
 ) -> DataFrame:
     """Judge every url: columns ``keep``, then ``host``, ``path``, ``rule`` and ``verdict``.
 
@@ -163,12 +169,13 @@ def filter_urls(
     allows = {h + p for h, p, v in rules if v == "allow"} - blocks
     # One cascade for the three lists: a key is asked for with the letter of its list before it.
     lists = {"A": allows, "B": blocks, "H": set(blocked_hosts)}
-    listed = spark.createDataFrame([(k + x,) for k, own in lists.items() for x in sorted(own)], "key string")
+    keys = json.dumps([k + x for k, own in lists.items() for x in sorted(own)])
+    listed = spark.range(1).select(F.explode(F.from_json(F.lit(keys), "array<string>")).alias("key"))
     asked = F.concat(
         F.flatten(F.transform("keys", lambda k: F.array(F.concat(F.lit("A"), k), F.concat(F.lit("B"), k)))),
         F.transform(hosts, lambda h: F.concat(F.lit("H"), h)),
     )
-    found = cascade(listed, keyed.select(F.explode(asked).alias("key")), max_bits)
+    found = cascade(listed, keyed.select(F.explode(asked).alias("key")))
 
     passed = keyed.withColumn("passed", F.filter(asked, found.holds))
     fits = F.transform(F.filter("passed", lambda k: ~k.startswith("H")), lambda k: k.substr(F.lit(2), F.length(k)))

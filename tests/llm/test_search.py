@@ -236,3 +236,11 @@ def test_licences(spark):
                     want.add((name, s))
         assert {(m.licence, m.segment) for m in out[i]} == want, i
     assert licences.scan_licences(df.limit(0)).count() == 0
+
+
+def test_long_lists_of_hosts(spark):
+    hosts = [f"h{i}.example.net" for i in range(200_000)]
+    pages = spark.range(4000).selectExpr("id AS page_id", "concat('http://a.h', id * 100, '.example.net/x') AS url")
+    out = url_filter.filter_urls(pages, rules=(), blocked_hosts=hosts).collect()
+    assert len(out) == 4000
+    assert all(r.verdict == ("block" if r.page_id < 2000 else "allow") and r.rule is None for r in out)
