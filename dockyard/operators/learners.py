@@ -1,4 +1,4 @@
-"""Learners: matrix factorisation, kernel and feed-forward models, clustering. Fits iterate over Spark jobs.
+"""Learners: kernel and feed-forward models, clustering. Fits iterate over Spark jobs.
 
 What reaches the driver is of fixed size: weights, centres, a small eigenproblem over a stated dimension.
 """
@@ -6,7 +6,6 @@ What reaches the driver is of fixed size: weights, centres, a small eigenproblem
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,93 +17,13 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockyard.functions.columns import sigmoid
 from dockyard.functions.metrics import roc_auc
-from dockyard.operators.lineage import cut
 
 
 def _vectors(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_x", array_to_vector(F.col(column).cast("array<double>")))
 
 
-def _start(ids: DataFrame, name: str, rank: int, seed: int) -> DataFrame:
-    """Latent vectors from hashes of the ids: uniform with variance 1 / rank."""
-    scale = math.sqrt(12 / rank)
-    unit = lambda k: (F.pmod(F.xxhash64(F.col(name), F.lit(seed), k), F.lit(1 << 20)) / float(1 << 20) - 0.5) * scale
-    return ids.select(F.col(name).alias("id"), F.transform(F.sequence(F.lit(0), F.lit(rank - 1)), unit).alias("z"))
-
-
-def nrlmf(
-    inter: DataFrame,
-    prots: DataFrame,
-    mols: DataFrame,
-    rank: int = 8,
-    weight: float = 5.0,
-    ridge: float = 0.125,
-    rate: float = 0.5,
-    rounds: int = 4,
-    block: int = 2048,
-) -> tuple[DataFrame, DataFrame]:
-    """Logistic matrix factorisation with positives counted ``weight`` times and all other cells as negatives.
-
-    A gradient is a sum over the blocks of the other side: rows of both sides are dealt to blocks, a pair of blocks
-    is one task's work, and only sums of the size of the factors come back. AdaGrad steps, proteins before
-    molecules. Returns both sides' factors (``id``, ``z``); the lineage is cut after each step.
-    """
-
-    def blocks(side: DataFrame, count: int) -> DataFrame:
-        return side.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(count)))
-
-    def gradient(own: DataFrame, other: DataFrame, edges: DataFrame, n_own: int, n_other: int) -> DataFrame:
-        """``edges``: id of the own side, id of the other side."""
-        a, b = blocks(own, n_own), blocks(other, n_other)
-        packed = b.groupBy("b").agg(F.collect_list("z").alias("zs"))  # at most about ``block`` rows each
-        grid = a.groupBy("b").agg(F.collect_list(F.struct("id", "z")).alias("rows")).withColumn(
-            "o", F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        )
-        met = grid.join(packed.withColumnRenamed("b", "o"), "o")
-
-        def pushed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for rows, zs in zip(batch["rows"], batch["zs"]):
-                    v = np.array([list(z) for z in zs])
-                    u = np.array([list(r["z"]) for r in rows])
-                    p = 1 / (1 + np.exp(-np.clip(u @ v.T, -30, 30)))
-                    yield pd.DataFrame({"id": [r["id"] for r in rows], "g": list(-(p @ v))})
-
-        pull = met.select("rows", "zs").mapInPandas(pushed, "id long, g array<double>")
-        near = edges.toDF("id", "to").join(own, "id").join(other.select(F.col("id").alias("to"), F.col("z").alias("y")), "to")
-        dot = F.aggregate(F.zip_with("z", "y", lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
-        gain = weight - (weight - 1) * sigmoid(dot)
-        lift = near.select("id", F.transform("y", lambda t: t * gain).alias("g"))
-        long = pull.unionByName(lift).select("id", F.posexplode("g").alias("k", "v")).groupBy("id", "k").agg(F.sum("v").alias("v"))
-        return long.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("g"))
-
-    def moved(own: DataFrame, g: DataFrame) -> DataFrame:
-        full = F.zip_with("g", "z", lambda x, z: x - ridge * z)
-        met = own.join(g, "id", "left").withColumn("g", F.coalesce("g", F.transform("z", lambda z: F.lit(0.0)))).withColumn("g", full)
-        met = met.withColumn("s", F.zip_with("s", "g", lambda s, x: s + x * x))
-        step = F.zip_with("g", "s", lambda x, s: rate * x / F.sqrt(s + 1e-12))
-        return met.select("id", F.zip_with("z", step, lambda z, x: z + x).alias("z"), "s")
-
-    zero = F.transform("z", lambda z: F.lit(0.0))
-    u = _start(prots, "prot_id", rank, 92).withColumn("s", zero)
-    v = _start(mols, "mol_id", rank, 93).withColumn("s", zero)
-    n_u, n_v = max(1, math.ceil(prots.count() / block)), max(1, math.ceil(mols.count() / block))
-    by_u, by_v = inter.select("prot_id", "mol_id"), inter.select("mol_id", "prot_id")
-    for _ in range(rounds):
-        u = cut(moved(u, gradient(u.select("id", "z"), v.select("id", "z"), by_u, n_u, n_v)))
-        v = cut(moved(v, gradient(v.select("id", "z"), u.select("id", "z"), by_v, n_v, n_u)))
-    return u.select("id", "z"), v.select("id", "z")
-
-
-def pair_scores(pairs: DataFrame, u: DataFrame, v: DataFrame) -> DataFrame:
-    """Scores of pairs by their factors; a pair with an unknown side gets 0.5."""
-    met = pairs.join(u.toDF("prot_id", "zu"), "prot_id", "left").join(v.toDF("mol_id", "zv"), "mol_id", "left")
-    dot = F.aggregate(F.zip_with("zu", "zv", lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
-    return met.select("prot_id", "mol_id", F.coalesce(sigmoid(dot), F.lit(0.5)).alias("score"))
-
-
 def kronecker_features(pairs: DataFrame, prot: DataFrame, mol: DataFrame) -> DataFrame:
     """``x``: all products of a protein's and a molecule's features, whose inner product is the product of both kernels."""
     met = pairs.join(prot, "prot_id").join(mol, "mol_id")

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from dockyard.functions import smiles
+from dockyard.functions.kernels import nearest
+from dockyard.operators import factorisation as N
 from dockyard.operators import learners as L
 from dockyard.plans.features import _nations
 from dockyard.plans.registry import query
@@ -15,11 +17,44 @@ def _scaled(spark, d):
     return prot, mol
 
 
+def _neighbours(spark, d):
+    """Similarities, in both directions, of proteins of a species and of molecules of a brand and size, near in a number."""
+
+    def within(df, by, value, scale):
+        left, right = df.select(*by, F.col("id").alias("i"), F.col(value).alias("x")), df.select(*by, F.col("id").alias("j"), F.col(value).alias("y"))
+        return left.join(right, by).where("i <> j").select("i", "j", F.exp(-F.abs(F.col("x") - F.col("y")) / scale).alias("k"))
+
+    s, p = T.table(spark, d, "supplier"), T.table(spark, d, "part")
+    band = F.floor(F.col("s_acctbal") / 500).alias("band")
+    prot = within(s.select(F.col("s_suppkey").alias("id"), "s_nationkey", band, "s_acctbal"), ["s_nationkey", "band"], "s_acctbal", 500)
+    mol = within(p.select(F.col("p_partkey").alias("id"), "p_brand", "p_size", "p_retailprice"), ["p_brand", "p_size"], "p_retailprice", 100)
+    return prot, mol
+
+
+def _relation(spark, d):
+    inter = T.interaction(spark, d)
+    held = F.pmod(F.xxhash64("prot_id", "mol_id"), F.lit(5)) == 0
+    return inter.where(~held), inter.where(held), T.protein(spark, d).select("prot_id"), T.molecule(spark, d).select("mol_id")
+
+
 @query("nrlmf_scores")
 def nrlmf_scores(spark, d):
-    inter, prot, mol = T.interaction(spark, d), T.protein(spark, d).select("prot_id"), T.molecule(spark, d).select("mol_id")
-    u, v = L.nrlmf(inter, prot, mol, rounds=2)
-    return L.pair_scores(inter.select("prot_id", "mol_id"), u, v)
+    """Scores of the relation's pairs by a fit on four fifths of them, in the four cases of known and unknown sides."""
+    (train, _, prot, mol), (near_p, near_m) = _relation(spark, d), _neighbours(spark, d)
+    u, v = N.nrlmf(train, prot, mol, rounds=3, prot_near=nearest(near_p, 5), mol_near=nearest(near_m, 5))
+    return N.predicted(T.interaction(spark, d), train, u, v, near_p, near_m)
+
+
+@query("nrlmf_grid")
+def nrlmf_grid(spark, d):
+    """The better of two ridges on the held-out fifth and as many pairs without interaction, and its areas there."""
+    (train, held, prot, mol), (near_p, near_m) = _relation(spark, d), _neighbours(spark, d)
+    none = held.select("prot_id", (F.col("mol_id") + 1).alias("mol_id")).join(mol, "mol_id", "left_semi").join(T.interaction(spark, d), ["prot_id", "mol_id"], "left_anti")
+    val = held.withColumn("y", F.lit(1)).unionByName(none.distinct().withColumn("y", F.lit(0)))
+    grid = [{"rank": 4, "rounds": 2, "ridge": r} for r in (0.125, 1.0)]
+    point, found, (u, v) = N.best_nrlmf(train, val, prot, mol, nearest(near_p, 5), nearest(near_m, 5), grid)
+    areas = N.evaluated(N.predicted(val, train, u, v, near_p, near_m))
+    return areas.withColumn("ridge", F.lit(point["ridge"])).withColumn("aupr", F.lit(found))
 
 
 @query("kron_svm")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dockyard.functions import columns as C
 from dockyard.functions import graphs, kernels, metrics, smiles
-from dockyard.operators import learners, splits
+from dockyard.operators import factorisation, learners, splits
 from dockyard.operators.ranking import global_rank, kfold
 from dockyard.streaming.scoring import windowed_scores
 
@@ -244,14 +244,72 @@ def test_smiles():
 def test_nrlmf_learns(spark):
     inter = spark.createDataFrame([(p, m) for p in range(6) for m in range(8) if p % 2 == m % 2], "prot_id long, mol_id long")
     prots, mols = spark.range(6).toDF("prot_id"), spark.range(8).toDF("mol_id")
-    u, v = learners.nrlmf(inter, prots, mols, rank=4, rounds=6, block=4)
+    u, v = factorisation.nrlmf(inter, prots, mols, rank=4, rounds=6, block=4)
     pairs = spark.createDataFrame([(p, m) for p in range(6) for m in range(8)] + [(77, 0)], "prot_id long, mol_id long")
-    s = {(r.prot_id, r.mol_id): r.score for r in learners.pair_scores(pairs, u, v).collect()}
+    s = {(r.prot_id, r.mol_id): r.score for r in factorisation.pair_scores(pairs, u, v).collect()}
     inside = [x for (p, m), x in s.items() if p % 2 == m % 2 and p < 9]
     outside = [x for (p, m), x in s.items() if p % 2 != m % 2 and p < 9]
     assert min(inside) > max(outside) and s[77, 0] == 0.5
 
 
+def plain_nrlmf(y, s_u, s_v, u, v, c, ridge, alpha, beta, rate, rounds, tolerance):
+    """The factorisation on dense arrays; also the number of rounds taken."""
+    lap = lambda s: 0.5 * (np.diag(s.sum(0) + s.sum(1)) - (s + s.T))
+    l_u, l_v, q = lap(s_u), lap(s_v), 1 + (c - 1) * y
+
+    def likelihood():
+        x = u @ v.T
+        data = (c * y * x - q * np.logaddexp(0, x)).sum()
+        return data - ridge / 2 * ((u**2).sum() + (v**2).sum()) - alpha / 2 * np.trace(u.T @ l_u @ u) - beta / 2 * np.trace(v.T @ l_v @ v)
+
+    s, t, last = 0, 0, likelihood()
+    for n in range(rounds):
+        e = c * y - q / (1 + np.exp(-(u @ v.T)))
+        g = e @ v - ridge * u - alpha * l_u @ u
+        s = s + g**2
+        u = u + rate * g / np.sqrt(s)
+        e = c * y - q / (1 + np.exp(-(u @ v.T)))
+        g = e.T @ u - ridge * v - beta * l_v @ v
+        t = t + g**2
+        v = v + rate * g / np.sqrt(t)
+        now = likelihood()
+        if abs(now - last) < tolerance * abs(last):
+            break
+        last = now
+    return u, v, n + 1
+
+
+def test_nrlmf_is_that_of_dense_arrays(spark):
+    rng = np.random.default_rng(5)
+    y = (rng.random((5, 6)) < 0.4).astype(float)
+    y[4], y[:, 5] = 0, 0  # sides without a positive pair
+    s_u, s_v = rng.random((5, 5)) * (rng.random((5, 5)) < 0.6), rng.random((6, 6))
+    np.fill_diagonal(s_u, 0), np.fill_diagonal(s_v, 0)
+    u, v = rng.standard_normal((5, 3)), rng.standard_normal((6, 3))
+    side = lambda z: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(z)], "id long, z array<double>")
+    near = lambda s: spark.createDataFrame([(int(i), int(j), float(s[i, j])) for i, j in zip(*np.nonzero(s))], "i long, j long, k double")
+    inter = spark.createDataFrame([(int(p), int(m)) for p, m in zip(*np.nonzero(y))], "prot_id long, mol_id long")
+    options = {"weight": 5.0, "ridge": 0.1, "alpha": 0.3, "beta": 0.2, "rate": 0.5}
+    want = plain_nrlmf(y, s_u, s_v, u, v, 5.0, 0.1, 0.3, 0.2, 0.5, 8, 0.09)
+    assert 1 < want[2] < 8  # stopped by the likelihood
+    got = factorisation.nrlmf(inter, spark.range(5).toDF("prot_id"), spark.range(6).toDF("mol_id"), rounds=8, block=3, tolerance=0.09, prot_near=near(s_u), mol_near=near(s_v), start=(side(u), side(v)), **options)
+    zs = [np.array([r.z for r in z.orderBy("id").collect()]) for z in got]
+    assert np.allclose(zs[0], want[0], atol=1e-6) and np.allclose(zs[1], want[1], atol=1e-6)
+
+    def latent(z, s, known, i, k=2):
+        if known[i]:
+            return z[i]
+        order = [j for j in np.argsort(-s[i]) if known[j]][:k]
+        return s[i, order] @ z[order] / s[i, order].sum() if s[i, order].sum() else None
+
+    pairs = spark.createDataFrame([(p, m) for p in range(5) for m in range(6)], "prot_id long, mol_id long")
+    scores = {(r.prot_id, r.mol_id): r.score for r in factorisation.predicted(pairs, inter, *got, near(s_u), near(s_v), k=2).collect()}
+    assert len(scores) == 30
+    for (p, m), score in scores.items():
+        a, b = latent(zs[0], s_u, y.any(1), p), latent(zs[1], s_v, y.any(0), m)
+        assert math.isclose(score, 0.5 if a is None or b is None else 1 / (1 + math.exp(-(a @ b))), abs_tol=1e-9)
+
+
 def test_complete_linkage(spark):
     k = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.1), (1, 2, 0.2), (3, 3, 1.0), (2, 2, 1.0)], "i long, j long, k double")
     group = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 0)], "id long, g int")
