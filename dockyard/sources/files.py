@@ -190,3 +190,21 @@ def within(df: DataFrame, column: str, low: float | None = None, high: float | N
     """Rows whose ``column`` (a weight, a length) lies within the bounds that are given; without any, all rows."""
     df = df if low is None else df.where(F.col(column) >= low)
     return df if high is None else df.where(F.col(column) <= high)
+
+
+def write_weights(layers: DataFrame, path: str, names: str = ".*") -> None:
+    """A model's layers (``layer``, ``shape`` array<int>, ``values`` array<float>; any other columns) whose name has the pattern ``names``."""
+    layers.where(F.col("layer").rlike(names)).write.parquet(path, mode="overwrite")
+
+
+def load_weights(layers: DataFrame, stored: DataFrame, names: str = ".*") -> DataFrame:
+    """``layers`` with the stored values of those layers that have the pattern ``names``, a stored layer of that name and the
+    same shape; the others keep their own. ``loaded`` tells which: what a transfer freezes at first."""
+    found = stored.where(F.col("layer").rlike(names)).select("layer", "shape", F.col("values").alias("_stored"))
+    met = layers.join(found, ["layer", "shape"], "left")
+    return met.select("layer", "shape", F.coalesce("_stored", "values").alias("values"), F.col("_stored").isNotNull().alias("loaded"))
+
+
+def write_matrix(cells: DataFrame, path: str) -> None:
+    """Cells (``i``, ``j``, ``k``) of a matrix as an edge list in ranges of rows; cells of 0 are left out, as absent ones mean 0."""
+    cells.where("k <> 0").repartitionByRange("i").sortWithinPartitions("i", "j").write.parquet(path, mode="overwrite")

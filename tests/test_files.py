@@ -79,3 +79,16 @@ def _npy(x):
     out = io.BytesIO()
     np.save(out, x)
     return out.getvalue()
+
+
+def test_weights_by_name(spark, tmp_path):
+    schema = "layer string, shape array<int>, values array<float>"
+    trained = spark.createDataFrame([("mol_1", [2], [1.0, 2.0]), ("prot_1", [1], [3.0]), ("head", [1], [4.0])], schema)
+    files.write_weights(trained, str(tmp_path / "w"), "^(mol|prot)_")
+    stored = spark.read.parquet(str(tmp_path / "w"))
+    assert {r.layer for r in stored.collect()} == {"mol_1", "prot_1"}
+    fresh = spark.createDataFrame([("mol_1", [2], [0.0, 0.0]), ("prot_1", [2], [0.0, 0.0]), ("head", [1], [9.0])], schema)
+    got = {r.layer: (r["values"], r.loaded) for r in files.load_weights(fresh, stored).collect()}
+    assert got == {"mol_1": ([1.0, 2.0], True), "prot_1": ([0.0, 0.0], False), "head": ([9.0], False)}
+    files.write_matrix(spark.createDataFrame([(1, 0, 2.0), (0, 1, 0.0), (0, 0, 1.0)], "i int, j int, k double"), str(tmp_path / "m"))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "m")).collect()) == [(0, 0, 1.0), (1, 0, 2.0)]
