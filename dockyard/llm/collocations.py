@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from dockyard.llm.shared import cut, table
 
 #: Words of a lot; fingerprints of a range, about; bits of the map at most, and for each frequent fingerprint.
-LOT, RANGE, MAP_BITS, BITS_EACH = 2_000_000, 2_000_000, 28, 16
+LOT, RANGE, MAP_BITS, BITS_EACH = 1_000_000, 2_000_000, 28, 16
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Ends pieces and texts; no byte of UTF-8.
@@ -97,12 +97,12 @@ def fingerprints(words: list[bytes], by_lang: dict[str, np.ndarray], longest: in
         up, down = powers.of(len(ids))
         prefix = np.r_[np.uint64(0), np.cumsum(codes[ids] * up, dtype=np.uint64)]
         ends = np.r_[0, np.cumsum(ids == 0)]
-        seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
+        seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
         for n in range(1, longest + 1):
             if len(ids) >= n:
                 at = np.flatnonzero(ends[n:] == ends[:-n])
                 poly = (prefix[at + n] - prefix[at]) * down[at]
-                yield lang, n, at, mix(poly ^ mix(np.array([seed + np.uint64(n)], dtype=np.uint64)))
+                yield lang, n, at, mix(poly ^ mix(np.array([(seed + n) % 2**64], dtype=np.uint64)))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -131,12 +131,15 @@ def phrases(docs: DataFrame, longest: int = 3, least: int = 10, text: str = "tex
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
         for words, by_lang in lots(batches, lot):
-            parts = [fp for *_, fp in fingerprints(words, by_lang, longest, powers)]
-            fp, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, int))
-            n = np.minimum(n, least).astype(np.uint8)  # only whether the sum reaches it matters
-            borders = np.searchsorted(fp, np.arange(1 << top, dtype=np.uint64) << np.uint64(64 - top)) if top else np.zeros(1, int)
-            out = [(b, _planes(fp[i:j]), n[i:j].tobytes()) for b, (i, j) in enumerate(zip(borders, [*borders[1:], len(fp)])) if j > i]
-            yield pd.DataFrame(out, columns=["bucket", "fps", "ns"])
+            parts = defaultdict(list)
+            for _, size, _, fp in fingerprints(words, by_lang, longest, powers):
+                parts[size].append(fp)
+            for size in sorted(parts):
+                fp, n = np.unique(np.concatenate(parts.pop(size)), return_counts=True)
+                n = np.minimum(n, least).astype(np.uint8)  # only whether the sum reaches it matters
+                borders = np.searchsorted(fp, np.arange(1 << top, dtype=np.uint64) << np.uint64(64 - top)) if top else np.zeros(1, int)
+                out = [(b, _planes(fp[i:j]), n[i:j].tobytes()) for b, (i, j) in enumerate(zip(borders, [*borders[1:], len(fp)])) if j > i]
+                yield pd.DataFrame(out, columns=["bucket", "fps", "ns"])
 
     def frequent(group: pd.DataFrame) -> pd.DataFrame:
         fp, n = np.concatenate([_numbers(x) for x in group["fps"]]), np.concatenate([np.frombuffer(x, np.uint8) for x in group["ns"]])
@@ -169,13 +172,13 @@ def phrases(docs: DataFrame, longest: int = 3, least: int = 10, text: str = "tex
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers, map_ = Powers(), sent.value
         for words, by_lang in lots(batches, lot):
-            out = [(k, 0, "", int((ids > 0).sum())) for k, ids in by_lang.items()]
+            names = ["lang", "k", "phrase", "a"]
+            yield pd.DataFrame([(k, 0, "", int((ids > 0).sum())) for k, ids in by_lang.items()], columns=names)
             for tag, n, at, fp in fingerprints(words, by_lang, longest, powers):
                 bit = fp >> np.uint64(64 - wide)
                 hit = (map_[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8))) & 1 > 0
-                for phrase, c in occurrences(by_lang[tag], n, at[hit], fp[hit]):
-                    out.append((tag, n, b" ".join([words[i] for i in phrase]).decode("utf-8", "surrogatepass"), c))
-            yield pd.DataFrame(out, columns=["lang", "k", "phrase", "a"])
+                found = occurrences(by_lang[tag], n, at[hit], fp[hit])
+                yield pd.DataFrame([(tag, n, b" ".join([words[i] for i in p]).decode("utf-8", "surrogatepass"), c) for p, c in found], columns=names)
 
     summed = rows.mapInPandas(written, "lang string, k int, phrase string, a long").groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))
     return summed.where((F.col("k") == 0) | (F.col("a") >= least))
