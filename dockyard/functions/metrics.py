@@ -7,37 +7,56 @@ with four, squared errors have five. Undefined values are 0.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Ranges of scores that running sums are made in, for all reals; a quarter of them lies between 0 and 1.
-RANGES = 1 << 16
+#: Ranges of scores that running sums are made in, about equal in rows.
+RANGES = 256
+
+
+def ranges(pred: DataFrame) -> DataFrame:
+    """Rows with a label and a score, and ``_b``, the range of the score: borders are quantiles of all scores (one pass; a
+    fixed number of them reaches the driver), so scores that crowd in a small interval are spread as well."""
+    known = pred.where("y is not null and score is not null")
+    share = [i / RANGES for i in range(1, RANGES)]
+    found = known.agg(F.percentile_approx("score", share, 10_000)).first()[0]
+    borders = sorted({float(b) for b in found or [] if math.isfinite(b)})
+
+    def below(low: int, high: int) -> str:
+        """A binary search among the borders."""
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        return f"CASE WHEN score >= {borders[mid]!r}D THEN {below(mid + 1, high)} ELSE {below(low, mid)} END"
+
+    return known.withColumn("_b", F.expr(below(0, len(borders))))
 
 
 def curve(pred: DataFrame, by: list[str]) -> DataFrame:
     """Per distinct score, falling: positives ``tp`` and rows ``n`` at it, running sums ``ctp`` and ``cn``, totals ``p`` and ``t``.
 
     Running sums are made within ranges of scores, and what lies above a range is added; only the sums of the ranges, at
-    most ``RANGES`` rows a group, pass through one window.
+    most ``RANGES`` rows a group, pass through one window. Rows without a label or without a score are left out.
     """
-    at = pred.where("y is not null").groupBy(*by, "score").agg(F.sum("y").cast("double").alias("tp"), F.count("*").cast("double").alias("n"))
-    at = at.withColumn("_b", F.floor(F.atan("score") * (RANGES / 3.2)))
-    order = Window.partitionBy(*by).orderBy(F.desc("_b"))
-    whole = Window.partitionBy(*by)
-    ranges = at.groupBy(*by, "_b").agg(F.sum("tp").alias("_tp"), F.sum("n").alias("_n"))
-    above = ranges.select(
-        *by,
-        "_b",
+    at = ranges(pred).groupBy(*by, "_b", "score").agg(F.sum("y").cast("double").alias("tp"), F.count("*").cast("double").alias("n"))
+    at = at.withColumn("_g", F.struct(*by, "_b")).drop("_b")  # never null itself, so groups with a null key keep their rows
+    whole = Window.partitionBy(*[F.col("_g")[c] for c in by]) if by else Window.partitionBy(F.lit(0))
+    order = whole.orderBy(F.desc(F.col("_g")["_b"]))
+    sums = at.groupBy("_g").agg(F.sum("tp").alias("_tp"), F.sum("n").alias("_n"))
+    above = sums.select(
+        "_g",
         (F.sum("_tp").over(order) - F.col("_tp")).alias("_atp"),
         (F.sum("_n").over(order) - F.col("_n")).alias("_an"),
         F.sum("_tp").over(whole).alias("p"),
         F.sum("_n").over(whole).alias("t"),
     )
-    own = Window.partitionBy(*by, "_b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("_g").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = at.withColumn("ctp", F.sum("tp").over(own)).withColumn("cn", F.sum("n").over(own))
-    met = summed.join(above, [*by, "_b"])
-    return met.withColumn("ctp", F.col("ctp") + F.col("_atp")).withColumn("cn", F.col("cn") + F.col("_an")).drop("_b", "_atp", "_an")
+    met = summed.join(above, "_g")
+    return met.withColumn("ctp", F.col("ctp") + F.col("_atp")).withColumn("cn", F.col("cn") + F.col("_an")).drop("_g", "_atp", "_an")
 
 
 def percent(x: Column) -> Column:

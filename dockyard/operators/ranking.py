@@ -16,21 +16,25 @@ def global_rank(df: DataFrame, order: list[str], bucket: Column, name: str = "ra
     """``row_number() - 1`` over ``order`` within ``by``, in two levels.
 
     ``bucket`` must rise with the order; rows are ranked within their bucket, and the sizes of the buckets before
-    are added. Only the sizes, one row a bucket, pass through one window over all buckets.
+    are added. Only the sizes, one row a bucket, pass through one window over all buckets. Null groups are groups of
+    their own, and rows with a null order key or bucket come first.
     """
     by = by or []
-    keyed = df.withColumn("_b", bucket)
-    sizes = keyed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    total = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = F.sum("_n").over(total.orderBy("_b")) - F.col("_n")
-    begins = sizes.select(*by, "_b", before.alias("_before"))
-    own = Window.partitionBy(*by, "_b").orderBy(*order)
-    ranked = keyed.withColumn("_r", F.row_number().over(own) - 1)
-    return ranked.join(begins, [*by, "_b"]).withColumn(name, F.col("_before") + F.col("_r")).drop("_b", "_n", "_before", "_r")
+    keyed = df.withColumn("_g", F.struct(*[F.col(c) for c in by], bucket.alias("_b")))  # never null itself: nulls meet in joins
+    sizes = keyed.groupBy("_g").agg(F.count("*").alias("_n"))
+    total = Window.partitionBy(*[F.col("_g")[c] for c in by]) if by else Window.partitionBy(F.lit(0))
+    begins = sizes.select("_g", (F.sum("_n").over(total.orderBy(F.col("_g")["_b"])) - F.col("_n")).alias("_before"))
+    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(*order)) - 1)
+    return ranked.join(begins, "_g").withColumn(name, F.col("_before") + F.col("_r")).select(*[c for c in df.columns if c != name], name)
+
+
+def numbered(df: DataFrame, key: str, seed: int = 324, by: list[str] | None = None, name: str = "number") -> DataFrame:
+    """Numbers from 0 in a hash order of ``key``, whatever its type, within ``by``."""
+    h = df.withColumn("_h", hashed(key, seed=seed))
+    return global_rank(h, ["_h", key], F.substring("_h", 1, 4), name, by).drop("_h")
 
 
 def kfold(df: DataFrame, key: str, k: int, seed: int = 324, by: list[str] | None = None) -> DataFrame:
     """Fold 0 to k - 1 by position in a hash order, within ``by`` if the folds are to be stratified: sizes differ by one at most."""
-    h = df.withColumn("_h", hashed(key, seed=seed))
-    ranked = global_rank(h, ["_h", key], F.substring("_h", 1, 4), "_rank", by)
-    return ranked.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_h", "_rank")
+    ranked = numbered(df, key, seed, by, "_rank")
+    return ranked.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank")

@@ -1,9 +1,13 @@
 """Cross-validation splits with nested, deterministic negative samples.
 
-Negatives are drawn by rejection: draw t is the pair of the protein and the molecule that two hashes of t name, and
-draws that repeat or that interact are dropped. What is left, in the order of the draws, is a uniform sample
-without replacement from the complement, which is never formed. A sample for a smaller ratio is the beginning of
-the one for a larger ratio, so ratios are nested.
+Pairs fall into groups: one in setting 1, the folds of an entity in settings 2 and 3, the cells of a grid of folds in
+setting 4. Each group gets negatives in proportion to its own positives, however few entities it has, so draws are made for
+each group: draw t of a group is the pair of a protein and a molecule of the group that a hash of t numbers, and
+draws that repeat or that interact are dropped. What is left, in the order of the draws, is a uniform sample without
+replacement from the group's complement, which is never formed; a sample for a smaller ratio is the beginning of the one
+for a larger ratio. Only where a group wants over half of its complement, that complement is listed, in a hash order.
+
+Entities are numbered in a hash order, so ids may be of any type. Draws are numbers; they get names once they are kept.
 """
 
 from __future__ import annotations
@@ -14,42 +18,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockyard.operators.lineage import cut
-from dockyard.operators.ranking import global_rank, kfold
+from dockyard.operators.ranking import global_rank, kfold, numbered
 
 RATIOS = (10, 5, 2, 1)
 FOLDS = 5
-OVERDRAW = 4
+#: Draws that one row stands for before they are dealt to tasks, and that are ranked together.
+CHUNK = 1 << 14
 
 
-def _spread(seed: str, n: Column) -> Column:
-    """A hash of the draw, from 0 to n - 1."""
-    return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("t").cast("string"))), 1, 8), 16, 10).cast("long"), n)
+def n_draws(need: int, cells: int, free: int) -> tuple[int, bool]:
+    """How many draws give ``need`` different free cells of ``cells`` (six standard deviations are added), or all cells and
+    True where more than half of the ``free`` ones are wanted.
 
-
-def _bucket(count: int) -> Column:
-    """Buckets of draws to rank in: about as many rows in each as there are buckets, times a few."""
-    return F.floor(F.col("t") / max(4096, 8 * math.isqrt(count)))
+    With x the share of the free cells that is wanted, -ln(1 - x) draws a cell leave that share; it is at most x + x^2.
+    """
+    wanted = need + 6 * math.isqrt(need) + 10
+    if 2 * wanted > free:
+        return cells, True
+    return wanted * cells * (free + wanted) // free // free + 1, False
 
 
-def draws(inter: DataFrame, prots: DataFrame, mols: DataFrame, count: int) -> DataFrame:
-    """``count`` draws of the complement: ``t``, ``prot_id``, ``mol_id``, each pair once, by its first draw.
+def negatives(pairs: DataFrame, groups: dict[int, tuple[int, int]], top: int) -> tuple[DataFrame, dict[int, int]]:
+    """``top`` negatives for each positive of a group: ``g``, ``pi``, ``mi`` and ``position``, and how many each group has.
 
-    Where all pairs are no more than twice the draws, draws would repeat too often: then the complement itself, which is
-    that small, is listed in a hash order, so a sample falls short only where the complement does.
+    ``pairs``: the numbered positives (``g``, ``pi``, ``mi``); ``groups``: how many proteins and molecules a group has. A
+    group has fewer negatives than asked for only if its complement is that small.
     """
-    p = global_rank(prots, ["prot_id"], F.floor(F.col("prot_id") / 250_000), "pi")
-    m = global_rank(mols, ["mol_id"], F.floor(F.col("mol_id") / 250_000), "mi")
-    n_p, n_m = prots.count(), mols.count()
-    if n_p * n_m <= 2 * count or not count:
-        cells = p.select("prot_id", F.explode(F.sequence(F.lit(0), F.lit(n_m - 1))).alias("mi")) if n_m else p.select("prot_id", F.lit(0).alias("mi")).limit(0)
-        free = cells.join(m, "mi").select("prot_id", "mol_id").join(inter, ["prot_id", "mol_id"], "left_anti")
-        hashed = free.withColumn("_h", F.md5(F.concat_ws("-", "prot_id", "mol_id")))
-        return global_rank(hashed, ["_h", "prot_id", "mol_id"], F.substring("_h", 1, 4), "t").select("t", "prot_id", "mol_id")
-    t = inter.sparkSession.range(count).withColumnRenamed("id", "t")
-    drawn = t.select("t", _spread("p", F.lit(n_p)).alias("pi"), _spread("m", F.lit(n_m)).alias("mi"))
-    first = drawn.groupBy("pi", "mi").agg(F.min("t").alias("t"))
-    named = first.join(p, "pi").join(m, "mi").select("t", "prot_id", "mol_id")
-    return named.join(inter, ["prot_id", "mol_id"], "left_anti")
+    spark = pairs.sparkSession
+    known = {r.g: r["count"] for r in pairs.groupBy("g").count().collect()}  # one row a group
+    more = 1
+    while True:
+        told = []
+        for g, n in sorted(known.items()):
+            n_p, n_m = groups[g]
+            count, listed = n_draws(top * n * more, n_p * n_m, n_p * n_m - n)
+            told.append((g, n_p, n_m, top * n, count, listed))
+        table = spark.createDataFrame(told, "g int, n_p long, n_m long, want long, draws long, listed boolean")
+        starts = table.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1, F.lit(CHUNK).cast("long"))))
+        dealt = starts.repartition(F.col("g"), F.col("start"))
+        t = dealt.withColumn("t", F.explode(F.expr(f"sequence(start, least(start + {CHUNK}, draws) - 1)")))
+        h = F.md5(F.concat(F.col("g").cast("string"), F.lit("-"), F.col("t").cast("string")))
+        number = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("long")
+        drawn = t.withColumn("h", h).select(
+            "g",
+            F.when(F.col("listed"), F.floor(F.col("t") / F.col("n_m"))).otherwise(number(1) % F.col("n_p")).alias("pi"),
+            F.when(F.col("listed"), F.col("t") % F.col("n_m")).otherwise(number(17) % F.col("n_m")).alias("mi"),
+            F.when(F.col("listed"), number(1)).otherwise(F.col("t")).alias("o"),
+        )
+        first = drawn.groupBy("g", "pi", "mi").agg(F.min("o").alias("o"))
+        free = cut(first.join(pairs.select("g", "pi", "mi"), ["g", "pi", "mi"], "left_anti"))
+        have = {g: 0 for g in known} | {r.g: r["count"] for r in free.groupBy("g").count().collect()}
+        if all(listed or have[g] >= want for g, _, _, want, _, listed in told):
+            break
+        more *= 2  # about once in 10^9 groups
+    last = F.broadcast(table.select("g", "want", F.when(F.col("listed"), (1 << 60) / F.ceil(F.col("draws") / CHUNK)).otherwise(float(CHUNK)).alias("wide")))
+    keyed = free.join(last, "g")
+    ranked = global_rank(keyed, ["o", "pi", "mi"], F.floor(F.col("o") / F.col("wide")), "position", ["g"])
+    return ranked.where(F.col("position") < F.col("want")).select("g", "pi", "mi", "position"), {g: min(n, top * known[g]) for g, n in have.items()}
 
 
 def sizes(n: int, ratios=RATIOS) -> dict[int, int]:
@@ -61,6 +86,33 @@ def sizes(n: int, ratios=RATIOS) -> dict[int, int]:
     return out
 
 
+class Grid:
+    """A relation by numbers: its pairs with the group, the protein's and the molecule's number in it, and the names.
+
+    ``kp`` and ``km`` folds of proteins and molecules make kp * km groups; an entity's number gives its fold (the
+    remainder) and its number there. Ids that are null take no part; repeated rows are one.
+    """
+
+    def __init__(self, inter: DataFrame, prots: DataFrame, mols: DataFrame, kp: int, km: int):
+        self.kp, self.km = kp, km
+        self.inter = cut(inter.select("prot_id", "mol_id").where("prot_id is not null and mol_id is not null").distinct())
+        own = [df.select(c).where(F.col(c).isNotNull()).distinct() for df, c in ((prots, "prot_id"), (mols, "mol_id"))]
+        p, m = (cut(numbered(df, df.columns[0])) for df in own)
+        self.n_p, self.n_m = p.count(), m.count()
+        self.p = p.select("prot_id", (F.col("number") % kp).cast("int").alias("pf"), F.floor(F.col("number") / kp).alias("pi"))
+        self.m = m.select("mol_id", (F.col("number") % km).cast("int").alias("mf"), F.floor(F.col("number") / km).alias("mi"))
+        group = (F.col("pf") * km + F.col("mf")).cast("int")
+        self.pairs = self.inter.join(self.p, "prot_id").join(self.m, "mol_id").withColumn("g", group)
+
+    def negatives(self, top: int) -> tuple[DataFrame, dict[int, int]]:
+        """Named negatives: ``prot_id``, ``mol_id``, ``pf``, ``mf``, ``g``, ``position``; how many each group has."""
+        size = lambda n, k, f: (n - f + k - 1) // k
+        groups = {f * self.km + e: (size(self.n_p, self.kp, f), size(self.n_m, self.km, e)) for f in range(self.kp) for e in range(self.km)}
+        found, have = negatives(self.pairs, groups, top)
+        split = found.withColumn("pf", F.floor(F.col("g") / self.km).cast("int")).withColumn("mf", F.col("g") % self.km)
+        return split.join(self.p, ["pf", "pi"]).join(self.m, ["mf", "mi"]).select("prot_id", "mol_id", "pf", "mf", "g", "position"), have
+
+
 def setting1(inter: DataFrame, prots: DataFrame, mols: DataFrame, ratios=RATIOS, k: int = FOLDS, only: int | None = None) -> DataFrame:
     """Raw pairs: ``prot_id``, ``mol_id``, ``y``, ``ratio``, ``fold``, ``missing``. Positives are the same for every ratio.
 
@@ -69,17 +121,16 @@ def setting1(inter: DataFrame, prots: DataFrame, mols: DataFrame, ratios=RATIOS,
     row goes to the ratios it is in. Where the complement is too small for a ratio all of it is taken, and ``missing``
     says how many negatives the ratio lacks. ``only`` gives a single ratio's rows.
     """
-    inter = cut(inter.select("prot_id", "mol_id"))  # it is used several times: made once, however it was come by
-    pairs = inter.withColumn("_key", F.concat_ws("-", "prot_id", "mol_id"))
-    positive = kfold(pairs, "_key", k).select("prot_id", "mol_id", F.lit(1).alias("y"), "fold", F.lit(0).alias("r"))
-    n, top = inter.count(), max(ratios)
-    free = prots.count() * mols.count() - n
-    drawn = global_rank(draws(inter, prots, mols, OVERDRAW * top * n), ["t"], _bucket(OVERDRAW * top * n), "position")
+    grid = Grid(inter, prots, mols, 1, 1)
+    pairs = grid.inter.withColumn("_key", F.concat_ws("-", "prot_id", "mol_id"))
+    positive = kfold(pairs, "_key", k).select("prot_id", "mol_id", F.lit(1).alias("y"), "fold", F.lit(0).cast("long").alias("r"))
+    n, top = grid.inter.count(), max(ratios)
+    found, have = grid.negatives(top)
     fold, place = (F.col("position") % k).cast("int").alias("fold"), F.floor(F.col("position") / k).alias("r")
-    negative = drawn.where(F.col("position") < top * n).select("prot_id", "mol_id", F.lit(0).alias("y"), fold, place)
+    negative = found.select("prot_id", "mol_id", F.lit(0).alias("y"), fold, place)
     some = {r: c for r, c in sizes(n, ratios).items() if only in (None, r)}
     told = [
-        F.struct(F.lit(r).alias("ratio"), F.lit((1 << 62) if r == top else round(c / k)).alias("most"), F.lit(max(0, c - free)).alias("missing"))
+        F.struct(F.lit(r).alias("ratio"), F.lit((1 << 62) if r == top else round(c / k)).alias("most"), F.lit(max(0, c - have.get(0, 0))).alias("missing"))
         for r, c in some.items()
     ]
     fits = F.filter(F.array(*told), lambda s: (F.col("y") == 1) | (F.col("r") < s["most"]))
@@ -88,40 +139,36 @@ def setting1(inter: DataFrame, prots: DataFrame, mols: DataFrame, ratios=RATIOS,
     )
 
 
-def by_entity(inter: DataFrame, prots: DataFrame, mols: DataFrame, entity: str, ratios=RATIOS, k: int = FOLDS) -> DataFrame:
-    """Settings 2 and 3: folds over proteins or molecules (``entity``); pairs inherit the fold; negatives nested in it."""
-    inter = cut(inter.select("prot_id", "mol_id"))
-    key, owners = ("prot_id", prots) if entity == "protein" else ("mol_id", mols)
-    folds = kfold(owners.select(key), key, k)
-    positive = inter.join(folds, key).select("prot_id", "mol_id", F.lit(1).alias("y"), "fold")
-    sizes = positive.groupBy("fold").agg(F.count("*").alias("n_pos"))
-    top, n = max(ratios), inter.count()
-    drawn = draws(inter, prots, mols, OVERDRAW * top * n).join(folds, key)
-    ranked = global_rank(drawn, ["t"], _bucket(OVERDRAW * top * n), "r", ["fold"]).join(sizes, "fold")
+def _grouped(grid: Grid, ratios) -> DataFrame:
+    """Positives and nested negatives of each group: ``prot_id``, ``mol_id``, ``y``, ``pf``, ``mf``, ``ratio``, ``missing``."""
+    found, have = grid.negatives(max(ratios))
+    counts = grid.pairs.groupBy("g").agg(F.count("*").alias("n_pos"))
+    told = grid.inter.sparkSession.createDataFrame(sorted(have.items()), "g int, have long")
     ratio = F.explode(F.array(*[F.lit(r) for r in ratios])).alias("ratio")
-    negative = ranked.select("prot_id", "mol_id", F.lit(0).alias("y"), "fold", "r", "n_pos", ratio).where(
-        F.col("r") < F.col("ratio") * F.col("n_pos")
-    )
-    return positive.select("*", ratio).unionByName(negative.select("prot_id", "mol_id", "y", "fold", "ratio"))
+    groups = F.broadcast(counts.join(told, "g").select("*", ratio).withColumn("missing", F.greatest(F.lit(0), F.col("ratio") * F.col("n_pos") - F.col("have"))))
+    positive = grid.pairs.select("prot_id", "mol_id", F.lit(1).alias("y"), "pf", "mf", "g", F.lit(-1).cast("long").alias("position"))
+    negative = found.select("prot_id", "mol_id", F.lit(0).alias("y"), "pf", "mf", "g", "position")
+    met = positive.unionByName(negative).join(groups, "g").where(F.col("position") < F.col("ratio") * F.col("n_pos"))
+    return met.select("prot_id", "mol_id", "y", "pf", "mf", "ratio", "missing")
+
+
+def by_entity(inter: DataFrame, prots: DataFrame, mols: DataFrame, entity: str, ratios=RATIOS, k: int = FOLDS) -> DataFrame:
+    """Settings 2 and 3: folds over proteins or molecules (``entity``); pairs inherit the fold; negatives nested in it.
+
+    ``missing`` says how many negatives of a ratio the fold's complement lacks.
+    """
+    kp, km, fold = (k, 1, "pf") if entity == "protein" else (1, k, "mf")
+    found = _grouped(Grid(inter, prots, mols, kp, km), ratios)
+    return found.select("prot_id", "mol_id", "y", F.col(fold).alias("fold"), "ratio", "missing")
 
 
 def double_orphan(inter: DataFrame, prots: DataFrame, mols: DataFrame, ratios=RATIOS, k: int = FOLDS) -> DataFrame:
-    """Setting 4: ``prot_id``, ``mol_id``, ``y``, ``pf``, ``mf`` and ``ratio``: pairs in the cells of a k x k grid of folds.
+    """Setting 4: ``prot_id``, ``mol_id``, ``y``, ``pf``, ``mf``, ``ratio``, ``missing``: pairs in a k x k grid of folds.
 
     Each cell holds its positives and, nested by ratio, its first negatives, ``ratio`` times its positives. A split is a
     filter on the two folds (``block``), so the pairs of the k^2 (k - 1)^2 splits are stored once.
     """
-    inter = cut(inter.select("prot_id", "mol_id"))
-    p = kfold(prots.select("prot_id"), "prot_id", k).withColumnRenamed("fold", "pf")
-    m = kfold(mols.select("mol_id"), "mol_id", k).withColumnRenamed("fold", "mf")
-    positive = inter.join(p, "prot_id").join(m, "mol_id").select("prot_id", "mol_id", F.lit(1).alias("y"), "pf", "mf")
-    cells = positive.groupBy("pf", "mf").agg(F.count("*").alias("n_pos"))  # at most k * k rows
-    top, n = max(ratios), inter.count()
-    drawn = draws(inter, prots, mols, OVERDRAW * top * n).join(p, "prot_id").join(m, "mol_id")
-    ranked = global_rank(drawn, ["t"], _bucket(OVERDRAW * top * n), "r", ["pf", "mf"]).join(F.broadcast(cells), ["pf", "mf"])
-    ratio = F.explode(F.array(*[F.lit(r) for r in ratios])).alias("ratio")
-    negative = ranked.select("prot_id", "mol_id", F.lit(0).alias("y"), "pf", "mf", "r", "n_pos", ratio)
-    return positive.select("*", ratio).unionByName(negative.where(F.col("r") < F.col("ratio") * F.col("n_pos")).drop("r", "n_pos"))
+    return _grouped(Grid(inter, prots, mols, k, k), ratios)
 
 
 def part(tp, tm, vp, vm) -> Column:

@@ -166,21 +166,35 @@ def fold_intersect(spark, d):
     return met.where("fold = 0").select("mol_id").intersect(met.where("fold = 1").select("mol_id"))
 
 
-# Negatives by hashed draws, stated in SQL: draw t names a protein and a molecule.
-DRAW = f"""{INTER}, np AS (SELECT count(*) AS n FROM inter), pi AS (SELECT s_suppkey AS prot_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS pi FROM supplier),
-mi AS (SELECT p_partkey AS mol_id, row_number() OVER (ORDER BY p_partkey) - 1 AS mi FROM part),
-t AS (SELECT unnest(range(4 * 10 * n)) AS t FROM np),
-dr AS (SELECT min(t) AS t, pi, mi FROM (SELECT t, ('0x' || substr(md5('p' || t), 1, 8))::BIGINT % (SELECT count(*) FROM pi) AS pi,
-  ('0x' || substr(md5('m' || t), 1, 8))::BIGINT % (SELECT count(*) FROM mi) AS mi FROM t) GROUP BY pi, mi),
-dn AS (SELECT t, prot_id, mol_id FROM dr JOIN pi USING (pi) JOIN mi USING (mi) ANTI JOIN inter USING (prot_id, mol_id)),
-ps AS (SELECT prot_id, mol_id, ((row_number() OVER (ORDER BY md5(concat_ws('-', prot_id, mol_id, '324')), concat_ws('-', prot_id, mol_id)) - 1) % 5)::INT AS fold FROM inter),
-ng AS (SELECT *, row_number() OVER (ORDER BY t) - 1 AS pos FROM dn)"""
+# Negatives by hashed draws, stated in SQL: draw t of a group names a protein and a molecule of the group.
+NUMBERS = """pn AS (SELECT s_suppkey AS prot_id, row_number() OVER (ORDER BY md5(concat_ws('-', s_suppkey, '324')), s_suppkey) - 1 AS rp FROM supplier),
+mn AS (SELECT p_partkey AS mol_id, row_number() OVER (ORDER BY md5(concat_ws('-', p_partkey, '324')), p_partkey) - 1 AS rm FROM part)"""
+
+
+def _draws(kp: int, km: int) -> str:
+    """``ip``: numbered pairs of the relation; ``gs``: groups; ``ng``: negatives of each group by position; ``hv``: how many."""
+    return f"""{INTER}, {NUMBERS}, pf AS (SELECT prot_id, (rp % {kp})::INT AS pf, rp // {kp} AS pi FROM pn), mf AS (SELECT mol_id, (rm % {km})::INT AS mf, rm // {km} AS mi FROM mn),
+ip AS (SELECT prot_id, mol_id, pf, mf, pf * {km} + mf AS g, pi, mi FROM inter JOIN pf USING (prot_id) JOIN mf USING (mol_id)),
+sz_p AS (SELECT pf, count(*) AS n_p FROM pf GROUP BY pf), sz_m AS (SELECT mf, count(*) AS n_m FROM mf GROUP BY mf),
+gs AS (SELECT g, pf, mf, count(*) AS n, any_value(n_p) AS n_p, any_value(n_m) AS n_m, any_value(n_p * n_m) AS cells FROM ip JOIN sz_p USING (pf) JOIN sz_m USING (mf) GROUP BY g, pf, mf),
+gw AS (SELECT *, 10 * n + 6 * floor(sqrt(10 * n))::BIGINT + 10 AS w, cells - n AS free FROM gs),
+gd AS (SELECT *, 2 * w > free AS listed, CASE WHEN 2 * w > free THEN cells ELSE (w::HUGEINT * cells * (free + w) // free // free + 1)::BIGINT END AS d FROM gw),
+t AS (SELECT g, n_p, n_m, listed, t, md5(g || '-' || t) AS h FROM (SELECT *, unnest(range(d)) AS t FROM gd)),
+x AS (SELECT *, ('0x' || substr(h, 1, 15))::BIGINT AS a, ('0x' || substr(h, 17, 15))::BIGINT AS b FROM t),
+dr AS (SELECT g, CASE WHEN listed THEN t // n_m ELSE a % n_p END AS pi, CASE WHEN listed THEN t % n_m ELSE b % n_m END AS mi, min(CASE WHEN listed THEN a ELSE t END) AS o FROM x GROUP BY ALL),
+fr AS (SELECT * FROM dr ANTI JOIN ip USING (g, pi, mi)), rk AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY o, pi, mi) - 1 AS pos FROM fr),
+ng AS (SELECT p.prot_id, m.mol_id, gs.pf, gs.mf, g, pos, n FROM rk JOIN gs USING (g) JOIN pf p ON p.pf = gs.pf AND p.pi = rk.pi JOIN mf m ON m.mf = gs.mf AND m.mi = rk.mi WHERE pos < 10 * n),
+hv AS (SELECT g, n, coalesce(least(have, 10 * n), 0) AS have FROM gs LEFT JOIN (SELECT g, count(*) AS have FROM fr GROUP BY g) USING (g))"""
+
+
+DRAW = f"""{_draws(1, 1)}, np AS (SELECT count(*) AS n FROM inter),
+ps AS (SELECT prot_id, mol_id, ((row_number() OVER (ORDER BY md5(concat_ws('-', prot_id, mol_id, '324')), concat_ws('-', prot_id, mol_id)) - 1) % 5)::INT AS fold FROM inter)"""
 #: Counts per ratio: 10 n, round(5 / 10 * that), and so on, half to even.
 SIZES = """sz(ratio, size) AS (SELECT 10, 10 * n FROM np UNION ALL SELECT 5, round_even(0.5 * 10 * n, 0)::BIGINT FROM np
   UNION ALL SELECT 2, round_even(0.4 * round_even(0.5 * 10 * n, 0), 0)::BIGINT FROM np
   UNION ALL SELECT 1, round_even(0.5 * round_even(0.4 * round_even(0.5 * 10 * n, 0), 0), 0)::BIGINT FROM np)"""
 CV1 = f"""{DRAW}, {SIZES}, cv AS (SELECT prot_id, mol_id, 1 AS y, ratio, fold FROM ps, sz UNION ALL
-  SELECT prot_id, mol_id, 0, ratio, (pos % 5)::INT FROM ng, sz, np WHERE pos < 10 * n AND (ratio = 10 OR pos // 5 < round_even(size / 5.0, 0)))"""
+  SELECT prot_id, mol_id, 0, ratio, (pos % 5)::INT FROM ng, sz WHERE (ratio = 10 OR pos // 5 < round_even(size / 5.0, 0)))"""
 
 
 @query("cv_setting1", f"WITH {CV1} SELECT * FROM cv")
@@ -199,32 +213,28 @@ def negative_sample(spark, d):
     return S.setting1(*_trio(spark, d), only=1).where("y = 0").select("prot_id", "mol_id", "fold")
 
 
-def _entity(key: str, source: str) -> str:
-    return f"""WITH {DRAW}, f AS (SELECT {source} AS {key}, ({KF.format(k=source)})::INT AS fold FROM {'supplier' if key == 'prot_id' else 'part'}),
-  p AS (SELECT prot_id, mol_id, fold FROM inter JOIN f USING ({key})), c AS (SELECT fold, count(*) AS np FROM p GROUP BY fold),
-  n AS (SELECT prot_id, mol_id, fold, row_number() OVER (PARTITION BY fold ORDER BY t) - 1 AS r FROM dn JOIN f USING ({key})), rt(ratio) AS (VALUES (10), (5), (2), (1))
-  SELECT prot_id, mol_id, 1 AS y, fold, ratio FROM p, rt UNION ALL SELECT prot_id, mol_id, 0, fold, ratio FROM n JOIN c USING (fold), rt WHERE r < ratio * np"""
+def _grouped(kp: int, km: int) -> str:
+    return f"""{_draws(kp, km)}, rt(ratio) AS (VALUES (10), (5), (2), (1)),
+  cv AS (SELECT prot_id, mol_id, y, pf, mf, ratio, greatest(0, ratio * n - have)::BIGINT AS missing
+    FROM (SELECT prot_id, mol_id, 1 AS y, pf, mf, g, -1 AS pos FROM ip UNION ALL SELECT prot_id, mol_id, 0, pf, mf, g, pos FROM ng) JOIN hv USING (g), rt WHERE pos < ratio * n)"""
 
 
-@query("cv_setting2", _entity("prot_id", "s_suppkey"))
+@query("cv_setting2", f"WITH {_grouped(5, 1)} SELECT prot_id, mol_id, y, pf AS fold, ratio, missing FROM cv")
 def cv_setting2(spark, d):
-    return S.by_entity(*_trio(spark, d), "protein").select("prot_id", "mol_id", "y", "fold", "ratio")
+    return S.by_entity(*_trio(spark, d), "protein")
 
 
-@query("cv_setting3", _entity("mol_id", "p_partkey"))
+@query("cv_setting3", f"WITH {_grouped(1, 5)} SELECT prot_id, mol_id, y, mf AS fold, ratio, missing FROM cv")
 def cv_setting3(spark, d):
-    return S.by_entity(*_trio(spark, d), "molecule").select("prot_id", "mol_id", "y", "fold", "ratio")
+    return S.by_entity(*_trio(spark, d), "molecule")
 
 
-CV4 = f"""{DRAW}, {PFOLD}, {MFOLD}, p4 AS (SELECT prot_id, mol_id, pf.fold AS pf, mf.fold AS mf FROM inter JOIN pf USING (prot_id) JOIN mf USING (mol_id)),
-  c4 AS (SELECT pf, mf, count(*) AS np FROM p4 GROUP BY ALL), r4(ratio) AS (VALUES (10), (5), (2), (1)),
-  n4 AS (SELECT prot_id, mol_id, pf.fold AS pf, mf.fold AS mf, row_number() OVER (PARTITION BY pf.fold, mf.fold ORDER BY t) - 1 AS r FROM dn JOIN pf USING (prot_id) JOIN mf USING (mol_id)),
-  g4 AS (SELECT prot_id, mol_id, 1 AS y, pf, mf, ratio FROM p4, r4 UNION ALL SELECT prot_id, mol_id, 0, pf, mf, ratio FROM n4 JOIN c4 USING (pf, mf), r4 WHERE r < ratio * np)"""
+CV4 = f"{_grouped(5, 5)}, g4 AS (SELECT * FROM cv)"
 
 
 @query("cv_setting4", f"WITH {CV4} SELECT * FROM g4")
 def cv_setting4(spark, d):
-    return S.make_split(4, *_trio(spark, d)).select("prot_id", "mol_id", "y", "pf", "mf", "ratio")
+    return S.make_split(4, *_trio(spark, d))
 
 
 @query(
