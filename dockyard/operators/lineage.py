@@ -3,21 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder that the cluster names.
+def shared_folder(spark) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Where ``spark.checkpoint.dir`` is unset a local session, as in tests, uses a temporary folder; on a cluster that is an
-    error, as executors don't share one.
+    Where it is unset a local session, as in tests, uses a temporary folder; on a cluster that is an error, as executors
+    don't share one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="dockyard-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, *by: str) -> str:
+    """Write a table to the shared folder, partitioned by columns so that readers of a part read that alone; its path."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.repartition(*by).write.partitionBy(*by).parquet(path)
+    return path
