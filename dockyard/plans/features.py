@@ -1,10 +1,15 @@
 """Features, kernels and encoders with fixed weights."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dockyard.functions import graphs as G
 from dockyard.functions import kernels as K
+from dockyard.operators import alignment
+from dockyard.operators.lineage import shared_folder
+from dockyard.operators.similarity import similarity_join
 from dockyard.plans.registry import query
 from dockyard.sources import tables as T
 
@@ -36,6 +41,19 @@ def tanimoto_counts(spark, d):
     return K.overlap_pairs(_bag(spark, d)).select("i", "j", _r())
 
 
+@query("tanimoto_join", f"WITH {KP} SELECT i, j, round(k, 6) AS k FROM kp WHERE k >= 0.5")
+def tanimoto_join(spark, d):
+    """The cells of the same kernel from a half on, by prefixes of rare items."""
+    return similarity_join(_bag(spark, d), 0.5).select("i", "j", _r())
+
+
+@query("alignment_kernel")
+def alignment_kernel(spark, d):
+    """Local alignment scores of all pairs of benchmark texts, by blocks of rows of a table."""
+    texts = T.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("seq"))
+    return alignment.kernel_table(texts, f"{shared_folder(spark)}/{uuid.uuid4()}").select("i", "j", "k")
+
+
 GRAMS = "gr AS (SELECT DISTINCT s, substr(s, i, 3) AS item FROM (SELECT DISTINCT p_name AS s FROM part), range(1, 60) t(i) WHERE i <= length(s) - 2)"
 
 

@@ -1,14 +1,22 @@
 """Queries of the learners and of structure parsing: no SQL states them, so tests check them on worked cases."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dockyard.functions import smiles
 from dockyard.functions.kernels import nearest
-from dockyard.operators import factorisation as N
+from dockyard.operators import experiments as E
+from dockyard.operators import factorisation as R
 from dockyard.operators import learners as L
+from dockyard.operators import training as N
+from dockyard.operators.lineage import shared_folder
+from dockyard.operators.ranking import kfold
+from dockyard.operators.splits import setting1
 from dockyard.plans.features import _nations
 from dockyard.plans.registry import query
 from dockyard.sources import tables as T
+from dockyard.sources.files import write_folds
 
 
 def _scaled(spark, d):
@@ -41,8 +49,8 @@ def _relation(spark, d):
 def nrlmf_scores(spark, d):
     """Scores of the relation's pairs by a fit on four fifths of them, in the four cases of known and unknown sides."""
     (train, _, prot, mol), (near_p, near_m) = _relation(spark, d), _neighbours(spark, d)
-    u, v = N.nrlmf(train, prot, mol, rounds=3, prot_near=nearest(near_p, 5), mol_near=nearest(near_m, 5))
-    return N.predicted(T.interaction(spark, d), train, u, v, near_p, near_m)
+    u, v = R.nrlmf(train, prot, mol, rounds=3, prot_near=nearest(near_p, 5), mol_near=nearest(near_m, 5))
+    return R.predicted(T.interaction(spark, d), train, u, v, near_p, near_m)
 
 
 @query("nrlmf_grid")
@@ -52,8 +60,8 @@ def nrlmf_grid(spark, d):
     none = held.select("prot_id", (F.col("mol_id") + 1).alias("mol_id")).join(mol, "mol_id", "left_semi").join(T.interaction(spark, d), ["prot_id", "mol_id"], "left_anti")
     val = held.withColumn("y", F.lit(1)).unionByName(none.distinct().withColumn("y", F.lit(0)))
     grid = [{"rank": 4, "rounds": 2, "ridge": r} for r in (0.125, 1.0)]
-    point, found, (u, v) = N.best_nrlmf(train, val, prot, mol, nearest(near_p, 5), nearest(near_m, 5), grid)
-    areas = N.evaluated(N.predicted(val, train, u, v, near_p, near_m))
+    point, found, (u, v) = R.best_nrlmf(train, val, prot, mol, nearest(near_p, 5), nearest(near_m, 5), grid)
+    areas = R.evaluated(R.predicted(val, train, u, v, near_p, near_m))
     return areas.withColumn("ridge", F.lit(point["ridge"])).withColumn("aupr", F.lit(found))
 
 
@@ -80,6 +88,52 @@ def mlp_classifier(spark, d):
     return model.transform(L._vectors(e, "embedding")).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
+def _tasks(spark, d):
+    """Vectors with three tasks, of which the last has no label for some."""
+    task = lambda c: c.cast("double")
+    y = F.array(task(F.col("label") < 5), task(F.col("label") % 2 == 1), F.when(F.col("label") < 8, task(F.col("label") < 2)))
+    e = T.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"), y.alias("y"))
+    return kfold(e, "vec_id", 5)
+
+
+def _fitted(spark, d):
+    e, net = _tasks(spark, d), N.Net(64, (32, 16), 3, dropout=0.1, batch_norm=True)
+    return N.fit(e.where("fold > 1"), net, "vec_id", val=e.where("fold = 1"), metric="rocauc", epochs=2, rate=0.01, schedule=N.step_schedule(0.5))
+
+
+@query("fnn_epoch_log")
+def fnn_epoch_log(spark, d):
+    """The epochs of a net on three tasks: rate, loss, and loss and area on the validation fold."""
+    return _fitted(spark, d).log_rows(spark)
+
+
+@query("fnn_predictions")
+def fnn_predictions(spark, d):
+    """Scores of the test fold by the net that did best on the validation fold."""
+    return _fitted(spark, d).predict(_tasks(spark, d).where("fold = 0"), keep=("vec_id", "y"))
+
+
+@query("transfer_epoch_log")
+def transfer_epoch_log(spark, d):
+    """The first net's layers on one other task: the first is frozen for good, the second for one epoch."""
+    first = _fitted(spark, d)
+    e = _tasks(spark, d).withColumn("y", F.array(F.col("y")[0] * F.col("y")[1]))
+    options = {"metric": "rocauc", "epochs": 2, "rate": 0.01, "start": N.from_layers(first.layers(spark)), "freeze": {"pred_layer_0": None, "pred_layer_1": 1}}
+    return N.fit(e.where("fold > 1"), N.tower(first.net, outputs=1), "vec_id", val=e.where("fold = 1"), **options).log_rows(spark)
+
+
+@query("experiment_scores")
+def experiment_scores(spark, d):
+    """Two rotations of setting 1 through the experiment driver: nets on features of pairs, scores of the test folds."""
+    folds, out = (f"{shared_folder(spark)}/{uuid.uuid4()}" for _ in range(2))
+    prot, mol = _scaled(spark, d)
+    split = setting1(T.interaction(spark, d), prot, mol, ratios=(2, 1))
+    write_folds(split.repartition("ratio", "fold"), folds)
+    body = E.pair_net_run(spark, folds, prot, mol, N.Net(5, (16,), 1), epochs=1, rate=0.01, batch=8192)
+    E.run_missing(spark, E.rotations(spark, "pairs", 1, [1], [2]).where("ite < 2"), out, body)
+    return E.best_attempts(spark.read.parquet(f"{out}/scores"))
+
+
 @query("cluster_kmeans")
 def cluster_kmeans(spark, d):
     return L.kmeans_folds(T.table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 5)

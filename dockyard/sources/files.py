@@ -171,10 +171,21 @@ RESULT_KEYS = ["dataset", "setting", "ratio_tr", "ratio_te", "ite", "ival"]
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Append runs' scores, predictions or epoch logs: partitioned by the run's keys, so a scan reads the runs it needs alone."""
+    """Append runs' scores, predictions or epoch logs: partitioned by the run's keys, so a scan reads the runs it needs alone.
+
+    A run that is written twice is there twice; ``replace_results`` is for runs that may be made again.
+    """
     results.write.partitionBy(*[c for c in RESULT_KEYS if c in results.columns]).parquet(path, mode="append")
 
 
+def replace_results(results: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    """The same, but a run that is written again replaces its own rows and no others."""
+    own = [c for c in keys or RESULT_KEYS if c in results.columns]
+    if not own:
+        raise ValueError(f"results have none of the keys {keys or RESULT_KEYS}")
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*own).parquet(path)
+
+
 def scan_results(spark: SparkSession, pattern: str) -> DataFrame:
     """Score files (``name value`` a line) of runs in directories named like ``DB_ite,ival_set_rtr_rte``, a prefix part more
     or less: the run's keys come from the path, unreadable names and lines are left out."""
