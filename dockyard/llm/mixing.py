@@ -13,11 +13,13 @@ the gradient of a document is sum_k p_dk (S_k - b_k) / c_k + hold (r_d - 1), and
 1 + hold, so steps of 1 / (1 + hold) descend; each iteration is one sum over the documents, of as many numbers as
 there are domains.
 
-With a fixed hold the totals stay between the present ones and the targets. So the K totals then get multipliers:
-the minimum has the form r_d = max(least, 1 + sum_k m_k p_dk), and Newton steps on the m, each one sum over the
-documents of about K ** 2 / 2 numbers, solve S_k - b_k + hold c_k m_k = 0 while hold falls towards 0, until every
-total is within ``near`` of its target. What remains of the ridge only chooses the rates nearest to 1. Only these
-sums and the classifier's table of ``buckets`` rows, all of fixed size, reach the driver or are broadcast.
+These steps are short, and with a fixed hold the totals stay between the present ones and the targets. So the query measures
+the totals' deviation in the metric of the domains' Gram matrix G = sum_d t_d p_d p_d' instead of c, without a hold: the
+gradient is sum_k p_dk y_k with G y = S - b, and where no rate is at its bound one step brings every total to its target by
+rates as near to 1 as can be. Where rates are at their bound, G is taken over the free documents, and a step is halved until the
+deviation falls; steps go on until every total is within ``near`` of its target. Rates are kept as the steps that made
+them, and written as a column every few steps. Only sums over the documents and the classifier's table of ``buckets``
+rows, all of fixed size, reach the driver or are broadcast.
 """
 
 from __future__ import annotations
@@ -117,6 +119,36 @@ def memberships(docs: DataFrame, model: Classifier, text: str = "text", key: str
     return raised.select("row", "id", "draw", "tokens", *[q.alias(f"p{k}") for k, q in enumerate(shares)])
 
 
+def _pulled(r: Column, pull: Sequence[float], names: Sequence[int], least: float, hold: float = 0.0) -> Column:
+    """One step: ``hold`` of the way back to 1, and down by the posteriors times ``pull``, not below ``least``."""
+    down = sum((F.col(f"p{k}") * float(x) for k, x in zip(names, pull)), F.lit(0.0))
+    return F.greatest(F.lit(float(least)), r * (1 - hold) + (F.lit(float(hold)) - down))
+
+
+def _stepped(pulls: Sequence[Sequence[float]], names: Sequence[int], least: float) -> Column:
+    """The rate after all steps, from 1, as one expression of fixed depth over the posteriors."""
+    if not pulls:
+        return F.lit(max(1.0, float(least)))
+    p = F.array(*[F.col(f"p{k}") for k in names])
+    dot = lambda y: F.aggregate(F.zip_with(p, y, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    steps = F.array(*[F.array(*[F.lit(float(x)) for x in pull]) for pull in pulls])
+    return F.aggregate(steps, F.lit(1.0), lambda s, y: F.greatest(F.lit(float(least)), s - dot(y)))
+
+
+def _totals(members: DataFrame, r: Column, names: Sequence[int], least: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The domains' expected tokens at the rates ``r``; with ``least``, also the Gram matrix of the documents above it."""
+    t = F.col("tokens")
+    sums = [F.sum(F.col(f"p{k}") * t * F.col("_now")) for k in names]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))] if least is not None else []
+    free = F.when(F.col("_now") > (least or 0.0), t).otherwise(0.0)
+    sums += [F.sum(F.col(f"p{names[i]}") * F.col(f"p{names[j]}") * free) for i, j in pairs]
+    row = [v or 0.0 for v in members.withColumn("_now", r).agg(*sums).first()]
+    gram = np.zeros((len(names), len(names)))
+    for (i, j), v in zip(pairs, row[len(names) :]):
+        gram[i, j] = gram[j, i] = v
+    return np.array(row[: len(names)]), gram
+
+
 def rates(
     members: DataFrame,
     targets: list[float],
@@ -126,112 +158,73 @@ def rates(
     budget: float = 1.0,
     least: float = 0.0,
 ) -> tuple[DataFrame, list[list[float]]]:
-    """Add ``rate`` to ``members`` (``tokens`` and ``p0`` ..); also the domains' shares before and after.
+    """Add ``rate`` to ``members`` (``tokens`` and ``p0`` ..) in the metric of the totals; also the totals before and after.
 
     ``targets`` are shares of the expected tokens, and ``budget`` is their total in terms of the present one.
-    ``least`` is what no rate falls below: with 1, what is scarce is repeated and nothing goes.
+    ``least`` is what no rate falls below: with 1, what is scarce is repeated and nothing goes. Each round is one step of
+    fixed length; ``reach`` takes the same steps in the Gram matrix's metric.
     """
-    names = range(len(targets))
-    scale = sum(targets)
-    want = [t / scale for t in targets]
-    total_of = lambda r: [F.sum(F.col(f"p{k}") * F.col("tokens") * r).alias(f"s{k}") for k in names]
-    first = members.agg(*total_of(F.lit(1.0))).first()
-    before = [v or 0.0 for v in first]
-    total = sum(before)
+    names = list(range(len(targets)))
+    before, _ = _totals(members, F.lit(1.0), names)
+    total = before.sum()
     if not total:
-        return members.withColumn("rate", F.lit(1.0)), [before, before]
-    goal = [w * total * budget for w in want]
-    inverse = [1 / max(b, 1e-9 * total) for b in before]
-    step = 1 / (1 + hold)
-    r: Column = F.lit(1.0)
-    now = before
+        return members.withColumn("rate", F.lit(1.0)), [before.tolist()] * 2
+    goal = np.array(targets) / sum(targets) * total * budget
+    step, r, now = 1 / (1 + hold), F.lit(1.0), before
     for _ in range(rounds):
-        pull = [step * (now[k] - goal[k]) * inverse[k] for k in names]
-        pulled = sum((F.col(f"p{k}") * pull[k] for k in names), F.lit(0.0))
-        r = F.greatest(F.lit(float(least)), r * (1 - step * hold) + (F.lit(step * hold) - pulled))
-        after = [v or 0.0 for v in members.agg(*total_of(r)).first()]
-        moved = max(abs(a - b) for a, b in zip(after, now)) / total
-        now = after
+        r = _pulled(r, step * (now - goal) / np.maximum(before, 1e-9 * total), names, least, step * hold)
+        after, _ = _totals(members, r, names)
+        moved, now = np.abs(after - now).max() / total, after
         if moved < close:
             break
-    return members.withColumn("rate", r), [before, now]
+    return members.withColumn("rate", r), [before.tolist(), now.tolist()]
 
 
 def reach(
     members: DataFrame,
     targets: list[float],
-    hold: float = 0.05,
     budget: float = 1.0,
     least: float = 0.0,
     near: float = 1e-3,
-    rounds: int = 200,
+    rounds: int = 100,
     names: Sequence[int] | None = None,
+    every: int = 4,
 ) -> tuple[Column, list[list[float]], float]:
-    """The rate as an expression over the columns of ``members``, as in ``rates`` but with multipliers until each total is
-    within ``near`` of its target; the totals before and after; and the largest deviation.
+    """Projected-gradient steps in the metric of the Gram matrix until each total is within ``near`` of its target.
 
-    The deviation of a total is relative to its target, or to all tokens where the target is 0. If it stays over
-    ``near``, which is so where no rates reach the targets, the hold falls as long as that brings them closer.
-    ``names`` are the numbers of the domains that ``targets`` are of. Documents without tokens add to no total and
-    keep a rate of 1.
+    Returns the rate as an expression over the columns of ``members``, the totals before and after, and the largest deviation,
+    relative to a total's target (to all tokens where the target is 0). If it stays over ``near``, no step of at least a
+    thousandth of its length brings the totals closer, or ``rounds`` passes are over. ``names`` are the numbers of the domains
+    that ``targets`` are of; every ``every`` steps the rates are written as a column. Documents without tokens keep a rate of 1.
     """
     names = list(range(len(targets)) if names is None else names)
-    want = np.array(targets, dtype=float) / sum(targets)
-    first = members.agg(*[F.sum(F.col(f"p{k}") * F.col("tokens")).alias(f"s{k}") for k in names]).first()
-    start = np.array([v or 0.0 for v in first])
-    total = start.sum()
+    now, first = _totals(members, F.lit(1.0), names, -1.0)
+    total = now.sum()
     if not total:
-        return F.lit(1.0), [start.tolist()] * 2, 0.0
-    scale, goal = np.maximum(start / total, 1e-9), want * budget
-    t = F.col("tokens") / float(total)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-
-    def level(m: np.ndarray) -> Column:
-        return sum((F.col(f"p{k}") * float(x) for k, x in zip(names, m)), F.lit(1.0))
-
-    def measured(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Totals, their derivatives and the sum of the potentials, in terms of all tokens."""
-        z = F.col("_z")
-        free, r = F.when(z > least, t).otherwise(0.0), F.greatest(F.lit(float(least)), z)
-        row = (
-            members.withColumn("_z", level(m))
-            .agg(
-                *[F.sum(F.col(f"p{k}") * t * r) for k in names],
-                *[F.sum(F.col(f"p{names[i]}") * F.col(f"p{names[j]}") * free) for i, j in pairs],
-                F.sum(t * F.when(z > least, z * z / 2).otherwise(z * least - least * least / 2)),
-            )
-            .first()
-        )
-        slope = np.zeros((len(want), len(want)))
-        for (i, j), v in zip(pairs, row[len(want) : -1]):
-            slope[i, j] = slope[j, i] = v
-        return np.array(row[: len(want)]), slope, row[-1]
-
-    def off(totals: np.ndarray) -> float:
-        return float(np.max(np.abs(totals - goal) / np.where(goal > 0, goal, 1.0)))
-
-    m = np.zeros(len(want))
-    totals, slope, height = measured(m)
-    left, h, idle, least_off = rounds, hold, 0, off(totals)
-    while off(totals) > near and h >= 1e-9 and left > 0 and idle < 2:
-        value = lambda q, high: high + h * (scale * q * q).sum() / 2 - (goal * q).sum()  # noqa: B023, E731
-        while left > 0:
-            gradient = totals - goal + h * scale * m
-            if np.max(np.abs(gradient) / np.maximum(goal, 1e-9)) < near / 10 or off(totals) <= near:
+        return F.lit(1.0), [now.tolist()] * 2, 0.0
+    start, goal, pulls = now, np.array(targets, dtype=float) / sum(targets) * total * budget, []
+    outer = np.linalg.pinv(first, hermitian=True)
+    cost = lambda s: float((s - goal) @ outer @ (s - goal))
+    off = lambda s: float(np.max(np.abs(s - goal) / np.where(goal > 0, goal, total)))
+    gram, own, r, passes = first, members.withColumn("_r", F.lit(1.0)), F.col("_r"), 1
+    while off(now) > near and passes < rounds:
+        y, length = np.linalg.lstsq(gram + 1e-6 * first, now - goal, rcond=None)[0], 1.0
+        while True:
+            tried = _pulled(r, length * y, names, least)
+            there, free = _totals(own, tried, names, least)
+            passes += 1
+            lower = cost(there) < cost(now) * (1 - 1e-4 * length)
+            if lower or length < 1e-3 or passes >= rounds:
                 break
-            move, part = -np.linalg.lstsq(slope + h * np.diag(scale), gradient, rcond=None)[0], 1.0
-            while left > 0:
-                left -= 1
-                there = measured(m + part * move)
-                if value(m + part * move, there[2]) <= value(m, height) + 1e-4 * part * (gradient @ move) + 1e-13 or part < 1e-6:
-                    break
-                part /= 2
-            m, (totals, slope, height) = m + part * move, there
-        h /= 10
-        idle = idle + 1 if off(totals) > 0.98 * least_off else 0
-        least_off = min(least_off, off(totals))
-    rate = F.greatest(F.lit(float(least)), F.when(F.col("tokens") > 0, level(m)).otherwise(1.0))
-    return rate, [start.tolist(), (totals * total).tolist()], off(totals)
+            length /= 2
+        if not lower:
+            break
+        pulls.append((length * y).tolist())
+        now, gram, r = there, free, tried
+        if len(pulls) % every == 0:
+            own, r = cut(own.withColumn("_r", r)), F.col("_r")
+    rate = F.greatest(F.lit(float(least)), F.when(F.col("tokens") > 0, _stepped(pulls, names, least)).otherwise(1.0))
+    return rate, [start.tolist(), now.tolist()], off(now)
 
 
 def _room(members: DataFrame, targets: list[float], names: Sequence[int], least: float) -> float:
@@ -300,7 +293,9 @@ def _copies(rate: Column) -> Column:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """Columns ``key``, ``tokens`` (long), ``posteriors`` (by domain), ``rate`` and ``copies``, a row for each of ``docs``.
+    """Columns ``key``, ``tokens`` (long), ``posteriors`` (by domain), ``rate``, ``copies`` and ``reached``, a row for each of ``docs``.
+
+    ``reached`` has the shares of the expected tokens that the rates give the domains, the same for all rows.
 
     ``copies`` is the rate rounded up or down by a hash of the id (of the text, where the id is null): a document
     with rate 0 goes, one with rate 2.3 comes two or three times. A null or empty text has no tokens and a rate of 1;
@@ -314,6 +309,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], text
         F.create_map(*[x for k, d in enumerate(found.domains) for x in (F.lit(d), F.col(f"p{k}"))]).alias("posteriors"),
         found.rate.alias("rate"),
         _copies(found.rate).alias("copies"),
+        F.create_map(*[x for d, v in found.after.items() for x in (F.lit(d), F.lit(float(v)))]).cast("map<string,double>").alias("reached"),
     )
 
 

@@ -189,6 +189,34 @@ def test_rates_agree_with_plain_projected_gradient(spark):
     assert np.allclose(before, start)
 
 
+@pytest.mark.parametrize("want,least,budget", [([0.6, 0.3, 0.1], 0.0, 1.0), ([0.9, 0.05, 0.05], 0.0, 1.0), ([0.5, 0.25, 0.25], 1.0, 2.0)])
+def test_rates_in_the_gram_metric(spark, want, least, budget):
+    """The steps that the query takes, against the same steps on arrays, and the totals against the targets."""
+    rng = np.random.default_rng(6)
+    p, t = rng.dirichlet([0.3] * 3, 400), rng.integers(0, 300, 400).astype(float)
+    df = spark.createDataFrame([(i, float(a), *map(float, b)) for i, (a, b) in enumerate(zip(t, p))], "i int, tokens double, p0 double, p1 double, p2 double")
+    rate, (before, after), off = mixing.reach(df, want, budget=budget, least=least, every=2)
+    got = np.array([x.r for x in df.select("i", rate.alias("r")).orderBy("i").collect()])
+    assert off <= 1e-3 and got.min() >= least and np.allclose(got[t == 0], 1.0)
+    goal = np.array(want) * t.sum() * budget
+    assert np.allclose((p * (t * got)[:, None]).sum(0), after) and (np.abs(after - goal) <= 1e-3 * goal).all()
+    whole = (p * t[:, None]).T @ p
+    gram, r = whole, np.ones(400)
+    cost = lambda s: (s - goal) @ np.linalg.inv(whole) @ (s - goal)
+    for _ in range(100):
+        s = p.T @ (t * r)
+        if (np.abs(s - goal) <= 1e-3 * goal).all():
+            break
+        y, a = np.linalg.solve(gram + 1e-6 * whole, s - goal), 1.0
+        while cost(p.T @ (t * np.maximum(least, r - a * (p @ y)))) >= cost(s) * (1 - 1e-4 * a):
+            a /= 2
+        r = np.maximum(least, r - a * (p @ y))
+        gram = (p * (t * (r > least))[:, None]).T @ p
+    assert np.allclose(got[t > 0], r[t > 0], atol=1e-6)
+    if (r > least).all():  # nothing at its bound: no rates are nearer to 1 that have these totals
+        assert np.allclose(r - 1, p @ np.linalg.lstsq(p, r - 1, rcond=None)[0], atol=1e-9)
+
+
 def test_mixing_reaches_each_target(spark, corpus, caplog):
     docs, labels = corpus
     for targets in ({"de-0": 0.005, "de-1": 0.195, "en-0": 0.015, "en-1": 0.785}, {"de-0": 0.3, "de-1": 0.3, "en-0": 0.3, "en-1": 0.1}):
