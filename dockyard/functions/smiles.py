@@ -10,10 +10,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+
+from dockyard.operators.lineage import cut
 
 # Usual valences, and the atomic numbers of the element groups (the last one is for all others).
 VALENCE = {"B": 3, "C": 4, "N": 3, "O": 2, "P": 3, "S": 2, "F": 1, "Cl": 1, "Br": 1, "I": 1}
@@ -149,6 +153,39 @@ def atoms_and_bonds(df: DataFrame, key: str, smiles: str) -> tuple[DataFrame, Da
     )
 
 
+@udtf(returnType="kind string, i int, j int, attrs array<float>", useArrow=True)
+class Structure:
+    """Rows of one structure string: its atoms, its bonds in both directions, or one row that it can't be read."""
+
+    def eval(self, text: str):
+        atoms, bonds = graph(text)
+        if not atoms:
+            yield "reject", None, None, None
+        for i, attrs in enumerate(atoms):
+            yield "atom", i, None, attrs
+        for i, j, attrs in bonds:
+            yield "bond", i, j, attrs
+
+
+@dataclass
+class Structures:
+    """``atoms`` (mol_id, i, attrs), ``bonds`` (mol_id, i, j, attrs) and ``rejects`` (mol_id) of one pass over the strings."""
+
+    atoms: DataFrame
+    bonds: DataFrame
+    rejects: DataFrame
+
+
+def read(df: DataFrame, key: str, smiles: str) -> Structures:
+    """Parse each string once, by a table function beside each row, and keep the rows of all three kinds."""
+    spark = df.sparkSession
+    spark.udtf.register("structure_rows", Structure)
+    rows = df.select(F.col(key).alias("mol_id"), F.col(smiles).alias("s"))
+    found = cut(spark.sql("SELECT mol_id, t.* FROM {rows}, LATERAL structure_rows(s) t", rows=rows))
+    own = lambda kind: found.where(F.col("kind") == kind)
+    return Structures(own("atom").select("mol_id", "i", "attrs"), own("bond").select("mol_id", "i", "j", "attrs"), own("reject").select("mol_id"))
+
+
 def fingerprints(atoms: DataFrame, bonds: DataFrame, radius: int = 2, size: int = 1024) -> DataFrame:
     """Circular fingerprints of the graphs: ``mol_id``, ``bit`` and ``n``, how many environments of atoms fall on the bit.
 

@@ -34,3 +34,14 @@ def written(df: DataFrame, *by: str) -> str:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.repartition(*by).write.partitionBy(*by).parquet(path)
     return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, for rounds of many joins.
+
+    A checkpoint keeps its plan's estimated size, and joins multiply estimates: after some twenty rounds they are numbers of
+    millions of digits. A table's size is that of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

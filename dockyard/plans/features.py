@@ -2,9 +2,11 @@
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from dockyard.functions import encoders
 from dockyard.functions import graphs as G
 from dockyard.functions import kernels as K
 from dockyard.operators import alignment
@@ -33,7 +35,8 @@ def _nations(spark, d):
 
 
 def _r(c="k", n=6):
-    return (F.round(c, n) + 0.0).alias(c)
+    x = F.round(c, n) + 0.0
+    return x.alias(c) if isinstance(c, str) else x
 
 
 @query("tanimoto_counts", f"WITH {KP} SELECT i, j, round(k, 6) AS k FROM kp")
@@ -320,6 +323,53 @@ def graph_combine(spark, d):
     return steps.groupBy("g").agg(F.sum("sum_h").alias("h")).select("g", _r("h"))
 
 
+# Proteins and molecules as one graph of their interactions, with two numbers each; ids of molecules are negative.
+BIPARTITE = f"""{T.INTER}, h AS (SELECT s_suppkey AS id, s_acctbal / 10000::DOUBLE AS x, 1.0::DOUBLE AS y FROM supplier UNION ALL SELECT -1 - p_partkey, p_size / 50::DOUBLE, p_retailprice / 2000::DOUBLE FROM part),
+  e AS (SELECT prot_id AS i, -1 - mol_id AS j FROM inter UNION ALL SELECT -1 - mol_id, prot_id FROM inter)"""
+#: Per head a 2 x 2 matrix, the vector for the node itself and that for its neighbours.
+HEADS = ((((0.8, -0.3), (0.4, 0.6)), (0.5, -0.7), (0.2, 0.9)), (((-0.2, 0.7), (1.1, 0.1)), (-0.6, 0.3), (0.8, -0.4)))
+OWN, OTHER = ((0.5137, -0.2219), (0.1043, 0.7171)), ((0.0513, 0.0229), (-0.0317, 0.0443))
+
+
+def _bipartite(spark, d):
+    one = F.lit(0).alias("g")
+    prot = T.table(spark, d, "supplier").select(one, F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / 10000, F.lit(1.0)).alias("h"))
+    mol = T.table(spark, d, "part").select(one, (-1 - F.col("p_partkey")).alias("id"), F.array(F.col("p_size") / 50, F.col("p_retailprice") / 2000).alias("h"))
+    inter = T.interaction(spark, d).select(one, F.col("prot_id").alias("i"), (-1 - F.col("mol_id")).alias("j"), F.lit(1.0).alias("a"))
+    return prot.unionByName(mol), inter.unionByName(inter.select("g", F.col("j").alias("i"), F.col("i").alias("j"), "a"))
+
+
+def _heads_sql() -> str:
+    v = ", ".join(f"x * {w[0][k]} + y * {w[1][k]} AS v{n}{k}" for n, (w, _, _) in enumerate(HEADS) for k in (0, 1))
+    e = ", ".join(f"a.v{n}0 * {s[0]} + a.v{n}1 * {s[1]} + b.v{n}0 * {t[0]} + b.v{n}1 * {t[1]} AS r{n}" for n, (_, s, t) in enumerate(HEADS))
+    x = ", ".join(f"exp(CASE WHEN r{n} >= 0 THEN r{n} ELSE 0.2 * r{n} END) AS x{n}" for n in (0, 1))
+    out = ", ".join(f"round(greatest(0, sum(x{n} * v{n}{k}) / sum(x{n})), 6) AS h{n}{k}" for n in (0, 1) for k in (0, 1))
+    return f"""WITH {BIPARTITE}, v AS (SELECT id, {v} FROM h), p AS (SELECT i, j FROM e UNION ALL SELECT id, id FROM h),
+  r AS (SELECT i, b.v00, b.v01, b.v10, b.v11, {e} FROM p JOIN v a ON a.id = i JOIN v b ON b.id = j), l AS (SELECT *, {x} FROM r) SELECT i AS id, {out} FROM l GROUP BY i"""
+
+
+@query("attention_heads", _heads_sql())
+def attention_heads(spark, d):
+    """Two heads of graph attention on the relation's graph, one behind the other."""
+    nodes, edges = _bipartite(spark, d)
+    found = encoders.attention(nodes, edges, [tuple(map(np.array, head)) for head in HEADS])
+    return found.select("id", *[_r(F.col("h")[2 * n + k]).alias(f"h{n}{k}") for n in (0, 1) for k in (0, 1)])
+
+
+def _vectors_sql() -> str:
+    own = [f"x * {OWN[0][k]} + y * {OWN[1][k]}" for k in (0, 1)]
+    other = [f"sum(b.x * {OTHER[0][k]} + b.y * {OTHER[1][k]})" for k in (0, 1)]
+    return f"""WITH {BIPARTITE}, m AS (SELECT i, {other[0]} AS m0, {other[1]} AS m1 FROM e JOIN h b ON b.id = j GROUP BY i)
+  SELECT id, round(greatest(0, {own[0]} + coalesce(m0, 0)), 6) AS h0, round(greatest(0, {own[1]} + coalesce(m1, 0)), 6) AS h1 FROM h LEFT JOIN m ON i = id"""
+
+
+@query("message_passing_vectors", _vectors_sql())
+def message_passing_vectors(spark, d):
+    nodes, edges = _bipartite(spark, d)
+    found = encoders.message_passing(nodes, edges, np.array(OWN), np.array(OTHER))
+    return found.select("id", *[_r(F.col("h")[k]).alias(f"h{k}") for k in (0, 1)])
+
+
 @query("node_degree", f"WITH {T.INTER} SELECT mol_id, count(*) AS degree FROM inter GROUP BY mol_id")
 def node_degree(spark, d):
     return T.interaction(spark, d).groupBy("mol_id").agg(F.count("*").alias("degree"))

@@ -2,16 +2,19 @@
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from dockyard.functions import smiles
+from dockyard.functions import encoders, smiles
 from dockyard.functions.kernels import nearest
 from dockyard.operators import experiments as E
 from dockyard.operators import factorisation as R
 from dockyard.operators import learners as L
 from dockyard.operators import training as N
-from dockyard.operators.lineage import shared_folder
+from dockyard.operators.kronecker import PairMachine
+from dockyard.operators.lineage import cut, shared_folder
 from dockyard.operators.ranking import kfold
+from dockyard.operators.similarity import similarity_join
 from dockyard.operators.splits import setting1
 from dockyard.plans.features import _nations
 from dockyard.plans.registry import query
@@ -152,34 +155,83 @@ def kernel_pca(spark, d):
 
 
 def _structures(spark, d):
-    """Structure strings made from the sizes of the parts: a chain with a ring."""
-    chain = F.concat(F.lit("C"), F.repeat(F.lit("C(=O)N"), (F.col("p_size") % 5).cast("int")), F.lit("c1ccccc1"))
-    return T.table(spark, d, "part").select("p_partkey", chain.alias("smiles"))
+    """Structure strings made from the sizes, brands and types of the parts: chains with a ring and a group."""
+    pick = lambda options, n: F.element_at(F.array(*map(F.lit, options)), (n % len(options) + 1).cast("int"))
+    brand, kind = F.crc32("p_brand"), F.crc32("p_type")
+    ring, group = pick(["c1ccccc1", "C1CCCCC1", "c1ccncc1", "C1CCOC1", "c1ccsc1"], brand), pick(["", "O", "N", "Cl", "F", "S(=O)(=O)C"], brand + kind)
+    chain = F.concat(F.repeat(F.lit("C"), (F.col("p_size") % 7 + 1).cast("int")), F.repeat(F.lit("C(=O)N"), (F.col("p_size") % 5).cast("int")))
+    return T.table(spark, d, "part").select("p_partkey", F.concat(chain, ring, group).alias("smiles"))
+
+
+def _read(spark, d):
+    return smiles.read(_structures(spark, d), "p_partkey", "smiles")
 
 
 @query("smiles_atoms")
 def smiles_atoms(spark, d):
-    return smiles.atoms_and_bonds(_structures(spark, d), "p_partkey", "smiles")[0]
+    return _read(spark, d).atoms
 
 
 @query("smiles_bonds")
 def smiles_bonds(spark, d):
-    return smiles.atoms_and_bonds(_structures(spark, d), "p_partkey", "smiles")[1]
+    return _read(spark, d).bonds
 
 
 @query("fingerprint_counts")
 def fingerprint_counts(spark, d):
-    return smiles.fingerprints(*smiles.atoms_and_bonds(_structures(spark, d), "p_partkey", "smiles"))
+    found = _read(spark, d)
+    return smiles.fingerprints(found.atoms, found.bonds)
+
+
+@query("fingerprint_kernel")
+def fingerprint_kernel(spark, d):
+    """Tanimoto kernel, from 0.8 on, of the counted fingerprints of all different structures."""
+    one = _structures(spark, d).groupBy("smiles").agg(F.min("p_partkey").alias("p_partkey"))
+    found = smiles.read(one, "p_partkey", "smiles")
+    bag = smiles.fingerprints(found.atoms, found.bonds).select(F.col("mol_id").alias("id"), F.col("bit").alias("item"), "n")
+    return similarity_join(bag, 0.8)
+
+
+@query("structure_embeddings")
+def structure_embeddings(spark, d):
+    """Encoder of the structures of all parts: attention with two heads, pooling to four clusters, a step there; sums of both."""
+    found = _read(spark, d)
+    nodes = found.atoms.select(F.col("mol_id").alias("g"), F.col("i").alias("id"), F.col("attrs").cast("array<double>").alias("h"))
+    edges = found.bonds.select(F.col("mol_id").alias("g"), "i", "j", F.lit(1.0).alias("a"))
+    rng = np.random.default_rng(92)
+    weights = lambda *shape: rng.standard_normal(shape) / np.sqrt(shape[0])
+    first = cut(encoders.attention(nodes, edges, [(weights(25, 4), weights(4), weights(4)) for _ in range(2)]))
+    shares = cut(encoders.assignment(first, edges, weights(8, 4), weights(8, 4)))
+    small, cells = encoders.pooled(first, edges, shares, 8, 4)
+    second = encoders.message_passing(small, cells, weights(8, 8), weights(8, 8))
+    return encoders.combined([encoders.readout(first, 8), encoders.readout(second, 8)], [8, 8])
 
 
 @query("graph_tensors")
 def graph_tensors(spark, d):
-    return smiles.dense(*smiles.atoms_and_bonds(_structures(spark, d), "p_partkey", "smiles"), n_atoms=24, mode=1)
+    found = _read(spark, d)
+    return smiles.dense(found.atoms, found.bonds, n_atoms=40, mode=1)
 
 
 @query("dq_structure_rejects")
 def dq_structure_rejects(spark, d):
-    return smiles.rejects(_structures(spark, d), "p_partkey", "smiles")
+    """How many structure strings there are, and how many of them can't be read."""
+    strings = _structures(spark, d)
+    bad = smiles.read(strings, "p_partkey", "smiles").rejects.agg(F.count("*").alias("n_rejected"))
+    return strings.agg(F.count("*").alias("n")).join(bad)
+
+
+@query("kron_machine")
+def kron_machine(spark, d):
+    """Scores of pairs by the machine on the product of two given kernels, which is never formed."""
+    near_p, near_m = _neighbours(spark, d)
+    own = lambda near, ids: near.unionByName(ids.select(F.col(ids.columns[0]).alias("i"), F.col(ids.columns[0]).alias("j"), F.lit(1.0).alias("k")))
+    prot, mol = T.protein(spark, d).select("prot_id"), T.molecule(spark, d).select("mol_id")
+    lines = T.table(spark, d, "lineitem").where("l_quantity >= 40")
+    pairs = lines.groupBy(F.col("l_suppkey").alias("prot_id"), F.col("l_partkey").alias("mol_id")).agg((F.max("l_quantity") >= 45).cast("int").alias("y"))
+    held = F.pmod(F.xxhash64("prot_id", "mol_id"), F.lit(5)) == 0
+    machine = PairMachine(own(near_p, prot), own(near_m, mol))
+    return machine.decide(machine.fit(pairs.where(~held), tol=1e-2, rounds=2, outer=1), pairs.where(held))
 
 
 @query("kron_svm_grid")
