@@ -22,6 +22,15 @@ def overlap_pairs(bag: DataFrame, least: float = 0.0) -> DataFrame:
     return both.select("i", "j", k.alias("k")).where(F.col("k") >= least)
 
 
+def overlap_between(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """The same kernel between the bags of two sets of entities alone (a slice: ``i`` of the one, ``j`` of the other)."""
+    sized = [b.join(b.groupBy("id").agg(F.sum("n").alias("s")), "id") for b in (rows, columns)]
+    a = sized[0].select("item", F.col("id").alias("i"), F.col("n").alias("x"), F.col("s").alias("p"))
+    b = sized[1].select("item", F.col("id").alias("j"), F.col("n").alias("y"), F.col("s").alias("q"))
+    both = a.join(b, "item").groupBy("i", "j", "p", "q").agg(F.sum(F.least("x", "y")).alias("m"))
+    return both.select("i", "j", (F.col("m") / (F.col("p") + F.col("q") - F.col("m"))).alias("k"))
+
+
 def mirrored(kernel: DataFrame) -> DataFrame:
     """Both halves of a kernel."""
     return kernel.unionByName(kernel.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "k"))

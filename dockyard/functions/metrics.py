@@ -12,17 +12,18 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dockyard.operators.ranking import global_rank
+
 
 #: Ranges of scores that running sums are made in, about equal in rows.
 RANGES = 256
 
 
-def ranges(pred: DataFrame) -> DataFrame:
-    """Rows with a label and a score, and ``_b``, the range of the score: borders are quantiles of all scores (one pass; a
-    fixed number of them reaches the driver), so scores that crowd in a small interval are spread as well."""
-    known = pred.where("y is not null and score is not null")
+def range_of(df: DataFrame, column: str) -> Column:
+    """The range of a number: borders are quantiles of the whole column (one pass; a fixed number of them reaches the
+    driver), so numbers that crowd in a small interval are spread as well."""
     share = [i / RANGES for i in range(1, RANGES)]
-    found = known.agg(F.percentile_approx("score", share, 10_000)).first()[0]
+    found = df.agg(F.percentile_approx(F.col(column).cast("double"), share, 10_000)).first()[0]
     borders = sorted({float(b) for b in found or [] if math.isfinite(b)})
 
     def below(low: int, high: int) -> str:
@@ -30,9 +31,34 @@ def ranges(pred: DataFrame) -> DataFrame:
         if low == high:
             return str(low)
         mid = (low + high) // 2
-        return f"CASE WHEN score >= {borders[mid]!r}D THEN {below(mid + 1, high)} ELSE {below(low, mid)} END"
+        return f"CASE WHEN `{column}` >= {borders[mid]!r}D THEN {below(mid + 1, high)} ELSE {below(low, mid)} END"
 
-    return known.withColumn("_b", F.expr(below(0, len(borders))))
+    return F.expr(below(0, len(borders)))
+
+
+def ranges(pred: DataFrame) -> DataFrame:
+    """Rows with a label and a score, and ``_b``, the range of the score."""
+    known = pred.where("y is not null and score is not null")
+    return known.withColumn("_b", range_of(known, "score"))
+
+
+def quantiles(df: DataFrame, by: list[str], column: str, shares: list[float]) -> DataFrame:
+    """Exact quantiles ``q0``, ``q1`` .. of a number by groups, interpolated between neighbours; nulls are left out.
+
+    Numbers are ranked in ranges, so no task holds all of a group's.
+    """
+    known = df.select(*by, F.col(column).cast("double").alias("_v")).where("_v is not null")
+    ranked = global_rank(known, ["_v"], range_of(known, "_v"), "_r", by).withColumn("_g", F.struct(*by, F.lit(0)))
+    count = ranked.groupBy("_g").agg(F.count("*").alias("_n"))
+    asked = [F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("at")) for i, q in enumerate(shares)]
+    places = count.withColumn("_q", F.explode(F.array(*asked))).select("_g", "_q.i", F.floor("_q.at").alias("_low"), (F.col("_q.at") - F.floor("_q.at")).alias("_part"))
+    ends = places.withColumn("_r", F.explode(F.array("_low", F.col("_low") + 1)))
+    met = ranked.select("_g", "_r", "_v").join(ends, ["_g", "_r"])  # two rows a group and share
+    low = F.max(F.when(F.col("_r") == F.col("_low"), F.col("_v")))
+    high = F.coalesce(F.max(F.when(F.col("_r") > F.col("_low"), F.col("_v"))), low)
+    each = met.groupBy("_g", "i").agg((low + (high - low) * F.max("_part")).alias("v"))
+    found = each.groupBy("_g").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"q{i}") for i in range(len(shares))])
+    return found.select(*[F.col("_g")[c].alias(c) for c in by], *[f"q{i}" for i in range(len(shares))])
 
 
 def curve(pred: DataFrame, by: list[str]) -> DataFrame:

@@ -205,14 +205,14 @@ def fingerprints(atoms: DataFrame, bonds: DataFrame, radius: int = 2, size: int
 
 
 def dense(atoms: DataFrame, bonds: DataFrame, n_atoms: int, mode: int = 0) -> DataFrame:
-    """Tensors of graphs for dense consumers: ``mol_id``, ``nodes`` (n_atoms x 25) and ``edges``, both padded with zeros.
+    """Tensors of graphs for dense consumers: ``mol_id``, ``n``, ``nodes`` (n_atoms x 25) and ``edges``, both padded with zeros.
 
     ``edges`` is the adjacency matrix (mode 0), the same with ones on the diagonal of the atoms there are (1), or has the
-    8 attributes of each bond in its cells (2). Graphs of more than ``n_atoms`` atoms are left out.
+    8 attributes of each bond in its cells (2). ``n`` is the number of atoms; where it is over ``n_atoms`` both tensors are null.
     """
     no_node, no_edge = F.array(*[F.lit(0.0).cast("float")] * 25), F.array(*[F.lit(0.0).cast("float")] * 8)
     side = F.sequence(F.lit(0), F.lit(n_atoms - 1))
-    own = atoms.groupBy("mol_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "attrs"))).alias("a"), F.count("*").alias("n")).where(F.col("n") <= n_atoms)
+    own = atoms.groupBy("mol_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "attrs"))).alias("a"), F.count("*").alias("n"))
     met = bonds.groupBy("mol_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") * n_atoms + F.col("j")).alias("at"), "attrs"))).alias("b"))
     both = own.join(met, "mol_id", "left").withColumn("b", F.coalesce("b", F.create_map().cast("map<int,array<float>>")))
     if mode == 2:
@@ -221,7 +221,8 @@ def dense(atoms: DataFrame, bonds: DataFrame, n_atoms: int, mode: int = 0) -> Da
         loop = lambda i, j: (i == j) & (i < F.col("n")) if mode == 1 else F.lit(False)
         cell = lambda i, j: F.when(F.map_contains_key("b", i * n_atoms + j) | loop(i, j), 1.0).otherwise(0.0).cast("float")
     edges = F.transform(side, lambda i: F.transform(side, lambda j: cell(i, j)))
-    return both.select("mol_id", F.transform(side, lambda i: F.coalesce(F.try_element_at("a", i), no_node)).alias("nodes"), edges.alias("edges"))
+    nodes, fits = F.transform(side, lambda i: F.coalesce(F.try_element_at("a", i), no_node)), F.col("n") <= n_atoms
+    return both.select("mol_id", "n", F.when(fits, nodes).alias("nodes"), F.when(fits, edges).alias("edges"))
 
 
 def rejects(df: DataFrame, key: str, smiles: str) -> DataFrame:

@@ -57,7 +57,7 @@ def alignment_kernel(spark, d):
     return alignment.kernel_table(texts, f"{shared_folder(spark)}/{uuid.uuid4()}").select("i", "j", "k")
 
 
-GRAMS = "gr AS (SELECT DISTINCT s, substr(s, i, 3) AS item FROM (SELECT DISTINCT p_name AS s FROM part), range(1, 60) t(i) WHERE i <= length(s) - 2)"
+GRAMS = "gr AS (SELECT DISTINCT s, substr(s, i, 3) AS item FROM (SELECT s, unnest(range(1, length(s) - 1)) AS i FROM (SELECT DISTINCT p_name AS s FROM part)))"
 
 
 def _grams(spark, d):
@@ -81,7 +81,7 @@ def fingerprint_bits(spark, d):
 
 @query(
     "spectrum_kernel",
-    """WITH b AS (SELECT item_id AS id, substr(text, i, 3) AS item, count(*) AS n FROM benchmark, range(1, 5000) t(i) WHERE i <= length(text) - 2 GROUP BY ALL),
+    """WITH b AS (SELECT item_id AS id, substr(text, i, 3) AS item, count(*) AS n FROM (SELECT item_id, text, unnest(range(1, length(text) - 1)) AS i FROM benchmark) GROUP BY ALL),
     z AS (SELECT id, sqrt(sum(n * n)) AS s FROM b GROUP BY id) SELECT x.id AS i, y.id AS j, round(sum(x.n * y.n) / any_value(p.s) / any_value(q.s), 6) AS k
     FROM b x JOIN b y USING (item) JOIN z p ON p.id = x.id JOIN z q ON q.id = y.id WHERE x.id <= y.id GROUP BY ALL""",
 )
@@ -112,10 +112,8 @@ def kernel_normalise(spark, d):
 @query("kernel_slice", f"WITH {KP} SELECT i, j, round(k, 6) AS k FROM kp WHERE i % 2 = 0 AND j % 2 = 1")
 def kernel_slice(spark, d):
     """Rows of one set of entities, columns of another (here: even against odd ids)."""
-    k = K.overlap_pairs(_bag(spark, d))
-    ids = T.protein(spark, d).select("prot_id")
-    rows, cols = ids.where("prot_id % 2 = 0").toDF("i"), ids.where("prot_id % 2 = 1").toDF("j")
-    return k.join(rows, "i", "left_semi").join(cols, "j", "left_semi").select("i", "j", _r())
+    bag = _bag(spark, d)  # the two sides are cut out before they meet
+    return K.overlap_between(bag.where("id % 2 = 0"), bag.where("id % 2 = 1")).where("i < j").select("i", "j", _r())
 
 
 PAIRS = "pr AS (SELECT DISTINCT c_nationkey AS p, n_regionkey AS m FROM customer JOIN nation ON c_nationkey = n_nationkey)"
@@ -196,11 +194,12 @@ def _run_sql(classes, width) -> str:
     return f"WITH {_class_sql(classes)}, r AS (SELECT item_id, substr(s, unnest(range(1, length(s) - {width - 2}))::INT, {width}) AS code FROM c WHERE length(s) >= {width}), g AS (SELECT item_id, code, count(*) AS n FROM r GROUP BY ALL)"
 
 
-@query("conjoint_triad", _run_sql(TRIADS, 3) + " SELECT item_id, code, n, round((n - min(n) OVER w) / (max(n) OVER w)::DOUBLE, 8) AS scaled FROM g WINDOW w AS (PARTITION BY item_id)")
+@query("conjoint_triad", _run_sql(TRIADS, 3) + " SELECT item_id, code, n, round((n - CASE WHEN count(*) OVER w < 343 THEN 0 ELSE min(n) OVER w END) / (max(n) OVER w)::DOUBLE, 8) AS scaled FROM g WINDOW w AS (PARTITION BY item_id)")
 def conjoint_triad(spark, d):
-    """Counts of the 343 triads of residue classes, scaled by the least and the largest one of the sequence."""
+    """Counts of the 343 triads of residue classes, scaled by the least (0 where one is absent) and the largest one of the sequence."""
     own = Window.partitionBy("item_id")  # at most 343 rows
-    return _shares(spark, d, TRIADS, 3).select("item_id", "code", "n", F.round((F.col("n") - F.min("n").over(own)) / F.max("n").over(own), 8).alias("scaled"))
+    least = F.when(F.count("*").over(own) < 343, 0).otherwise(F.min("n").over(own))
+    return _shares(spark, d, TRIADS, 3).select("item_id", "code", "n", F.round((F.col("n") - least) / F.max("n").over(own), 8).alias("scaled"))
 
 
 @query("ctd_composition", _run_sql(HYDRO, 1) + " SELECT item_id, code, round(n / (sum(n) OVER (PARTITION BY item_id))::DOUBLE, 8) AS share FROM g")

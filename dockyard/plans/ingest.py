@@ -141,10 +141,17 @@ def remap_values(spark, d):
     return T.table(spark, d, "events").select("event_id", F.replace("event_type", F.lit("signup"), F.lit("join")).alias("algo"))
 
 
-@query("aa_map", f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{v}{chr(39)})' for k, v in C.RESIDUES.items())}) t(code, letter)")
+@query(
+    "aa_map",
+    f"""WITH r(code, letter) AS (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{v}{chr(39)})' for k, v in C.RESIDUES.items())}),
+    w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{{3}}')) AS w FROM documents), c AS (SELECT upper(w[1]) || lower(w[2:3]) AS code FROM w)
+    SELECT code, letter, count(*) AS n FROM c JOIN r USING (code) GROUP BY ALL""",
+)
 def aa_map(spark, d):
-    codes = spark.createDataFrame([(k,) for k in C.RESIDUES], "code string")
-    return codes.select("code", C.one_letter(F.col("code")).alias("letter"))
+    """Runs of three letters of all texts, as three-letter codes, with their one-letter ones."""
+    runs = T.table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3}"), F.lit(0))).alias("w"))
+    codes = runs.groupBy(F.concat(F.upper(F.substring("w", 1, 1)), F.lower(F.substring("w", 2, 2))).alias("code")).agg(F.count("*").alias("n"))
+    return codes.where(F.col("code").isin(*C.RESIDUES)).select("code", C.one_letter(F.col("code")).alias("letter"), "n")
 
 
 @query("onehot_fallback", "SELECT p_partkey, (p_size = 5)::INT AS is_5, (p_size = 10)::INT AS is_10, (p_size NOT IN (5, 10))::INT AS is_other FROM part")
@@ -160,14 +167,15 @@ def sequence_explode(spark, d):
 
 @query(
     "pad_array",
-    """WITH s AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), m AS (SELECT max(len(w)) AS m FROM s)
-    SELECT item_id, len(w) AS n, array_to_string(list_transform(w, lambda x: length(x)) || list_transform(range(m - len(w)), lambda x: 0), ',') AS padded FROM s, m""",
+    """WITH s AS (SELECT item_id, item_id // 16 AS batch, string_split(text, ' ') AS w FROM benchmark), m AS (SELECT batch, max(len(w)) AS m FROM s GROUP BY batch)
+    SELECT item_id, batch, len(w) AS n, array_to_string(list_transform(w, lambda x: length(x)) || list_transform(range(m - len(w)), lambda x: 0), ',') AS padded FROM s JOIN m USING (batch)""",
 )
 def pad_array(spark, d):
-    words = T.table(spark, d, "benchmark").select("item_id", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("v"))
-    size = words.agg(F.max(F.size("v")).alias("m"))
-    both = words.join(F.broadcast(size))  # one row
-    return both.select("item_id", F.size("v").cast("long").alias("n"), F.array_join(C.padded(F.col("v"), F.col("m"), 0).cast("array<string>"), ",").alias("padded"))
+    """Zeros up to the longest row of a batch of 16: one long row widens its own batch alone."""
+    lengths = F.transform(F.split("text", " "), lambda w: F.length(w))
+    words = T.table(spark, d, "benchmark").select("item_id", F.floor(F.col("item_id") / 16).alias("batch"), lengths.alias("v"))
+    both = words.join(words.groupBy("batch").agg(F.max(F.size("v")).alias("m")), "batch")
+    return both.select("item_id", "batch", F.size("v").cast("long").alias("n"), F.array_join(C.padded(F.col("v"), F.col("m"), 0).cast("array<string>"), ",").alias("padded"))
 
 
 @query("label_onehot", "SELECT vec_id, array_to_string(list_transform(range(10), lambda i: (i = label)::INT), '') AS hot FROM embeddings")

@@ -111,11 +111,16 @@ def double_orphan_train(spark, d):
     return inter.join(out_p, "prot_id", "left_anti").join(out_m, "mol_id", "left_anti").select("prot_id", "mol_id")
 
 
-@query("fold_pairs_theta", "WITH g AS (SELECT p, m FROM range(5) a(p), range(5) b(m)) SELECT t.p AS tp, t.m AS tm, v.p AS vp, v.m AS vm FROM g t JOIN g v ON t.p <> v.p AND t.m <> v.m")
+@query(
+    "fold_pairs_theta",
+    f"WITH {INTER}, {PFOLD}, {MFOLD}, g AS (SELECT pf.fold AS p, mf.fold AS m, count(*) AS n FROM inter JOIN pf USING (prot_id) JOIN mf USING (mol_id) GROUP BY ALL) SELECT t.p AS tp, t.m AS tm, v.p AS vp, v.m AS vm, t.n AS n_test, v.n AS n_val FROM g t JOIN g v ON t.p <> v.p AND t.m <> v.m",
+)
 def fold_pairs_theta(spark, d):
-    """Of the 5 x 5 grid: 25 test cells with 16 validation cells each."""
-    cell = spark.range(25).select(F.floor(F.col("id") / 5).alias("p"), (F.col("id") % 5).alias("m"))
-    t, v = cell.toDF("tp", "tm"), cell.toDF("vp", "vm")
+    """Of the cells of the relation's grid of folds: each test cell with the validation cells that differ in both, and their pairs."""
+    inter, prot, mol = _trio(spark, d)
+    p, m = kfold(prot, "prot_id", 5).withColumnRenamed("fold", "p"), kfold(mol, "mol_id", 5).withColumnRenamed("fold", "m")
+    cell = inter.join(p, "prot_id").join(m, "mol_id").groupBy("p", "m").agg(F.count("*").alias("n"))  # 25 rows at most
+    t, v = cell.toDF("tp", "tm", "n_test"), cell.toDF("vp", "vm", "n_val")
     return t.join(v, (F.col("tp") != F.col("vp")) & (F.col("tm") != F.col("vm")))
 
 

@@ -190,12 +190,12 @@ def report_pivot(spark, d):
 
 @query(
     "report_bold",
-    f"WITH {RES}, {STATS}, b AS (SELECT setting, ratio_te, max(mean) AS bm, arg_max(std, mean) AS bs FROM st GROUP BY ALL) SELECT algo, setting, ratio_te, round(mean, 4) AS mean, round(std, 4) AS std, mean > bm - bs AS bold FROM st JOIN b USING (setting, ratio_te)",
+    f"WITH {RES}, {STATS}, b AS (SELECT setting, ratio_te, max(mean) AS bm, arg_max(std, (round(mean, 9), round(std, 9))) AS bs FROM st GROUP BY ALL) SELECT algo, setting, ratio_te, round(mean, 4) AS mean, round(std, 4) AS std, mean > bm - bs AS bold FROM st JOIN b USING (setting, ratio_te)",
 )
 def report_bold(spark, d):
-    """Bold are the means above the best mean less its deviation."""
+    """Bold are the means above the best mean less its deviation; of equal means the largest deviation counts."""
     st = _stats(spark, d)
-    best = st.groupBy("setting", "ratio_te").agg(F.max("mean").alias("bm"), F.max_by("std", "mean").alias("bs"))
+    best = st.groupBy("setting", "ratio_te").agg(F.max("mean").alias("bm"), F.max_by("std", F.struct(F.round("mean", 9), F.round("std", 9))).alias("bs"))
     bold = (F.col("mean") > F.col("bm") - F.col("bs")).alias("bold")
     return st.join(best, ["setting", "ratio_te"]).select("algo", "setting", "ratio_te", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), bold)
 
@@ -210,8 +210,8 @@ def report_latex(spark, d):
 
 @query("box_stats", f"WITH {RES} SELECT algo, round(quantile_cont(score, 0.25), 6) AS q1, round(quantile_cont(score, 0.5), 6) AS q2, round(quantile_cont(score, 0.75), 6) AS q3 FROM res GROUP BY algo")
 def box_stats(spark, d):
-    q = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return T.result(spark, d).groupBy("algo").agg(q.alias("q")).select("algo", *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)])
+    q = M.quantiles(T.result(spark, d), ["algo"], "score", [0.25, 0.5, 0.75])
+    return q.select("algo", *[F.round(F.col(f"q{i}"), 6).alias(f"q{i + 1}") for i in range(3)])
 
 
 @query("best_param", f"WITH {RES}, a AS (SELECT algo, params, avg(score) AS m FROM res GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY algo ORDER BY round(m, 9) DESC, params) AS k FROM a) SELECT algo, params, round(m, 6) AS mean FROM r WHERE k = 1")
@@ -221,11 +221,11 @@ def best_param(spark, d):
     return a.withColumn("k", F.row_number().over(order)).where("k = 1").select("algo", "params", F.round("m", 6).alias("mean"))
 
 
-@query("best_ratio", f"WITH {RES}, a AS (SELECT algo, setting, ratio_tr, avg(score) AS m FROM res GROUP BY ALL), b AS (SELECT algo, setting, arg_max(ratio_tr, m) AS ratio_tr FROM a GROUP BY ALL) SELECT event_id, algo, setting, ratio_tr FROM res SEMI JOIN b USING (algo, setting, ratio_tr)")
+@query("best_ratio", f"WITH {RES}, a AS (SELECT algo, setting, ratio_tr, avg(score) AS m FROM res GROUP BY ALL), b AS (SELECT algo, setting, arg_max(ratio_tr, (round(m, 9), -ratio_tr)) AS ratio_tr FROM a GROUP BY ALL) SELECT event_id, algo, setting, ratio_tr FROM res SEMI JOIN b USING (algo, setting, ratio_tr)")
 def best_ratio(spark, d):
     res = T.result(spark, d)
     a = res.groupBy("algo", "setting", "ratio_tr").agg(F.avg("score").alias("m"))
-    best = a.groupBy("algo", "setting").agg(F.max_by("ratio_tr", "m").alias("ratio_tr"))
+    best = a.groupBy("algo", "setting").agg(F.max_by("ratio_tr", F.struct(F.round("m", 9), -F.col("ratio_tr"))).alias("ratio_tr"))  # ties: the smaller
     return res.join(best, ["algo", "setting", "ratio_tr"], "left_semi").select("event_id", "algo", "setting", "ratio_tr")
 
 

@@ -100,3 +100,10 @@ def test_structures_are_parsed_once(spark):
     assert {r.mol_id for r in read.rejects.collect()} == {3, 4, 5}
     plan = read.atoms._jdf.queryExecution().executedPlan().toString()
     assert "UDTF" not in plan and "Python" not in plan  # what follows reads the one pass
+
+
+def test_large_graphs_stay(spark):
+    df = spark.createDataFrame([(1, "CCO"), (2, "CCCCCC")], "mol_id long, s string")
+    read = smiles.read(df, "mol_id", "s")
+    got = {r.mol_id: (r.n, r.nodes is None, r.edges is None) for r in smiles.dense(read.atoms, read.bonds, 4).collect()}
+    assert got == {1: (3, False, False), 2: (6, True, True)}

@@ -3,9 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from dockyard.functions import metrics as M
+from dockyard.functions.kernels import mirrored, overlap_between, overlap_pairs
 from dockyard.operators import splits as S
 from dockyard.operators.ranking import global_rank, kfold
 
@@ -100,6 +102,25 @@ def test_null_strata_and_null_orders(spark):
     assert {r.id: r.rank for r in global_rank(df, ["v", "id"], F.floor("v")).collect()} == {3: 0, 5: 1, 2: 2, 4: 3, 1: 4}
 
 
+def test_quantiles(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", "b", None]), draw.choice([draw.random(), draw.random() * 1e-6, 0.5])) for _ in range(700)] + [("a", None), ("c", 3.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.q0, r.q1, r.q2) for r in M.quantiles(df, ["g"], "v", [0.25, 0.5, 0.9]).collect()}
+    for g in ("a", "b", None, "c"):
+        v = [x for k, x in rows if k == g and x is not None]
+        assert np.allclose(got[g], np.quantile(v, [0.25, 0.5, 0.9]))
+    assert set(got) == {"a", "b", None, "c"}
+
+
+def test_slices_of_kernels(spark):
+    draw = random.Random(6)
+    bag = spark.createDataFrame([(i, draw.randrange(9), draw.randrange(1, 4)) for i in range(40) for _ in range(3)], "id int, item int, n int").dropDuplicates(["id", "item"])
+    whole = mirrored(overlap_pairs(bag))
+    got = {(r.i, r.j): r.k for r in overlap_between(bag.where("id < 10"), bag.where("id >= 10")).collect()}
+    assert got == {(r.i, r.j): r.k for r in whole.where("i < 10 and j >= 10").collect()}
+
+
 def plain_areas(rows):
     known = [(s, y) for y, s in rows if y is not None and s is not None]
     p, t = sum(y for _, y in known), len(known)
