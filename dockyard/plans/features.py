@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from dockyard.functions import descriptors as D
 from dockyard.functions import encoders
 from dockyard.functions import graphs as G
 from dockyard.functions import kernels as K
@@ -235,6 +236,56 @@ def ctd_distribution(spark, d):
     return met.groupBy("item_id", "code", "q").agg(F.round(100 * F.min("pos") / F.first("size"), 6).alias("at"))
 
 
+def _listed(v) -> str:
+    return "[" + ", ".join(f"{x}::DOUBLE" for x in v) + "]"
+
+
+SEQUENCES = f"""s AS (SELECT item_id, list_filter(string_split(translate(text, '{D.RESIDUES.lower()}', '{D.RESIDUES}'), ''), lambda c: c <> '' AND contains('{D.RESIDUES}', c)) AS r FROM benchmark),
+  v AS (SELECT item_id, r, len(r) AS n, {', '.join(f"list_transform(r, lambda c: {_listed(t)}[instr('{D.RESIDUES}', c)]) AS p{k}" for k, t in enumerate(D.PROPERTIES.values()))} FROM s),
+  l AS (SELECT *, unnest(range(1, 31)) AS d FROM v)"""
+
+
+def _lag_sql(f: str, a: str = "p0", n: str = "n - d") -> str:
+    return f"list_sum(list_transform(range(1, {n} + 1), lambda i: {f.replace('A', f'{a}[i]').replace('B', f'{a}[i + d]')}))"
+
+
+@query(
+    "autocorrelations",
+    f"""WITH {SEQUENCES}, m AS (SELECT *, list_sum(p0) / n AS m FROM l WHERE n > d), q AS (SELECT *, list_transform(p0, lambda x: x - m) AS c FROM m),
+    w AS (SELECT *, list_sum(list_transform(c, lambda x: x * x)) AS v FROM q)
+    SELECT item_id, d::INT AS lag, round({_lag_sql('A * B')} / (n - d), 6) + 0.0::DOUBLE AS moreau_broto, round({_lag_sql('A * B', 'c')} / (n - d) / (v / n), 6) + 0.0::DOUBLE AS moran,
+      round({_lag_sql('(A - B) * (A - B)')} / (2 * (n - d)) / (v / (n - 1)), 6) + 0.0::DOUBLE AS geary FROM w""",
+)
+def autocorrelations(spark, d):
+    """Three autocorrelations of hydropathy at lags 1 to 30."""
+    found = D.autocorrelations(T.table(spark, d, "benchmark"), "item_id", "text")
+    return found.select("item_id", "lag", *[_r(c) for c in ("moreau_broto", "moran", "geary")])
+
+
+@query(
+    "pseudo_composition",
+    f"""WITH {SEQUENCES}, t AS (SELECT item_id, d, ({' + '.join(_lag_sql('(A - B) * (A - B)', f'p{k}') for k in range(3))}) / 3 / (n - d) AS theta FROM l WHERE n > 10 AND d <= 10),
+    z AS (SELECT item_id, list(theta ORDER BY d) AS th, 1 + 0.05::DOUBLE * sum(theta) AS s FROM t GROUP BY item_id),
+    f AS (SELECT item_id, list_transform(string_split('{D.RESIDUES}', ''), lambda x: len(list_filter(r, lambda c: c = x)) / n::DOUBLE) AS f FROM v),
+    x AS (SELECT item_id, list_transform(f, lambda v: v / s) || list_transform(th, lambda v: v * 0.05::DOUBLE / s) AS x FROM z JOIN f USING (item_id))
+    SELECT item_id, unnest(range(len(x)))::INT AS at, round(unnest(x), 6) + 0.0::DOUBLE AS share FROM x""",
+)
+def pseudo_composition(spark, d):
+    """Shares of the residues and of ten order numbers."""
+    found = D.pseudo_composition(T.table(spark, d, "benchmark"), "item_id", "text")
+    return found.select("item_id", F.posexplode("x").alias("at", "share")).select("item_id", "at", _r("share"))
+
+
+@query(
+    "order_coupling",
+    f"""WITH {SEQUENCES} SELECT item_id, d::INT AS lag, round({' + '.join(_lag_sql('(A - B) * (A - B)', f'p{k}') for k in range(3))}, 4) AS coupling,
+    round({_lag_sql('A * B', 'p0')} / (n - d), 6) + 0.0::DOUBLE AS hydropathy, round({_lag_sql('A * B', 'p1')} / (n - d), 6) + 0.0::DOUBLE AS hydrophilicity FROM l WHERE n > d""",
+)
+def order_coupling(spark, d):
+    found = D.order_numbers(T.table(spark, d, "benchmark"), "item_id", "text")
+    return found.select("item_id", "lag", _r("coupling", 4), _r("hydropathy"), _r("hydrophilicity"))
+
+
 @query(
     "sequence_conv",
     """WITH s AS (SELECT conv_id, turn, length(text)::DOUBLE AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations),
