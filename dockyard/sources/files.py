@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dockyard.functions.columns import ALPHABET
+from dockyard.functions.metrics import range_of
+from dockyard.operators.ranking import global_rank
 
 # Fixed value: the order of the residues in the one-hot arrays; the place after the last means no residue.
 ARRAY_ORDER = "ACEDGFIHKMLNQPSRTWVYX"
@@ -154,8 +156,8 @@ def write_fasta(df: DataFrame, path: str, key: str = "id", seq: str = "seq") ->
 
 
 def write_folds(split: DataFrame, path: str) -> None:
-    """Partitioned by ratio and fold, so loading a fold reads its files alone."""
-    split.write.partitionBy("ratio", "fold").parquet(path, mode="overwrite")
+    """Partitioned by setting (where there is one), ratio and fold, so loading a fold reads its files alone."""
+    split.write.partitionBy(*[c for c in ("setting", "ratio", "fold") if c in split.columns]).parquet(path, mode="overwrite")
 
 
 def read_folds(spark: SparkSession, path: str, ratio: int, test: int, val: int) -> dict[str, DataFrame]:
@@ -219,3 +221,22 @@ def load_weights(layers: DataFrame, stored: DataFrame, names: str = ".*") -> Dat
 def write_matrix(cells: DataFrame, path: str) -> None:
     """Cells (``i``, ``j``, ``k``) of a matrix as an edge list in ranges of rows; cells of 0 are left out, as absent ones mean 0."""
     cells.where("k <> 0").repartitionByRange("i").sortWithinPartitions("i", "j").write.parquet(path, mode="overwrite")
+
+
+def save_dataset(molecule: DataFrame, protein: DataFrame, interaction: DataFrame, path: str) -> None:
+    """A data set's artefacts as tables of one folder: ``molecule`` (mol_id, structure), ``protein`` (prot_id, seq), the numbers of both
+    (``mol_index``: mol_id, j; ``prot_index``: prot_id, i; from 0 in the order of the ids) and the ``relation`` by numbers."""
+    spark = molecule.sparkSession
+    for df, key, name in ((molecule, "mol_id", "molecule"), (protein, "prot_id", "protein")):
+        df.write.parquet(f"{path}/{name}", mode="overwrite")
+        own = df.select(key).distinct()
+        index = {"molecule": "j", "protein": "i"}[name]
+        ranked = global_rank(own, [key], range_of(own, key), index) if dict(own.dtypes)[key] != "string" else global_rank(own, [key], F.substring(key, 1, 4), index)
+        ranked.write.parquet(f"{path}/{'mol' if name == 'molecule' else 'prot'}_index", mode="overwrite")
+    numbers = [spark.read.parquet(f"{path}/{n}_index") for n in ("prot", "mol")]
+    interaction.join(numbers[0], "prot_id").join(numbers[1], "mol_id").select("i", "j").write.parquet(f"{path}/relation", mode="overwrite")
+
+
+def load_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The artefacts of ``save_dataset`` by name; an index is read in either direction."""
+    return {n: spark.read.parquet(f"{path}/{n}") for n in ("molecule", "protein", "relation", "prot_index", "mol_index")}
