@@ -28,6 +28,8 @@ from dockyard.llm.shared import cut, table
 
 #: Documents of a block; terms of a lot of queries; blocks of a query's first wave, and how many times more the next ones take.
 BLOCK, TERMS, WAVE, GROWTH, WAVES = 4096, 500_000, 4, 16, 3
+#: Cells of scores that a task holds at once, about.
+CELLS = 1_000_000
 #: In UTF-8: runs of ASCII letters, digits and any other character.
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 SCALE = 1_000_000_000
@@ -68,7 +70,7 @@ class Block:
             parts.append(np.frombuffer(raw, kind, n, at))
             at += int(n) * int(kind[2])
         self.docs, self.terms, self.begins, self.tf, self.row = parts
-        self.m = m
+        self.m, self._gains = m, None
         self.most = self.tf[self.begins[1:] - 1] if n_terms else np.zeros(0, np.int64)
 
     def bounds(self, q: Queries) -> np.ndarray:
@@ -79,18 +81,31 @@ class Block:
         np.add.at(out, q.who, best[q.what])
         return out
 
-    def scores(self, own: np.ndarray, q: Queries) -> np.ndarray:
-        """Scores of all documents of the block for the terms ``own``; each frequency's impact is computed once."""
-        out = np.zeros(len(self.docs), dtype=np.int64)
-        where = np.searchsorted(self.terms, own)
-        for t, i in zip(own, np.minimum(where, max(0, len(self.terms) - 1))):
-            if len(self.terms) and self.terms[i] == t:
-                a, b = self.begins[i], self.begins[i + 1]
-                tf = self.tf[a:b]  # rising
-                first = np.flatnonzero(np.r_[True, tf[1:] != tf[:-1]])
-                gains = q.weights[t] * impact(tf[first], self.m)
-                out[self.row[a:b]] += np.repeat(gains, np.diff(np.r_[first, b - a]))
-        return out
+    def gains(self, q: Queries) -> np.ndarray:
+        """What each posting adds to a score: a frequency's impact is computed once, whatever its terms and documents."""
+        if self._gains is None:
+            tf, at = np.unique(self.tf, return_inverse=True)
+            self._gains = np.repeat(q.weights[self.terms], np.diff(self.begins)) * impact(tf, self.m)[at]
+        return self._gains
+
+    def scores(self, items: np.ndarray, q: Queries) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Scores of all documents of the block (columns) for queries of the lot (rows), some queries at a time."""
+        own = [q.asked[i] for i in items]
+        who, what = np.repeat(np.arange(len(items)), [len(x) for x in own]), np.concatenate(own)
+        at = np.minimum(np.searchsorted(self.terms, what), len(self.terms) - 1)
+        held = self.terms[at] == what
+        who, at = who[held], at[held]
+        first, n = self.begins[at], self.begins[at + 1] - self.begins[at]
+        size = np.maximum(np.bincount(who, weights=n, minlength=len(items)), len(self.docs))
+        part = (np.cumsum(size) // CELLS).astype(np.int64)
+        for k in np.unique(part):
+            rows = np.flatnonzero(part == k)
+            mine = (who >= rows[0]) & (who <= rows[-1])
+            f, c = first[mine], n[mine]
+            post = np.repeat(f - np.r_[0, np.cumsum(c)[:-1]], c) + np.arange(c.sum())
+            out = np.zeros(len(rows) * len(self.docs), dtype=np.int64)
+            np.add.at(out, np.repeat(who[mine] - rows[0], c) * len(self.docs) + self.row[post], self.gains(q)[post])
+            yield items[rows], out.reshape(len(rows), -1)
 
 
 def pack(docs: np.ndarray, term: np.ndarray, tf: np.ndarray, row: np.ndarray) -> bytes:
@@ -214,16 +229,21 @@ def _lot(docs: DataFrame, asked: list, k: int, key: str, text: str) -> DataFrame
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             q = sent.value
             best: list[list[tuple[int, int]]] = [[] for _ in q.ids]
+            need = least.copy()  # rises with what the task has found
             for b in batches:
                 for m, raw in zip(b["m"], b["raw"]):
                     block = Block(raw, m)
                     bound = block.bounds(q)
-                    for i in np.flatnonzero((bound >= low) & (bound < high)):
-                        if len(best[i]) >= k and bound[i] < -best[i][-1][0]:
-                            continue
-                        score = block.scores(q.asked[i], q)
-                        at = np.flatnonzero(score >= least[i])
-                        best[i] = heapq.nsmallest(k, best[i] + list(zip((-score[at]).tolist(), block.docs[at].tolist())))
+                    items = np.flatnonzero((bound >= np.maximum(low, need)) & (bound < high))
+                    if not len(items) or not len(block.terms):
+                        continue
+                    for own, score in block.scores(items, q):
+                        may = score >= need[own][:, None]
+                        for r in np.flatnonzero(may.any(1)):
+                            i, at = own[r], np.flatnonzero(may[r])
+                            best[i] = heapq.nsmallest(k, best[i] + list(zip((-score[r, at]).tolist(), block.docs[at].tolist())))
+                            if len(best[i]) >= k:
+                                need[i] = max(need[i], -best[i][-1][0])
             out = [(q.ids[i], d, -s) for i, own in enumerate(best) for s, d in own]
             yield pd.DataFrame(out, columns=["item_id", "doc_id", "score"])
 

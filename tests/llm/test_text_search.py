@@ -119,6 +119,8 @@ def test_lexical_search(spark, monkeypatch):
     monkeypatch.setattr(lexical, "BLOCK", 16)  # many blocks, so that waves end at bounds
     monkeypatch.setattr(lexical, "WAVE", 1)
     assert run() == expected
+    monkeypatch.setattr(lexical, "CELLS", 50)  # a few queries at a time
+    assert run() == expected
     monkeypatch.setattr(lexical, "TERMS", 40)  # several lots of queries
     assert run() == expected
     assert lexical.ranked(df.limit(0), qs).count() == 0 and lexical.ranked(df, qs.limit(0)).count() == 0
@@ -131,8 +133,8 @@ def test_bounds_hold():
     cells = sorted({(int(t), int(d)) for t, d in rng.integers(0, (30, 40), (300, 2))})
     term, row = np.array([c[0] for c in cells]), np.array([c[1] for c in cells])
     block = lexical.Block(lexical.pack(np.arange(40), term, rng.integers(1, 9, len(term)), row), 100)
-    for i, own in enumerate(asked):
-        assert block.scores(own, q).max() <= block.bounds(q)[i]
+    seen = [(i, row) for items, score in block.scores(np.arange(8), q) for i, row in zip(items, score)]
+    assert [i for i, _ in seen] == list(range(8)) and all(row.max() <= block.bounds(q)[i] for i, row in seen)
 
 
 BASE = {
