@@ -28,8 +28,8 @@ from dockyard.llm.shared import cut, table
 
 #: Documents of a block; terms of a lot of queries; blocks of a query's first wave, and how many times more the next ones take.
 BLOCK, TERMS, WAVE, GROWTH, WAVES = 4096, 500_000, 4, 16, 3
-#: Cells of scores that a task holds at once, about.
-CELLS = 1_000_000
+#: Cells of scores that a task holds at once, about; parts in which rows meet the sizes of their strata.
+CELLS, SALT = 1_000_000, 64
 #: In UTF-8: runs of ASCII letters, digits and any other character.
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 SCALE = 1_000_000_000
@@ -195,8 +195,11 @@ def _lot(docs: DataFrame, asked: list, k: int, key: str, text: str) -> DataFrame
     # Strata and their blocks. Rows are numbered, so that copies and repeated ids spread over a stratum's blocks.
     normal = F.expr(f"50 + (50 * n * {n_docs}L) div {n_words}L")
     strata = lengths.groupBy(normal.alias("m")).agg(F.sum("c").alias("c")).select("m", F.ceil(F.col("c") / BLOCK).alias("blocks"))
-    posted = rows.where("id is not null and length(terms) > 0").withColumn("m", normal).withColumn("i", F.monotonically_increasing_id())
-    dealt = posted.join(strata, "m").withColumn("part", F.pmod(F.xxhash64("i"), F.col("blocks")))
+    # The sizes are joined in SALT parts, and blocks are dealt by stratum and part, so no task sees a whole large stratum.
+    posted = rows.where("id is not null and length(terms) > 0").withColumn("m", normal).withColumn("i", F.xxhash64(F.monotonically_increasing_id()))
+    salted = strata.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    met = posted.withColumn("salt", F.pmod("i", F.lit(SALT)).cast("int")).join(salted, ["m", "salt"])
+    dealt = met.withColumn("part", F.pmod(F.shiftright("i", 8), F.col("blocks")))
 
     def built(key_: tuple, group: pd.DataFrame) -> pd.DataFrame:
         held = [np.frombuffer(x, "<i4") for x in group["terms"]]
