@@ -114,9 +114,9 @@ def scan_class_fasta(spark, d):
 )
 def scan_variants(spark, d):
     """Fixed text lines among others; tokens are found by their forms."""
-    key = lambda n: F.lpad((F.col("p_partkey") % 10**n).cast("string"), n, "0")
+    key = lambda v, n: F.lpad(v.cast("string"), n, "0")
     label = F.when(F.col("p_size") % 2 == 0, "Disease").otherwise("Polymorphism")
-    text = F.concat(F.lit("GENE  P"), key(5), F.lit("  VAR_"), key(6), F.lit("  p.Lys"), (F.col("p_size") + 1).cast("string"), F.lit("Glu  "), label, F.lit("  -  x"))
+    text = F.concat(F.lit("GENE  P"), key(F.col("p_partkey") % 100000, 5), F.lit("  VAR_"), key(F.col("p_partkey"), 6), F.lit("  p.Lys"), (F.col("p_size") + 1).cast("string"), F.lit("Glu  "), label, F.lit("  -  x"))
     return files.variants(spark, _put(T.table(spark, d, "part"), F.when(F.col("p_size") % 5 != 0, text).otherwise("a line without a variant")))
 
 

@@ -92,3 +92,12 @@ def test_weights_by_name(spark, tmp_path):
     assert got == {"mol_1": ([1.0, 2.0], True), "prot_1": ([0.0, 0.0], False), "head": ([9.0], False)}
     files.write_matrix(spark.createDataFrame([(1, 0, 2.0), (0, 1, 0.0), (0, 0, 1.0)], "i int, j int, k double"), str(tmp_path / "m"))
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "m")).collect()) == [(0, 0, 1.0), (1, 0, 2.0)]
+
+
+def test_variants_of_long_keys(spark, tmp_path):
+    """Keys of seven digits are cut from the right by the SQL's lpad, so the text must be made the same way."""
+    from dockyard.plans.layouts import scan_variants
+
+    spark.createDataFrame([(1199999, 2), (42, 3)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r.var_id, r.gene) for r in scan_variants(spark, str(tmp_path)).collect()}
+    assert got == {("VAR_119999", "P99999"), ("VAR_000042", "P00042")}
