@@ -3,7 +3,8 @@
 Nodes have ``g`` (the graph), ``id`` and a state ``h`` (array<double>); edges ``g``, ``i``, ``j``, a weight ``a`` (1 in a plain graph) and,
 where bonds count, attributes ``w`` (array<double>), in both directions. Weight matrices are numpy arrays of a model's size, written into
 the plan; states are multiplied where they are, so a step is one join of edges with states and one sum by node, element by element,
-which is combined before the shuffle. No graph is collected into a row.
+which is combined before the shuffle. No graph is collected into a row. Joins are merges: Spark's guess of a state's size can be far
+below it, and a table of nodes must not be broadcast.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def summed(df: DataFrame, by: Sequence[str], v: Column, width: int, how=F.sum) -
 
 def neighbours(nodes: DataFrame, edges: DataFrame, state: Column) -> DataFrame:
     """Edges with ``state`` of the node they come from as ``hj``."""
-    return edges.join(nodes.select("g", F.col("id").alias("j"), state.alias("hj")), ["g", "j"])
+    return edges.join(nodes.select("g", F.col("id").alias("j"), state.alias("hj")).hint("merge"), ["g", "j"])
 
 
 def message_passing(nodes: DataFrame, edges: DataFrame, own: np.ndarray, other: np.ndarray, bias: np.ndarray | None = None, bond: np.ndarray | None = None, activate: bool = True) -> DataFrame:
@@ -67,7 +68,7 @@ def message_passing(nodes: DataFrame, edges: DataFrame, own: np.ndarray, other:
     got = summed(sent, ["g", "i"], F.transform(value, lambda x: x * F.col("a")), width).withColumnRenamed("i", "id")
     zero = literal(np.zeros(width))
     total = plus(times(F.col("h"), own), F.coalesce(F.col("v"), zero))
-    return nodes.join(got, ["g", "id"], "left").select("g", "id", (relu(total) if activate else total).alias("h"))
+    return nodes.join(got.hint("merge"), ["g", "id"], "left").select("g", "id", (relu(total) if activate else total).alias("h"))
 
 
 def attention(nodes: DataFrame, edges: DataFrame, heads: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], bias: Sequence[np.ndarray] | None = None, reduction: str = "concat", slope: float = 0.2) -> DataFrame:
@@ -84,12 +85,12 @@ def attention(nodes: DataFrame, edges: DataFrame, heads: Sequence[tuple[np.ndarr
     told = told.select("g", "id", "v", F.array(*[dot(F.col("v")[n], literal(a)) for n, (_, a, _) in enumerate(heads)]).alias("s"), F.array(*[dot(F.col("v")[n], literal(b)) for n, (_, _, b) in enumerate(heads)]).alias("t"))
     loops = nodes.select("g", F.col("id").alias("i"), F.col("id").alias("j"))
     near = edges.select("g", "i", "j").where("i <> j").distinct().unionByName(loops)
-    met = near.join(told.select("g", F.col("id").alias("i"), "s"), ["g", "i"]).join(told.select("g", F.col("id").alias("j"), "t", "v"), ["g", "j"])
+    met = near.join(told.select("g", F.col("id").alias("i"), "s").hint("merge"), ["g", "i"]).join(told.select("g", F.col("id").alias("j"), "t", "v").hint("merge"), ["g", "j"])
     raw = F.zip_with("s", "t", lambda x, y: F.when(x + y >= 0, x + y).otherwise((x + y) * slope))
     logits = met.select("g", "i", "v", raw.alias("e"))
     count = range(len(heads))
     top = logits.groupBy("g", "i").agg(*[F.max(F.col("e")[n]).alias(f"m{n}") for n in count])
-    share = logits.join(top, ["g", "i"]).select("g", "i", "v", *[F.exp(F.col("e")[n] - F.col(f"m{n}")).alias(f"x{n}") for n in count])
+    share = logits.join(top.hint("merge"), ["g", "i"]).select("g", "i", "v", *[F.exp(F.col("e")[n] - F.col(f"m{n}")).alias(f"x{n}") for n in count])
     sums = [F.sum(f"x{n}").alias(f"d{n}") for n in count] + [F.sum(F.col(f"x{n}") * F.col("v")[n][k]).alias(f"y{n}_{k}") for n in count for k in range(size)]
     each = share.groupBy("g", F.col("i").alias("id")).agg(*sums)
     out = [[F.col(f"y{n}_{k}") / F.col(f"d{n}") + float(bias[n][k] if bias is not None else 0.0) for k in range(size)] for n in count]
@@ -105,9 +106,9 @@ def assignment(nodes: DataFrame, edges: DataFrame, own: np.ndarray, other: np.nd
 
 def pooled(nodes: DataFrame, edges: DataFrame, shares: DataFrame, width: int, clusters: int) -> tuple[DataFrame, DataFrame]:
     """The smaller graph of the clusters: states S'H and weights S'AS between clusters, each node and edge spread over its clusters."""
-    met = nodes.join(shares, ["g", "id"]).select("g", "h", F.posexplode("s").alias("id", "p"))
+    met = nodes.join(shares.hint("merge"), ["g", "id"]).select("g", "h", F.posexplode("s").alias("id", "p"))
     own = summed(met, ["g", "id"], F.transform("h", lambda x: x * F.col("p")), width).withColumnRenamed("v", "h")
-    ends = edges.join(shares.select("g", F.col("id").alias("i"), F.col("s").alias("si")), ["g", "i"]).join(shares.select("g", F.col("id").alias("j"), F.col("s").alias("sj")), ["g", "j"])
+    ends = edges.join(shares.select("g", F.col("id").alias("i"), F.col("s").alias("si")).hint("merge"), ["g", "i"]).join(shares.select("g", F.col("id").alias("j"), F.col("s").alias("sj")).hint("merge"), ["g", "j"])
     rows = ends.select("g", "a", "sj", F.posexplode("si").alias("i", "p")).select("g", "i", F.transform("sj", lambda q: q * F.col("p") * F.col("a")).alias("row"))
     cells = summed(rows, ["g", "i"], F.col("row"), clusters)
     return own, cells.select("g", "i", F.posexplode("v").alias("j", "a"))
@@ -121,10 +122,10 @@ def link_loss(edges: DataFrame, shares: DataFrame, clusters: int) -> DataFrame:
     products = shares.select("g", "s", F.posexplode("s").alias("c", "p")).select("g", "c", F.transform("s", lambda x: x * F.col("p")).alias("row"))
     gram = summed(products, ["g", "c"], F.col("row"), clusters)
     whole = gram.groupBy("g").agg(F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("q"))
-    ends = edges.join(shares.select("g", F.col("id").alias("i"), F.col("s").alias("si")), ["g", "i"]).join(shares.select("g", F.col("id").alias("j"), F.col("s").alias("sj")), ["g", "j"])
+    ends = edges.join(shares.select("g", F.col("id").alias("i"), F.col("s").alias("si")).hint("merge"), ["g", "i"]).join(shares.select("g", F.col("id").alias("j"), F.col("s").alias("sj")).hint("merge"), ["g", "j"])
     k = dot(F.col("si"), F.col("sj"))
     moved = ends.select("g", "a", k.alias("k")).groupBy("g").agg(F.sum(F.col("a") * F.col("a") - 2 * F.col("a") * F.col("k")).alias("d"))
-    return whole.join(moved, "g", "left").select("g", F.sqrt(F.greatest(F.lit(0.0), F.col("q") + F.coalesce("d", F.lit(0.0)))).alias("loss"))
+    return whole.join(moved.hint("merge"), "g", "left").select("g", F.sqrt(F.greatest(F.lit(0.0), F.col("q") + F.coalesce("d", F.lit(0.0)))).alias("loss"))
 
 
 def readout(nodes: DataFrame, width: int, how: str = "sum") -> DataFrame:
@@ -138,7 +139,7 @@ def combined(steps: Sequence[DataFrame], widths: Sequence[int], how: str = "conc
         return steps[-1].select("g", "h")
     met = steps[0].select("g", F.col("h").alias("h0"))
     for n, s in enumerate(steps[1:], 1):
-        met = met.join(s.select("g", F.col("h").alias(f"h{n}")), "g", "full")
+        met = met.join(s.select("g", F.col("h").alias(f"h{n}")).hint("merge"), "g", "full")
     parts = [F.coalesce(F.col(f"h{n}"), literal(np.zeros(w))) for n, w in enumerate(widths)]
     if how == "concat":
         return met.select("g", F.concat(*parts).alias("h"))

@@ -1,4 +1,4 @@
-"""Molecular graphs from line notation, as a table function: atoms and bonds of a structure string.
+"""Molecular graphs from line notation: atoms and bonds of a structure string.
 
 Covers the organic subset, brackets (isotope, chirality, hydrogens, charge), bonds, branches, ring closures and
 disconnected parts. Atom attributes are one-hot groups (element 11, degree 6, hydrogens 5) and charge, ring and
@@ -11,13 +11,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
-from dockyard.operators.lineage import cut
+from dockyard.operators.lineage import kept
 
 # Usual valences, and the atomic numbers of the element groups (the last one is for all others).
 VALENCE = {"B": 3, "C": 4, "N": 3, "O": 2, "P": 3, "S": 2, "F": 1, "Cl": 1, "Br": 1, "I": 1}
@@ -134,37 +135,52 @@ def graph(text: str | None) -> tuple[list[list[float]], list[tuple[int, int, lis
     return out, edges
 
 
-def atoms_and_bonds(df: DataFrame, key: str, smiles: str) -> tuple[DataFrame, DataFrame]:
-    """Tables ``atom`` (key, i, attrs) and ``bond`` (key, i, j, attrs; both directions)."""
-    rows = df.select(F.col(key).alias("mol_id"), F.col(smiles).alias("s"))
-    kind = dict(rows.dtypes)["mol_id"]
+@lru_cache(maxsize=20_000)
+def _packed(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Atoms' attributes, bonds' ends and bonds' attributes as arrays; a string that comes again in a task is parsed once."""
+    atoms, bonds = graph(text)
+    ends = np.array([b[:2] for b in bonds], dtype=np.int32).reshape(-1, 2)
+    return np.array(atoms, dtype=np.float32).reshape(-1, 25), ends, np.array([b[2] for b in bonds], dtype=np.float32).reshape(-1, 8)
+
 
-    def atoms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(m, i, a) for m, s in zip(b["mol_id"], b["s"]) for i, a in enumerate(graph(s)[0])], columns=["mol_id", "i", "attrs"])
+KINDS = ("atom", "bond", "reject")
 
-    def bonds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(m, *e) for m, s in zip(b["mol_id"], b["s"]) for e in graph(s)[1]], columns=["mol_id", "i", "j", "attrs"])
 
-    return (
-        rows.mapInPandas(atoms, f"mol_id {kind}, i int, attrs array<float>"),
-        rows.mapInPandas(bonds, f"mol_id {kind}, i int, j int, attrs array<float>"),
-    )
+def rows_of(df: DataFrame, key: str, smiles: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Rows ``mol_id``, ``kind``, ``i``, ``j``, ``attrs`` of the structure strings: their atoms, their bonds in both directions, or one
+    row that a string can't be read; only the wanted ``kinds`` are made. The strings are dealt to tasks first, as a file of
+    many of them is small and would be one task's."""
+    rows = df.select(F.col(key).alias("mol_id"), F.col(smiles).alias("s"))
+    kind = dict(rows.dtypes)["mol_id"]
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
+                found = [_packed(s) for s in b.column(1).to_pylist()]
+                for name in kinds:
+                    count = np.array([len(f[0]) == 0 if name == "reject" else len(f[0 if name == "atom" else 1]) for f in found], dtype=np.int64)
+                    n = int(count.sum())
+                    if not n:
+                        continue
+                    none = pa.nulls(n, pa.int32())
+                    if name == "atom":
+                        i, j, attrs = pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in count])), none, np.concatenate([f[0] for f in found])
+                    elif name == "bond":
+                        ends = np.concatenate([f[1] for f in found])
+                        i, j, attrs = pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy()), np.concatenate([f[2] for f in found])
+                    else:
+                        i, j, attrs = none, none, None
+                    listed = pa.nulls(n, pa.list_(pa.float32())) if attrs is None else pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * attrs.shape[1], attrs.ravel())
+                    ids = b.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([name]).take(pa.array(np.zeros(n, dtype=np.int64))), i, j, listed], ["mol_id", "kind", "i", "j", "attrs"])
+
+    dealt = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mol_id")
+    return dealt.mapInArrow(made, f"mol_id {kind}, kind string, i int, j int, attrs array<float>")
 
-@udtf(returnType="kind string, i int, j int, attrs array<float>", useArrow=True)
-class Structure:
-    """Rows of one structure string: its atoms, its bonds in both directions, or one row that it can't be read."""
 
-    def eval(self, text: str):
-        atoms, bonds = graph(text)
-        if not atoms:
-            yield "reject", None, None, None
-        for i, attrs in enumerate(atoms):
-            yield "atom", i, None, attrs
-        for i, j, attrs in bonds:
-            yield "bond", i, j, attrs
+def atoms_and_bonds(df: DataFrame, key: str, smiles: str) -> tuple[DataFrame, DataFrame]:
+    """Tables ``atom`` (mol_id, i, attrs) and ``bond`` (mol_id, i, j, attrs; both directions), each a pass of its own that stores nothing."""
+    return rows_of(df, key, smiles, ("atom",)).select("mol_id", "i", "attrs"), rows_of(df, key, smiles, ("bond",)).select("mol_id", "i", "j", "attrs")
 
 
 @dataclass
@@ -177,11 +193,8 @@ class Structures:
 
 
 def read(df: DataFrame, key: str, smiles: str) -> Structures:
-    """Parse each string once, by a table function beside each row, and keep the rows of all three kinds."""
-    spark = df.sparkSession
-    spark.udtf.register("structure_rows", Structure)
-    rows = df.select(F.col(key).alias("mol_id"), F.col(smiles).alias("s"))
-    found = cut(spark.sql("SELECT mol_id, t.* FROM {rows}, LATERAL structure_rows(s) t", rows=rows))
+    """Parse each string once and keep the rows of all three kinds as a table, whose size Spark knows."""
+    found = kept(rows_of(df, key, smiles))
     own = lambda kind: found.where(F.col("kind") == kind)
     return Structures(own("atom").select("mol_id", "i", "attrs"), own("bond").select("mol_id", "i", "j", "attrs"), own("reject").select("mol_id"))
 
@@ -191,15 +204,16 @@ def fingerprints(atoms: DataFrame, bonds: DataFrame, radius: int = 2, size: int
 
     An atom's first code hashes its attributes; in each round a code is hashed with the sorted codes of its neighbours and
     the kinds of their bonds, a join and an aggregate whose groups are an atom's few neighbours. Codes of all rounds are
-    counted by their remainder; the binary fingerprint is the set of bits.
+    counted by their remainder; the binary fingerprint is the set of bits. Atoms are never broadcast: their compressed files are
+    far smaller than their rows.
     """
     now = atoms.select("mol_id", "i", F.xxhash64(F.lit(0), F.col("attrs").cast("array<string>")).alias("code"))
     every = now
     kinds = bonds.select("mol_id", "i", "j", F.slice("attrs", 1, 4).cast("array<string>").alias("kind"))
     for r in range(1, radius + 1):
         other = now.select("mol_id", F.col("i").alias("j"), F.col("code").alias("near"))
-        told = kinds.join(other, ["mol_id", "j"]).groupBy("mol_id", "i").agg(F.sort_array(F.collect_list(F.xxhash64("kind", "near"))).alias("around"))
-        now = now.join(told, ["mol_id", "i"], "left").select("mol_id", "i", F.xxhash64(F.lit(r), "code", "around").alias("code"))
+        told = kinds.join(other.hint("merge"), ["mol_id", "j"]).groupBy("mol_id", "i").agg(F.sort_array(F.collect_list(F.xxhash64("kind", "near"))).alias("around"))
+        now = now.join(told.hint("merge"), ["mol_id", "i"], "left").select("mol_id", "i", F.xxhash64(F.lit(r), "code", "around").alias("code"))
         every = every.unionByName(now)
     return every.groupBy("mol_id", F.pmod("code", F.lit(size)).cast("int").alias("bit")).agg(F.count("*").alias("n"))
 
@@ -210,23 +224,45 @@ def dense(atoms: DataFrame, bonds: DataFrame, n_atoms: int, mode: int = 0) -> Da
     ``edges`` is the adjacency matrix (mode 0), the same with ones on the diagonal of the atoms there are (1), or has the
     8 attributes of each bond in its cells (2). ``n`` is the number of atoms; where it is over ``n_atoms`` both tensors are null.
     """
-    no_node, no_edge = F.array(*[F.lit(0.0).cast("float")] * 25), F.array(*[F.lit(0.0).cast("float")] * 8)
-    side = F.sequence(F.lit(0), F.lit(n_atoms - 1))
-    own = atoms.groupBy("mol_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "attrs"))).alias("a"), F.count("*").alias("n"))
-    met = bonds.groupBy("mol_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") * n_atoms + F.col("j")).alias("at"), "attrs"))).alias("b"))
-    both = own.join(met, "mol_id", "left").withColumn("b", F.coalesce("b", F.create_map().cast("map<int,array<float>>")))
-    if mode == 2:
-        cell = lambda i, j: F.coalesce(F.try_element_at("b", i * n_atoms + j), no_edge)
-    else:
-        loop = lambda i, j: (i == j) & (i < F.col("n")) if mode == 1 else F.lit(False)
-        cell = lambda i, j: F.when(F.map_contains_key("b", i * n_atoms + j) | loop(i, j), 1.0).otherwise(0.0).cast("float")
-    edges = F.transform(side, lambda i: F.transform(side, lambda j: cell(i, j)))
-    nodes, fits = F.transform(side, lambda i: F.coalesce(F.try_element_at("a", i), no_node)), F.col("n") <= n_atoms
-    return both.select("mol_id", "n", F.when(fits, nodes).alias("nodes"), F.when(fits, edges).alias("edges"))
+    own = atoms.groupBy("mol_id").agg(F.collect_list(F.struct("i", "attrs")).alias("a"))
+    met = bonds.groupBy("mol_id").agg(F.collect_list(F.struct("i", "j", "attrs")).alias("b"))
+    both = own.join(met.hint("merge"), "mol_id", "left").select("mol_id", "a", F.coalesce("b", F.expr("cast(array() AS array<struct<i: int, j: int, attrs: array<float>>>)")).alias("b"))
+    kind, depth = dict(both.dtypes)["mol_id"], 8 if mode == 2 else 0
+
+    def parts(column: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+        """The row that each entry belongs to, and the entries."""
+        return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten()
+
+    def nested(v: np.ndarray, missing: np.ndarray) -> pa.ListArray:
+        """Arrays of fixed shapes, null where ``missing``."""
+        out = pa.array(v.ravel())
+        for k in range(v.ndim - 1, 0, -1):
+            out = pa.ListArray.from_arrays(pa.array(np.arange(int(np.prod(v.shape[:k])) + 1, dtype=np.int32) * v.shape[k]), out, mask=pa.array(missing) if k == 1 else None)
+        return out
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                ids, a, b = (pa.concat_arrays([c]) for c in whole.slice(at, 256).columns)
+                n = np.diff(a.offsets.to_numpy())
+                fits = n <= n_atoms
+                nodes = np.zeros((len(n), n_atoms, 25), dtype=np.float32)
+                edges = np.zeros((len(n), n_atoms, n_atoms, *[8] * (depth > 0)), dtype=np.float32)
+                row, entry = parts(a)
+                i, on = entry.field("i").to_numpy(), fits[row]
+                nodes[row[on], i[on]] = entry.field("attrs").flatten().to_numpy().reshape(-1, 25)[on]
+                if mode == 1:
+                    edges[row[on], i[on], i[on]] = 1
+                row, entry = parts(b)
+                i, j, on = entry.field("i").to_numpy(), entry.field("j").to_numpy(), fits[row]
+                edges[row[on], i[on], j[on]] = entry.field("attrs").flatten().to_numpy().reshape(-1, 8)[on] if depth else 1
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), nested(nodes, ~fits), nested(edges, ~fits)], ["mol_id", "n", "nodes", "edges"])
+
+    deep = "array<array<array<float>>>" if depth else "array<array<float>>"
+    return both.mapInArrow(made, f"mol_id {kind}, n long, nodes array<array<float>>, edges {deep}")
 
 
 def rejects(df: DataFrame, key: str, smiles: str) -> DataFrame:
-    """How many structure strings there are, and how many of them can't be read, as one row."""
-    read = atoms_and_bonds(df, key, smiles)[0].select("mol_id").distinct()
-    bad = df.join(read, df[key] == read["mol_id"], "left_anti").agg(F.count("*").alias("n_rejected"))
+    """How many structure strings there are, and how many of them can't be read, as one row; no atoms are made."""
+    bad = rows_of(df, key, smiles, ("reject",)).agg(F.count("*").alias("n_rejected"))
     return df.agg(F.count("*").alias("n")).join(bad)

@@ -107,3 +107,25 @@ def test_large_graphs_stay(spark):
     read = smiles.read(df, "mol_id", "s")
     got = {r.mol_id: (r.n, r.nodes is None, r.edges is None) for r in smiles.dense(read.atoms, read.bonds, 4).collect()}
     assert got == {1: (3, False, False), 2: (6, True, True)}
+
+
+def broadcasts(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_strings_are_dealt_and_atoms_stay_where_they_are(spark):
+    """One small file of strings is not one task's; its atoms, of which Spark knows no size, are not sent to all tasks."""
+    df = spark.createDataFrame([(n, "C" * (n % 5 + 1)) for n in range(50)], "mol_id long, s string").coalesce(1)
+    assert all(t.rdd.getNumPartitions() > 1 for t in smiles.atoms_and_bonds(df, "mol_id", "s"))
+    read = smiles.read(df, "mol_id", "s")
+    assert broadcasts(smiles.fingerprints(read.atoms, read.bonds)) == 0 and broadcasts(smiles.dense(read.atoms, read.bonds, 5)) == 0
+    assert smiles.dense(read.atoms, read.bonds, 5).where("size(nodes) = 5 and size(edges[4]) = 5").count() == 50
+
+
+def test_states_are_not_broadcast(spark):
+    nodes, edges = tables(spark, graphs(7))
+    w = np.ones((3, 3))
+    shares = G.assignment(nodes, edges, w, w)
+    small, cells = G.pooled(nodes, edges, shares, 3, 3)
+    made = [G.message_passing(nodes, edges, w, w), G.attention(nodes, edges, [(w, w[0], w[0])]), shares, small, cells, G.link_loss(edges, shares, 3), G.combined([G.readout(nodes, 3), G.readout(small, 3)], [3, 3])]
+    assert [broadcasts(df) for df in made] == [0] * 7
