@@ -10,6 +10,7 @@ from dockyard.functions import metrics as M
 from dockyard.functions.kernels import mirrored, overlap_between, overlap_pairs
 from dockyard.operators import splits as S
 from dockyard.operators.ranking import global_rank, kfold
+from dockyard.sources import files
 
 
 def tables(spark, pairs, n_p, n_m, name=lambda kind, i: i, kind="long"):
@@ -142,3 +143,48 @@ def test_curves_with_nulls_and_close_scores(spark):
     assert (r.aupr, r.rocauc) == plain_areas(rows)
     assert M.ranges(df).select("_b").distinct().count() > 50
     assert M.areas_of(df.limit(0), ["g"], ["aupr"]).count() == 0
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_kernels_are_not_shuffled(spark):
+    """Several blocks give the cells of one written out; what is exchanged is the blocks, below the step that makes the cells."""
+    draw, bags = random.Random(8), {}
+    for i in range(60):
+        bags[f"P{i}"] = {f"x{draw.randrange(12)}": draw.randrange(1, 5) for _ in range(3)}
+    rows = [(i, x, n) for i, b in bags.items() for x, n in b.items()] + [("P1", None, 2), (None, "x1", 1)]
+    bags["P1"][None] = 2
+    bag = spark.createDataFrame(rows, "id string, item string, n int")
+    shared = lambda a, b: sum(min(n, b[x]) for x, n in a.items() if x is not None and x in b)
+    expected = {(i, j): shared(a, b) / (sum(a.values()) + sum(b.values()) - shared(a, b)) for i, a in bags.items() for j, b in bags.items() if i <= j and shared(a, b)}
+    got = overlap_pairs(bag, block=7)
+    assert sorted((r.i, r.j, r.k) for r in got.collect()) == sorted((*p, k) for p, k in expected.items())
+    some = {(r.i, r.j) for r in overlap_pairs(bag, 0.5, block=7).collect()}
+    assert some == {p for p, k in expected.items() if k >= 0.5}
+    between = overlap_between(bag.where("id < 'P3'"), bag.where("id >= 'P3'"), block=7)
+    assert {(r.i, r.j): r.k for r in between.collect()} == {p: k for p, k in expected.items() if p[0] < "P3" <= p[1]}
+    for df in (got, between):
+        assert plan_of(df).index("MapInArrow") < plan_of(df).index("Exchange")
+    assert overlap_pairs(bag.limit(0)).count() == 0
+
+
+def test_matrix_in_ranges_is_written_without_a_shuffle(spark, tmp_path):
+    bag = spark.createDataFrame([(i, i % 5 + x, 1) for i in range(50) for x in (0, 1)], "id long, item int, n int")
+    cells = overlap_pairs(bag, block=10)
+    files.write_matrix(cells, str(tmp_path / "m"), ranged=True)
+    found = spark.read.parquet(str(tmp_path / "m")).select("*", F.col("_metadata.file_name").alias("f"))
+    assert {(r.i, r.j, r.k) for r in found.collect()} == {(r.i, r.j, r.k) for r in cells.where("k <> 0").collect()}
+    spans = found.groupBy("f").agg(F.min("i").alias("a"), F.max("i").alias("z")).collect()
+    assert len(spans) > 3 and all(r.z - r.a < 10 for r in spans)
+
+
+def test_complement_is_not_shuffled(spark):
+    prot = spark.createDataFrame([(p,) for p in [*range(9), None, 3]], "prot_id long")
+    mol = spark.createDataFrame([(m,) for m in [*range(30), None, 4, 4]], "mol_id long")
+    inter = spark.createDataFrame([(p, m) for p in range(8) for m in range(30) if (p * m) % 3 == 1] + [(1, None), (None, 2), (77, 1)], "prot_id long, mol_id long")
+    got = S.complement(inter, prot, mol, lot=8)
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, prot.crossJoin(mol).join(inter, ["prot_id", "mol_id"], "left_anti").collect()))
+    assert plan_of(got).index("Generate") < plan_of(got).index("Exchange")
