@@ -68,7 +68,7 @@ def pair_net_run(spark: SparkSession, folds: str, prot: DataFrame, mol: DataFram
     report on the test fold. ``folds`` is a table of ``write_folds``; ``prot`` and ``mol`` give ``pf`` and ``mf`` arrays by id."""
 
     def rows(split: DataFrame) -> DataFrame:
-        met = split.join(prot, "prot_id").join(mol, "mol_id")
+        met = split.join(prot.hint("merge"), "prot_id").join(mol.hint("merge"), "mol_id")  # features of all entities are never broadcast
         return met.select(F.concat_ws("-", "prot_id", "mol_id").alias("pair"), "prot_id", "mol_id", "y", F.concat("pf", "mf").alias("x"), F.array(F.col("y").cast("double")).alias("t"))
 
     def body(run: dict) -> dict[str, DataFrame]:

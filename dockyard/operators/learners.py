@@ -26,7 +26,7 @@ def _vectors(df: DataFrame, column: str) -> DataFrame:
 
 def kronecker_features(pairs: DataFrame, prot: DataFrame, mol: DataFrame) -> DataFrame:
     """``x``: all products of a protein's and a molecule's features, whose inner product is the product of both kernels."""
-    met = pairs.join(prot, "prot_id").join(mol, "mol_id")
+    met = pairs.join(prot.hint("merge"), "prot_id").join(mol.hint("merge"), "mol_id")  # compressed files look small enough to broadcast
     return met.withColumn("x", F.flatten(F.transform("pf", lambda a: F.transform("mf", lambda b: a * b))))
 
 

@@ -57,3 +57,13 @@ def test_net_on_pairs(spark, tmp_path):
     assert best.where("score_name = 'rocauc'").first().value > 80
     assert spark.read.parquet(f"{out}/predictions").where("attempt = 0").count() == files.read_folds(spark, str(tmp_path / "folds"), 2, 0, 1)["test"].count()
     assert spark.read.parquet(f"{out}/log").select(F.max("epoch")).first()[0] <= 7
+
+
+def test_features_of_entities_are_not_broadcast(spark):
+    from dockyard.operators.learners import kronecker_features
+
+    prot = spark.createDataFrame([(1, [1.0, 2.0])], "prot_id long, pf array<double>")
+    mol = spark.createDataFrame([(5, [3.0])], "mol_id long, mf array<double>")
+    met = kronecker_features(spark.createDataFrame([(1, 5)], "prot_id long, mol_id long"), prot, mol)
+    assert "BroadcastExchange" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.first().x == [3.0, 6.0]
