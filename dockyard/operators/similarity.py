@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockyard.operators.lineage import cut
+from dockyard.operators.lineage import kept
 
 BLOCK, SALT = 2048, 16
 
@@ -34,29 +34,38 @@ def token_sets(bag: DataFrame) -> DataFrame:
     return each.join(dealt, ["item", "nth", "salt"]).groupBy("id").agg(F.sort_array(F.collect_list(token)).alias("tokens")).withColumn("s", F.size("tokens"))
 
 
-def candidates(sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Pairs ``i`` < ``j`` of sets that share a token of their prefixes and whose sizes allow ``least``; each pair once."""
+def _met(sets: DataFrame, least: float, block: int) -> DataFrame:
+    """Pairs ``i`` < ``j`` (with ``u``, ``v``, their tokens as text) beside each token ``t`` of both prefixes, where the sizes allow ``least``."""
     size = F.col("s") - F.ceil(F.col("s") * least - 1e-9).cast("int") + 1
-    first = sets.select("id", "s", F.explode(F.slice("tokens", F.lit(1), size)).alias("t"))
+    text = lambda t: F.concat_ws(":", t["nth"].cast("string"), t["item"].cast("string"))
+    names = sets.select("id", "s", "tokens", F.transform("tokens", text).alias("names"))
+    first = names.select("id", "s", "names", F.explode(F.slice("tokens", F.lit(1), size)).alias("t"))
     parts = F.ceil(F.col("t.df") / block).cast("int")  # sets that have the token bound those that have it in front
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    met = first.select("id", "s", "t.item", "t.nth", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    key = met.select("id", "s", "item", "nth", "own", F.least("own", "other").alias("b"), F.greatest("own", "other").alias("c"))
-    a = key.select("item", "nth", "b", "c", F.col("id").alias("i"), F.col("s").alias("p"), F.col("own").alias("x"))
-    b = key.select("item", "nth", "b", "c", F.col("id").alias("j"), F.col("s").alias("q"), F.col("own").alias("y"))
+    met = first.select("id", "s", "names", text(F.col("t")).alias("t"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    key = met.select("id", "s", "names", "t", "own", F.least("own", "other").alias("b"), F.greatest("own", "other").alias("c"))
+    a = key.select("t", "b", "c", F.col("id").alias("i"), F.col("s").alias("p"), F.col("own").alias("x"), F.col("names").alias("u"))
+    b = key.select("t", "b", "c", F.col("id").alias("j"), F.col("s").alias("q"), F.col("own").alias("y"), F.col("names").alias("v"))
     fits = (F.col("i") < F.col("j")) & (F.least("p", "q") >= least * F.greatest("p", "q") - 1e-9) & ((F.col("b") == F.col("c")) | (F.col("x") != F.col("y")))
-    return a.join(b, ["item", "nth", "b", "c"]).where(fits).select("i", "j").distinct()
+    return a.join(b.hint("merge"), ["t", "b", "c"]).where(fits)
+
+
+def candidates(sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """Pairs ``i`` < ``j`` of sets that share a token of their prefixes and whose sizes allow ``least``; each pair once."""
+    return _met(sets, least, block).select("i", "j").distinct()
 
 
 def similarity_join(bag: DataFrame, least: float = 0.5, block: int = BLOCK, diagonal: bool = True) -> DataFrame:
     """Count-Tanimoto kernel (``i`` <= ``j``, ``k``) of a bag's pairs with at least ``least`` (over 0): the cells of
-    ``kernels.overlap_pairs`` at that bound, without meeting by common items alone."""
+    ``kernels.overlap_pairs`` at that bound, without meeting by common items alone.
+
+    Sets carry all their tokens to where they meet and are verified there. A pair that shares several tokens of its prefixes counts
+    where it meets by the first one, so no pair that meets is shuffled.
+    """
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
-    sets = cut(token_sets(bag))
-    pairs = candidates(sets, least, block)
-    a, b = sets.toDF("i", "u", "p"), sets.toDF("j", "v", "q")
-    shared = F.size(F.array_intersect("u", "v"))
-    met = pairs.join(a, "i").join(b, "j").withColumn("m", shared).select("i", "j", (F.col("m") / (F.col("p") + F.col("q") - F.col("m"))).alias("k"))
-    found = met.where(F.col("k") >= least)
+    sets = kept(token_sets(bag))
+    shared = _met(sets, least, block).select("i", "j", "p", "q", "t", F.array_intersect("u", "v").alias("both")).where(F.get("both", F.lit(0)) == F.col("t"))
+    m = F.size("both")
+    found = shared.select("i", "j", (m / (F.col("p") + F.col("q") - m)).alias("k")).where(F.col("k") >= least)
     return found.unionByName(sets.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("k"))) if diagonal else found

@@ -123,3 +123,9 @@ def test_given_pairs_and_given_scores(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 9)], "i long, j long")
     table = spark.createDataFrame([("A", "A", 5.0), ("B", "B", 7.0), ("A", "B", -2.0)], "a string, b string, score double")
     assert {(r.i, r.j): r.k for r in A.aligned(pairs, seqs, residues=table).collect()} == {(1, 2): 17.0, (1, 3): 0.0}
+
+
+def test_pairs_that_meet_are_not_shuffled(spark):
+    """Only sets are exchanged, below the join: nothing is made distinct and no tokens are joined to pairs afterwards."""
+    plan = S.similarity_join(bags(spark, 50), 0.5, 20, diagonal=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 2 and plan.index("SortMergeJoin") < plan.index("Exchange hash")
