@@ -328,3 +328,13 @@ def test_stream(spark, tmp_path):
     q = windowed_scores(stream).writeStream.outputMode("complete").format("memory").queryName("scores").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert math.isclose(spark.table("scores").first().mean, 2.0)
+
+
+def test_factors_are_not_broadcast(spark):
+    z = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "id long, z array<double>")
+    pairs = spark.createDataFrame([(0, 1), (2, 9)], "prot_id long, mol_id long")
+    near = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.5)], "i long, j long, k double")
+    from dockyard.operators import factorisation as R
+
+    for df in (R.pair_scores(pairs, z, z), R.smoothed(z, z.where("id > 0").select("id"), near)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString() and df.count() > 0
