@@ -310,6 +310,31 @@ def test_nrlmf_is_that_of_dense_arrays(spark):
         assert math.isclose(score, 0.5 if a is None or b is None else 1 / (1 + math.exp(-(a @ b))), abs_tol=1e-9)
 
 
+def test_kernel_within_groups(spark):
+    """The nearest of a kernel within groups, with and without known ones, are those of its cells, ties included."""
+    from dockyard.functions import kernels as K
+
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 17 == 3 else f"g{i % 5}", None if i % 19 == 4 else float(rng.integers(0, 9))) for i in range(120)]
+    within = K.Within(spark.createDataFrame(rows, "id long, g string, x double"), 2.0)
+    near = within.near().cache()
+    told = lambda df: sorted((r.i, r.j, round(r.k, 12), r["rank"]) for r in df.collect())
+    assert told(within.nearest(4)) == told(K.nearest(near, 4)) and near.count() > 1000
+    known = spark.createDataFrame([(i,) for i in range(0, 120, 3)] + [(0,)], "id long")
+    some = near.where("j % 3 = 0 and i % 3 <> 0")
+    assert told(within.nearest(4, known)) == told(K.nearest(some, 4))
+    assert within.nearest(4, known.where("id < 0")).count() == 0
+    assert within.cells().count() == near.count() + 120
+
+
+def test_softplus_by_products():
+    rng = np.random.default_rng(1)
+    for scale in (0.1, 5, 60, 900):
+        x = rng.standard_normal((3, 640)) * scale
+        with np.errstate(over="ignore"):
+            assert math.isclose(factorisation._softplus(x, 1 + np.exp(-x)), np.logaddexp(0, x).sum(), rel_tol=1e-12)
+
+
 def test_complete_linkage(spark):
     k = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.1), (1, 2, 0.2), (3, 3, 1.0), (2, 2, 1.0)], "i long, j long, k double")
     group = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 0)], "id long, g int")
