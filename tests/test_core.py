@@ -327,6 +327,35 @@ def test_kernel_within_groups(spark):
     assert within.cells().count() == near.count() + 120
 
 
+def test_scores_query_takes_all_rounds(spark):
+    """The scores of pairs with known sides are those of the dense factorisation after all its rounds."""
+    import __spark_entry__ as entry
+    from dockyard.plans import learning as P
+
+    d = "/root/testdata/sf0.001"
+    got = {(r.prot_id, r.mol_id): r.score for r in entry.queries()["nrlmf_scores"](spark, d).collect()}
+    train, _, prot, mol = P._relation(spark, d)
+    near_p, near_m = P._neighbours(spark, d)
+    begun = [{r.id: r.z for r in factorisation._start(ids, n, 8, seed).collect()} for ids, n, seed in ((prot, "prot_id", 92), (mol, "mol_id", 93))]
+    at = [{i: n for n, i in enumerate(sorted(z))} for z in begun]
+
+    def weights(near, at):
+        s = np.zeros((len(at), len(at)))
+        for r in near.nearest(5).collect():
+            s[at[r.i], at[r.j]] = r.k
+        return s
+
+    y = np.zeros((len(at[0]), len(at[1])))
+    pairs = [(r.prot_id, r.mol_id) for r in train.collect()]
+    for p, m in pairs:
+        y[at[0][p], at[1][m]] = 1
+    first = [np.array([z[i] for i in sorted(z)]) for z in begun]
+    u, v, taken = plain_nrlmf(y, weights(near_p, at[0]), weights(near_m, at[1]), *first, 5.0, 0.125, 0.25, 0.125, 0.5, 100, 1e-5)
+    assert taken > 3
+    for p, m in pairs:
+        assert math.isclose(got[p, m], 1 / (1 + math.exp(-(u[at[0][p]] @ v[at[1][m]]))), abs_tol=1e-3)
+
+
 def test_softplus_by_products():
     rng = np.random.default_rng(1)
     for scale in (0.1, 5, 60, 900):
