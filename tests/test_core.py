@@ -356,6 +356,20 @@ def test_scores_query_takes_all_rounds(spark):
         assert math.isclose(got[p, m], 1 / (1 + math.exp(-(u[at[0][p]] @ v[at[1][m]]))), abs_tol=1e-3)
 
 
+def test_grid_query_has_no_cut(spark, monkeypatch):
+    from dockyard.plans import learning as P
+
+    seen, whole = [], factorisation.nrlmf
+
+    def fit(*given, **options):
+        seen.append(sorted(options))
+        return whole(*given, **options | {"rounds": 1})
+
+    monkeypatch.setattr(factorisation, "nrlmf", fit)
+    assert len(P.nrlmf_grid(spark, "/root/testdata/sf0.001").collect()) == 1
+    assert seen == [["mol_near", "prot_near", "ridge"]] * 2
+
+
 def test_softplus_by_products():
     rng = np.random.default_rng(1)
     for scale in (0.1, 5, 60, 900):
