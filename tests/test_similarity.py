@@ -129,3 +129,29 @@ def test_pairs_that_meet_are_not_shuffled(spark):
     """Only sets are exchanged, below the join: nothing is made distinct and no tokens are joined to pairs afterwards."""
     plan = S.similarity_join(bags(spark, 50), 0.5, 20, diagonal=False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hash") == 2 and plan.index("SortMergeJoin") < plan.index("Exchange hash")
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5])
+def test_hot_tokens_make_tiles(spark, monkeypatch, least):
+    """Bags of few items, which all meet: the same cells by tiles, without a join of sets."""
+    draw = random.Random(5)
+    rows = [(i, f"b{draw.randrange(6)}", draw.randrange(0, 4)) for i in range(150) for _ in range(5)] + [(7, None, 2)]
+    bag = spark.createDataFrame(rows, "id long, item string, n int")
+    told = lambda df: {(r.i, r.j): round(r.k, 9) for r in df.collect()}
+    by_prefixes = [told(S.similarity_join(bag, least, diagonal=d)) for d in (True, False)]
+    monkeypatch.setattr(S, "MEETINGS", 100)
+    hot = S.similarity_join(bag, least)
+    assert "MapInArrow" in hot._jdf.queryExecution().executedPlan().toString()
+    assert [told(hot), told(S.similarity_join(bag, least, diagonal=False))] == by_prefixes
+
+
+def test_tiles_by_products_and_by_items(spark, monkeypatch):
+    """Whole counts go by a product of tokens, others by items; both give the same, and blocks carry no cell of their own."""
+    from dockyard.functions import kernels
+
+    bag = bags(spark, 200)
+    told = lambda df: {(r.i, r.j): round(r.k, 9) for r in df.collect()}
+    whole = told(overlap_pairs(bag, block=64))
+    assert whole == told(overlap_pairs(bag.withColumn("n", F.col("n").cast("double")), block=64)) and len(whole) > 10_000
+    packed, count = kernels._packed(bag, None)
+    assert count == 1 and {f.name for f in packed.schema["held"].dataType.elementType.fields} == {"item", "at", "n"}
