@@ -18,15 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockyard.functions.metrics import roc_auc
+from dockyard.operators.lineage import kept
 
 
 def _vectors(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_x", array_to_vector(F.col(column).cast("array<double>")))
 
 
-def kronecker_features(pairs: DataFrame, prot: DataFrame, mol: DataFrame) -> DataFrame:
-    """``x``: all products of a protein's and a molecule's features, whose inner product is the product of both kernels."""
+def kronecker_features(pairs: DataFrame, prot: DataFrame, mol: DataFrame, once: bool = False) -> DataFrame:
+    """``x``: all products of a protein's and a molecule's features, whose inner product is the product of both kernels.
+
+    ``once``: the pairs and their entities' features are kept as a table, in columns that repeat and compress; fits and scores
+    that read the result many times then make the products alone, and shuffle nothing.
+    """
     met = pairs.join(prot.hint("merge"), "prot_id").join(mol.hint("merge"), "mol_id")  # compressed files look small enough to broadcast
+    met = kept(met) if once else met
     return met.withColumn("x", F.flatten(F.transform("pf", lambda a: F.transform("mf", lambda b: a * b))))
 
 

@@ -356,6 +356,14 @@ def test_scores_query_takes_all_rounds(spark):
         assert math.isclose(got[p, m], 1 / (1 + math.exp(-(u[at[0][p]] @ v[at[1][m]]))), abs_tol=1e-3)
 
 
+def test_kept_features_are_not_shuffled_again(spark):
+    pairs = spark.createDataFrame([(0, 1, 1), (1, 0, 0)], "prot_id long, mol_id long, y int")
+    prot, mol = (spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], f"{n}_id long, {n[0]}f array<double>") for n in ("prot", "mol"))
+    once, each = (learners.kronecker_features(pairs, prot, mol, once=o) for o in (True, False))
+    assert sorted(r.x for r in once.collect()) == sorted(r.x for r in each.collect()) and once.columns == each.columns
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+
+
 def test_grid_query_has_no_cut(spark, monkeypatch):
     from dockyard.plans import learning as P
 
