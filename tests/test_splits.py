@@ -188,3 +188,12 @@ def test_complement_is_not_shuffled(spark):
     key = lambda r: tuple(-1 if v is None else v for v in r)
     assert sorted(map(key, got.collect())) == sorted(map(key, prot.crossJoin(mol).join(inter, ["prot_id", "mol_id"], "left_anti").collect()))
     assert plan_of(got).index("Generate") < plan_of(got).index("Exchange")
+
+
+def test_complement_lists_plain_ids(spark):
+    """What a lot is exploded into is an id, not a row that holds one."""
+    prot, mol = spark.range(3).toDF("prot_id"), spark.range(9).toDF("mol_id")
+    got = S.complement(spark.createDataFrame([(0, 1)], "prot_id long, mol_id long"), prot, mol, lot=4)
+    assert got.count() == 26
+    top = plan_of(got).split("Exchange")[0]
+    assert "[mol_id#" in top and "[m#" not in top
